@@ -1,4 +1,250 @@
-"""Registered queries and their SQL."""
+"""Registered queries and, in ``oracles``, their SQL."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from brasstally.operators import categories, explain, metrics, normalize, quality, recurrence, retrieval, tools
+from brasstally.oracles import ORACLE_SQL
+from brasstally.plans import canonical
+from brasstally.plans.canonical import table
+from brasstally.plans.requests import LookupRequest, RecurringRequest, SpendRequest
+from brasstally.sources.datasets import keep_first, union_by_name
+
+Query = Callable[[SparkSession, str], DataFrame]
+NOW = "2024-06-01"
+START, END = "2024-01-05", "2024-01-20"
+
+
+def plain(df: DataFrame) -> DataFrame:
+    """Timestamps and decimals as text, the same in every engine."""
+    shaped = [F.date_format(c, "yyyy-MM-dd HH:mm:ss.SSSSSS").alias(c) if t.startswith("timestamp") else F.col(c).cast("string").alias(c) if t.startswith("decimal") else F.col(c) for c, t in df.dtypes]
+    return df.select(*shaped)
+
+
+def _served(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return canonical.served(canonical.processed(canonical.raw_transactions(spark, sf_dir)))
+
+
+def _weekly(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return canonical.served(recurrence.label(canonical.weekly_series(spark, sf_dir)))
+
+
+def norm_transactions(spark, sf_dir):
+    return plain(normalize.transactions(canonical.raw_transactions(spark, sf_dir)).drop("_ord"))
+
+
+def norm_accounts(spark, sf_dir):
+    c = table(spark, sf_dir, "customer")
+    return normalize.accounts(c.select(F.col("c_custkey").cast("string").alias("account_id"), F.col("c_name").alias("account_name"), F.when(F.col("c_custkey") % 2 == 0, " Checking ").otherwise(F.col("c_mktsegment")).alias("account_type"), F.when(F.col("c_custkey") % 3 == 0, "ghana  cedi").otherwise("usd").alias("currency")))
+
+
+def norm_fees_and_limits(spark, sf_dir):
+    p = table(spark, sf_dir, "part")
+    return normalize.fees_and_limits(p.select(F.col("p_partkey").cast("string").alias("item_id"), F.when(F.col("p_size") > 25, "Charges").otherwise("threshold").alias("item_type"), F.col("p_retailprice").alias("value"), F.lower("p_brand").alias("unit"), F.col("p_name").alias("notes")))
+
+
+def norm_products(spark, sf_dir):
+    p = table(spark, sf_dir, "part")
+    return normalize.products(p.select(F.col("p_partkey").cast("string").alias("product_id"), F.col("p_name").alias("product_name"), F.col("p_type").alias("product_type")))
+
+
+def norm_metadata(spark, sf_dir):
+    n = table(spark, sf_dir, "nation")
+    return normalize.metadata(n.select(F.col("n_name").alias("key"), F.col("n_regionkey").cast("string").alias("value"), F.lit(" nation ").alias("source")))
+
+
+LINE = ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_linestatus", "l_shipdate")
+
+
+def dedupe_keep_first(spark, sf_dir):
+    return plain(keep_first(table(spark, sf_dir, "lineitem"), ["l_orderkey", "l_linenumber"], list(LINE[2:])))
+
+
+def tables_union_by_name(spark, sf_dir):
+    c, s = table(spark, sf_dir, "customer"), table(spark, sf_dir, "supplier")
+    c = c.select(F.col("c_name").alias("name"), F.col("c_acctbal").alias("balance"), F.col("c_mktsegment").alias("segment"))
+    return union_by_name([c, s.select(F.col("s_acctbal").alias("balance"), F.col("s_name").alias("name"))])
+
+
+def map_categories(spark, sf_dir):
+    raw = canonical.raw_transactions(spark, sf_dir)
+    return categories.map_categories(canonical.unnormalized_for_mapping(raw)).select("transaction_id", "merchant_mapped", "category_mapped", "subcategory_mapped", "category_mapping_source")
+
+
+def map_normalized_categories(spark, sf_dir):
+    df = canonical.for_mapping(normalize.transactions(canonical.raw_transactions(spark, sf_dir)))
+    return categories.map_categories(df).select("transaction_id", "merchant_mapped", "category_mapped", "subcategory_mapped", "category_mapping_source")
+
+
+def mapping_coverage(spark, sf_dir):
+    return categories.mapping_coverage(map_categories(spark, sf_dir))
+
+
+_LABELS = ("transaction_id", "recurrence_group_key", "is_recurring", "recurrence_cadence", "recurrence_confidence", "recurrence_occurrence_count", "recurrence_interval_days", "recurrence_amount_reference")
+
+
+def recurrence_labels(spark, sf_dir):
+    return recurrence.label(canonical.weekly_series(spark, sf_dir)).select(*_LABELS)
+
+
+def recurrence_labels_processed(spark, sf_dir):
+    return canonical.processed(canonical.raw_transactions(spark, sf_dir)).select(*_LABELS)
+
+
+def recurrence_summary(spark, sf_dir):
+    return recurrence.summary(recurrence.label(canonical.weekly_series(spark, sf_dir)))
+
+
+def quality_findings(spark, sf_dir):
+    found = quality.findings(canonical.processed(canonical.raw_transactions(spark, sf_dir)), NOW)
+    return found.select("check_name", "severity", "row_count", F.array_join("sample_ids", ",").alias("sample_ids"))
+
+
+def quality_report(spark, sf_dir):
+    found = quality.findings(canonical.processed(canonical.raw_transactions(spark, sf_dir)), NOW)
+    return quality.report(found).select("passed", "errors", "warnings")
+
+
+def spend_total(spark, sf_dir):
+    out = tools.spend_total(_served(spark, sf_dir), SpendRequest(start=START, end=END))
+    return plain(out.withColumn("warnings", F.array_join("warnings", "|")))
+
+
+def spend_by_currency_map(spark, sf_dir):
+    return plain(tools.spend_by_currency(_served(spark, sf_dir), SpendRequest()))
+
+
+def _grouped(group_by: str) -> Query:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return plain(tools.spend_grouped(_served(spark, sf_dir), SpendRequest(group_by=group_by, descending=group_by != "account")))
+
+    return run
+
+
+def _lookup(**request) -> Query:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return plain(tools.lookup(_served(spark, sf_dir), LookupRequest(**request)))
+
+    return run
+
+
+_STREAMS = RecurringRequest(sort_by="merchant", descending=False, limit=100)
+
+
+def recurring_streams(spark, sf_dir):
+    return plain(tools.recurring_streams(_weekly(spark, sf_dir), _STREAMS))
+
+
+def recurring_streams_latest(spark, sf_dir):
+    request = RecurringRequest(confidences=("HIGH", "medium"), cadences=("Weekly",), include_irregular="no", start=START)
+    return plain(tools.recurring_streams(_weekly(spark, sf_dir), request))
+
+
+def recurring_stream_summary(spark, sf_dir):
+    return tools.recurring_summary(tools.recurring_streams(_weekly(spark, sf_dir), _STREAMS))
+
+
+def recurring_stream_warnings(spark, sf_dir):
+    return tools.recurring_warnings(tools.recurring_streams(_weekly(spark, sf_dir), _STREAMS)).select(F.array_join("warnings", "|").alias("warnings"))
+
+
+def _blocks(df: DataFrame) -> DataFrame:
+    return df.withColumn("tags", F.array_join("tags", ","))
+
+
+def explain_spend(spark, sf_dir):
+    df, request = _served(spark, sf_dir), SpendRequest(group_by="category")
+    return _blocks(explain.spend(tools.spend_total(df, request), tools.spend_grouped(df, request), focus="top_categories"))
+
+
+def explain_transactions(spark, sf_dir):
+    records = tools.lookup(_served(spark, sf_dir), LookupRequest(direction="credit"))
+    return _blocks(explain.transactions(records))
+
+
+def explain_recurring(spark, sf_dir):
+    return _blocks(explain.recurring(tools.recurring_streams(_weekly(spark, sf_dir), _STREAMS), "high"))
+
+
+def transaction_flags(spark, sf_dir):
+    out = explain.transaction_flags(tools.lookup(_served(spark, sf_dir), LookupRequest(direction="credit")))
+    return out.withColumn("currencies", F.array_join("currencies", ","))
+
+
+def vector_topk(spark, sf_dir):
+    vectors = table(spark, sf_dir, "embeddings")
+    query = vectors.where("vec_id = 0").select("embedding").first()["embedding"]
+    return retrieval.top_k(vectors, query)
+
+
+def chunk_fixed_stride(spark, sf_dir):
+    return retrieval.chunk_by_stride(table(spark, sf_dir, "documents"))
+
+
+def chunk_recursive(spark, sf_dir):
+    return retrieval.chunk_recursively(table(spark, sf_dir, "documents"))
+
+
+def combined_question(spark, sf_dir):
+    return retrieval.combined_question(table(spark, sf_dir, "conversations"))
+
+
+def context_assembly(spark, sf_dir):
+    return retrieval.assemble_context(table(spark, sf_dir, "conversations"), "conv_id", "turn")
+
+
+def corpus_size(spark, sf_dir):
+    return retrieval.corpus_size(table(spark, sf_dir, "documents"))
+
+
+def kind_histogram(spark, sf_dir):
+    return retrieval.kind_histogram(table(spark, sf_dir, "documents"), "lang")
+
+
+def store_profile(spark, sf_dir):
+    return retrieval.store_profile(table(spark, sf_dir, "embeddings"))
+
+
+TESTS = 40
+
+
+def _cases(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Cases with the first words of each benchmark item as keywords; each document is retrieved by one of TESTS cases, in the order of ids."""
+    from pyspark.sql import Window
+
+    cases = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("test_id"), F.slice(F.split("text", " "), 1, 4).alias("keywords"))
+    docs = table(spark, sf_dir, "documents").select((F.col("doc_id") % TESTS).alias("test_id"), "doc_id", "text")
+    return cases, docs.withColumn("rank", F.row_number().over(Window.partitionBy("test_id").orderBy("doc_id"))).drop("doc_id")
+
+
+def retrieval_metrics(spark, sf_dir):
+    return metrics.retrieval_metrics(*_cases(spark, sf_dir)).select("test_id", *(F.round(c, 9).alias(c) for c in ("mrr", "ndcg", "keyword_coverage")), "keywords_found", "total_keywords")
+
+
+def retrieval_bands(spark, sf_dir):
+    out = metrics.mean_metrics(metrics.retrieval_metrics(*_cases(spark, sf_dir)))
+    return out.select("tests", *(F.round(c, 6).alias(c) for c in ("mrr", "ndcg", "keyword_coverage")), "mrr_band", "ndcg_band", "keyword_coverage_band")
+
+
+QUERIES: dict[str, Query] = {
+    f.__name__: f
+    for f in (
+        norm_transactions, norm_accounts, norm_fees_and_limits, norm_products, norm_metadata, dedupe_keep_first, tables_union_by_name,
+        map_categories, map_normalized_categories, mapping_coverage, recurrence_labels, recurrence_labels_processed, recurrence_summary,
+        quality_findings, quality_report, spend_total, spend_by_currency_map, recurring_streams, recurring_streams_latest, recurring_stream_summary, recurring_stream_warnings,
+        explain_spend, explain_transactions, explain_recurring, transaction_flags, vector_topk, chunk_fixed_stride, chunk_recursive,
+        combined_question, context_assembly, corpus_size, kind_histogram, store_profile, retrieval_metrics, retrieval_bands,
+    )
+}
+QUERIES |= {f"spend_by_{g}": _grouped(g) for g in ("category", "subcategory", "merchant", "account", "currency", "month")}
+QUERIES |= {
+    "lookup_by_timestamp": _lookup(),
+    "lookup_by_amount": _lookup(sort_by="amount", direction="debit", descending=False),
+    "lookup_by_merchant": _lookup(sort_by="merchant", merchants=("melcom", "uber"), start=START, end=END, limit=50),
+    "lookup_by_filters": _lookup(categories=("groceries", "transport", "fees"), account_ids=tuple(str(i) for i in range(1, 60)), min_amount="10.005", max_amount=250, sort_by="account_id"),
+    "lookup_by_ids": _lookup(transaction_ids=tuple(str(i) for i in range(0, 400, 7)), sort_by="transaction_id", descending=False),
+}
