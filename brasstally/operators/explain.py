@@ -130,11 +130,11 @@ def recurring(records: DataFrame, detail: str = "medium") -> DataFrame:
     """Blocks of the primary stream, the streams of high confidence and the cadences."""
     check_source(records, "recurring")
     rec = records.withColumn("ts", text.iso_utc(F.col("last_seen_timestamp").cast("timestamp"))).withColumn("money", F.coalesce("currency", F.lit("mixed currency")))
-    rank = F.struct("average_amount", "ts", F.lower("merchant").alias("m"), F.lower("account_id").alias("a"))
+    keys, ties = [F.col("average_amount"), F.col("ts"), F.lower("merchant"), F.lower("account_id")], [F.asc("category"), F.asc("subcategory")]
     mixed, sure = F.col("currency").isNull(), F.col("confidence") == "high"
-    best = rec.agg(F.max_by(F.struct(*rec.columns), rank).alias("x")).where("x is not null").select("x.*")
+    best = _numbered(rec, keys, True, ties, 1)
     out = best.select(*_block(0, F.lit("Primary recurring payment"), F.col("average_amount"), _joined("merchant", "cadence", "ts", "money"), [F.lit("recurring"), F.when(sure, "high_confidence")], priority(detail, True, mixed)))
-    top = _numbered(rec.where(sure), [F.col("average_amount"), F.col("ts"), F.lower("merchant"), F.lower("account_id")], True, [F.asc("category"), F.asc("subcategory")], SAMPLES[detail])
+    top = _numbered(rec.where(sure), keys, True, ties, SAMPLES[detail])
     out = out.unionByName(top.select(*_block(F.col("r"), F.concat(F.lit("High-confidence recurring: "), F.col("merchant")), F.col("average_amount"), _joined(F.col("cadence"), _count("transaction_count"), F.col("ts"), F.col("money")), [F.lit("recurring"), F.lit("high_confidence")], priority(detail, False, mixed))))
     if detail == "low":
         return out
