@@ -1,0 +1,202 @@
+import random
+import zlib
+from array import array
+
+import pytest
+from pyspark.sql import functions as F
+
+from brasstally.llm import chat, extraction, licences, mixing, packing
+
+DOCS = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+def test_chats(spark):
+    turns = [(1, 0, "user", "hi"), (1, 1, "assistant", "yes"), (2, 0, "user", "hi"), (3, 0, "user", "hi"), (3, 1, "assistant", "yes"), (3, 2, "user", "more <|x|>"), (4, 0, "user", "hi"), (4, 1, "assistant", "no"), (5, 1, "assistant", "no"), (5, 0, "user", "hi"), (6, 0, None, None), (None, 0, "user", "z")]
+    got = {r.conv_id: r for r in chat.format_chats(spark.createDataFrame(turns, "conv_id long, turn long, role string, text string").withColumn("n", F.lit(1))).collect()}
+    assert set(got) == {3, 4, 6, None}
+    assert got[4].n_copies == 2 and got[3].n_turns == 3 and got[6].text == "<|unknown|>\n\n<|end|>\n"
+    assert got[3].text == "<|user|>\nhi\n<|end|>\n<|assistant|>\nyes\n<|end|>\n<|user|>\nmore < |x|>\n<|end|>\n"
+    assert chat.format_chats(spark.createDataFrame([], "conv_id long, turn long, role string, text string")).count() == 0
+
+
+def test_chats_against_brute_force(spark):
+    r = random.Random(8)
+    convs = {}
+    for c in range(120):
+        base = convs[r.choice(sorted(convs))] if convs and r.random() < 0.6 else []
+        convs[c] = base[: r.randint(0, len(base))] + [(r.choice(["user", "assistant"]), r.choice("abc")) for _ in range(r.randint(1, 3))]
+    rows = [(c, i, *t) for c, ts in convs.items() for i, t in enumerate(ts)]
+    got = {x.conv_id for x in chat.format_chats(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()}
+    whole = {}
+    for c in sorted(convs):
+        whole.setdefault(tuple(convs[c]), c)
+    assert got == {c for t, c in whole.items() if not any(len(o) > len(t) and o[: len(t)] == t for o in whole)}
+
+
+def test_licences(spark):
+    mit = licences._MIT
+    texts = {1: "MIT License\n\nCopyright (c) 2020 Someone\n\n" + mit.replace(". ", ".\n"), 2: mit.upper().replace("SUBLICENSE", "sub-licence"), 3: "prose\nReleased under the M.I.T. license", 4: "prose\n  released UNDER the mit licence!\nLicensed under CC BY-NC 4.0.", 5: None, 6: "", 7: mit + " more", 8: "© 2021 X\n" + licences._ZLIB}
+    got = {r.doc_id: r for r in licences.scan(spark.createDataFrame(list(texts.items()), "doc_id long, text string").withColumn("licence", F.lit("old"))).collect()}
+    assert {i: got[i].licence for i in texts} == {1: "MIT", 2: "MIT", 3: None, 4: None, 5: None, 6: None, 7: None, 8: "Zlib"}
+    assert got[4].notices == "CC-BY-NC-4.0,MIT" and got[3].notices == "" and got[5].digest == got[6].digest
+    assert licences.scan(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+    assert licences.scan(spark.createDataFrame([(1, "a"), (1, "a"), (None, "b")], "doc_id long, text string")).count() == 3
+
+
+def mixture(n=900, seed=1):
+    r = random.Random(seed)
+    sources = ["a"] * 6 + ["b", "c", "d", None]
+    return [(i, "x" * r.randint(0, 90), "en", r.choice(sources), 0) for i in range(n)]
+
+
+WEIGHTS = {"a": 2, "b": 3, "c": 1}
+
+
+def test_periods_deviate_by_less_than_a_block():
+    r = random.Random(2)
+    for _ in range(60):
+        shares = {f"s{i}": r.randint(1, 12) for i in range(r.randint(1, 9))}
+        rows, length = mixing.period(shares), sum(shares.values())
+        assert sorted(x[2] for x in rows) == list(range(length)) and all(a <= slot < b for _, _, slot, a, b in rows)
+        done = dict.fromkeys(shares, 0)
+        for source, _, slot, *_ in sorted(rows, key=lambda x: x[2]):
+            done[source] += 1
+            assert all(abs(done[s] - (slot + 1) * n / length) < 1 for s, n in shares.items())
+
+
+def test_schedule_covers_all_blocks():
+    phases, periods = mixing.schedule({"a": 17, "b": 4, "c": 0, "d": 30}, {"a": 2, "b": 3, "c": 1, "d": 5})
+    at = {(p["phase"], p["mix_source"], p["k"]): p["at"] for p in periods}
+    slots = {}
+    for p in phases:
+        for j in range(p["first_block"], p["end_block"]):
+            period, k = divmod(j - p["first_block"], p["share"])
+            slots[p["mix_source"], j] = p["base"] + period * p["length"] + at[p["phase"], p["mix_source"], k]
+    assert sorted(slots.values()) == list(range(51)) and set(slots) == {*(("a", j) for j in range(17)), *(("b", j) for j in range(4)), *(("d", j) for j in range(30))}
+
+
+def test_mix_against_brute_force(spark):
+    import hashlib
+
+    rows = mixture()
+    df = spark.createDataFrame(rows, DOCS).repartition(3)
+    got = {x.doc_id: x for x in mixing.mix(df, WEIGHTS, 1, 500).collect()}
+    assert len(got) == len(rows)
+    by: dict = {}
+    for i, t, _, s, _ in sorted(rows, key=lambda x: hashlib.md5(str(x[0]).encode()).hexdigest()):
+        by.setdefault(s if s in WEIGHTS else mixing.REST, []).append((i, len(t) + 1))
+    blocks = {}
+    for s, docs in by.items():
+        at = 0
+        for i, n in docs:
+            assert (got[i].block, got[i].position, got[i].units) == (at // 500, at % 500, n)
+            at += n
+        blocks[s] = -(-at // 500)
+    slot_of = {(x.mix_source, x.block): x.slot for x in got.values()}
+    assert len(set(slot_of.values())) == len(slot_of) and max(slot_of.values()) < sum(blocks.values())
+    assert all(x.release <= x.slot < x.deadline for x in got.values())
+
+
+def test_mix_edges(spark):
+    df = spark.createDataFrame([(1, "a", "en", "a", 1), (1, "a", "en", "a", 1), (None, None, None, None, None), (2, "b" * 5000, "en", "zz", 1)], DOCS)
+    assert mixing.mix(df, WEIGHTS, 1, 500).count() == 4 and mixing.mix(df.limit(0), WEIGHTS).count() == 0
+    assert mixing.mixed(df.withColumn("slot", F.lit("old"))).columns == [*df.columns, "slot"]
+    assert mixing.placements(df).count() == 4
+    for bad in ({"a": 0}, {"a": 1.5}):
+        with pytest.raises(ValueError):
+            mixing.mix(df, bad)
+    plan = mixing.placements(df)._jdf.queryExecution().executedPlan().toString()
+    assert not any(w in plan for w in ("BatchEval", "ArrowEval", "MapIn", "InPandas", "Cartesian"))
+
+
+def test_encoder():
+    r = random.Random(1)
+    encode = packing.Encoder()
+    texts = ["", "a<|endoftext|>b", "Hello  world\n\n\tx", "日本語 ñandú 🙂"] + ["".join(r.choice("ab '.!\n\té1  sé") for _ in range(r.randrange(60))) for _ in range(2000)]
+    for t in texts:
+        assert encode(t) == array("I", encode.exact.encode(t, add_special_tokens=False).ids).tobytes()
+
+
+def slow_best_fit(lengths, capacity):
+    """The number of sequences of best-fit decreasing, one piece after the other."""
+    rooms: list[int] = []
+    for n in sorted(lengths, reverse=True):
+        fits = [i for i, room in enumerate(rooms) if room >= n]
+        if fits:
+            rooms[min(fits, key=lambda i: rooms[i])] -= n
+        else:
+            rooms.append(capacity - n)
+    return len(rooms)
+
+
+def test_plan_is_a_packing():
+    from collections import Counter
+
+    r = random.Random(3)
+    for _ in range(40):
+        capacity = r.choice([7, 32, 2048])
+        lengths = [r.randint(1, capacity) if r.random() < 0.5 else max(1, int(r.expovariate(1 / (capacity / 5)))) % capacity + 1 for _ in range(r.randint(1, 400))]
+        histogram = Counter(lengths)
+        rows = packing.plan(histogram, capacity)
+        placed: dict = {}
+        for n, rank, number, first, offset in rows:
+            for k in range(number):
+                placed.setdefault(first + k, []).append((offset, n))
+        assert Counter(n for x in placed.values() for _, n in x) == histogram
+        for x in placed.values():
+            at = 0
+            for offset, n in sorted(x):
+                assert offset == at
+                at += n
+            assert at <= capacity
+        assert len(placed) <= slow_best_fit(lengths, capacity) * 1.02 + 1
+    assert packing.plan({}) == []
+
+
+def test_pack(spark):
+    r = random.Random(4)
+    texts = [" ".join(r.choice(["the", "of", "xyz", "é", "longerword"]) for _ in range(r.randint(0, 900))) for _ in range(60)] + [None, "", "word " * 9000, "same", "same", "same"]
+    rows = [(i, t, "en", "s", 0) for i, t in enumerate(texts)] + [(3, texts[3], "en", "s", 0), (None, "none", None, None, None)]
+    df = spark.createDataFrame(rows, DOCS).withColumn("piece", F.lit("x")).withColumn("length", F.lit("x"))
+    got = packing.pack(df, 256).collect()
+    encode = packing.Encoder()
+    want = []
+    for i, t, *_ in rows:
+        ids = (encode(t) if t else b"") + b"\0\0\0\0"
+        n = len(ids) // 4
+        first = n % 256 or 256
+        edges = [0, *range(first, n + 1, 256)]
+        want += [(i, k, a, b - a, zlib.crc32(ids[4 * a : 4 * b])) for k, (a, b) in enumerate(zip(edges, edges[1:], strict=False))]
+    key = lambda x: tuple(-1 if v is None else v for v in x)
+    assert sorted(((x.doc_id, x.piece, x.start, x.length, x.ids_crc32) for x in got), key=key) == sorted(want, key=key)
+    by: dict = {}
+    for x in got:
+        by.setdefault(x.sequence_id, []).append((x.offset, x.length))
+    for x in by.values():
+        at = 0
+        for offset, n in sorted(x):
+            assert offset == at
+            at += n
+        assert at <= 256
+    assert packing.pack(df.limit(0)).count() == 0
+
+
+PAGES = [
+    ("<html><head><title>T</title><style>p{}</style></head><body><nav><ul><li><a>Home</a></li></ul></nav><div class=ad>Buy</div><article><h1>Head &amp; all</h1><p>First <b>bold\n text</b>.<p>Second&nbsp;one.</article><footer>&copy;</footer></body>", "Head & all First bold text. Second one."),
+    ("<body><div id='side-bar' class='sidebar'>Links Links Links</div><div class=content><h2>Title</h2><p>A paragraph that is long enough to be chosen as the text of the page.</p><p>Short.</p><div class='user-comments'><p>A reader's long remark that goes on for quite a while, longer than text.</p></div></div></body>", "Title A paragraph that is long enough to be chosen as the text of the page. Short."),
+    ("<body><header>Site</header><main><p>Only text &eacute;&#233;</p><form><p>Name</p></form><aside>x</aside></main><script>var a='</p>';</script></body>", "Only text éé"),
+    ("just <i>text</i>", "just text"), (None, ""), ("", ""), ("<script>x</script>", ""), ("<div class=menu>only a menu</div>", ""), ("<p>" * 3000 + "deep", "deep"), ("</x>" * 2000 + "text", "text"), ("<div>" * 900 + "deep", "deep"),
+]
+
+
+@pytest.mark.parametrize(("html", "text"), PAGES)
+def test_main_text(html, text):
+    assert extraction.main_text(html) == text
+
+
+def test_extract(spark):
+    df = spark.createDataFrame([(i, "u", h) for i, (h, _) in enumerate(PAGES)] + [(0, "u", PAGES[0][0]), (None, None, None)], "page_id long, url string, html string").withColumn("text", F.lit("old"))
+    rows = extraction.extract(df).collect()
+    assert len(rows) == len(PAGES) + 2
+    assert all(r.text == PAGES[r.page_id][1] and r.n_chars == len(r.text) for r in rows if r.page_id is not None)
+    assert extraction.extract(df.limit(0)).columns == ["page_id", "url", "text", "n_chars"] and extraction.extract(df.limit(0)).count() == 0

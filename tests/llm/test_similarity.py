@@ -1,0 +1,245 @@
+import hashlib
+import random
+
+import numpy as np
+import pytest
+import xxhash
+from pyspark.sql import functions as F
+
+from brasstally.llm import fingerprints, neighbours, simhash
+from brasstally.llm.components import components
+
+DOCS = "doc_id long, text string"
+
+
+def slow_fingerprint(text):
+    words = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")
+    words = [w for w in words.translate({i: " " for i in range(9, 14)}).split(" ") if w]
+    if not words:
+        return 0
+    shingles = [" ".join(words[i : i + 3]) for i in range(max(1, len(words) - 2))]
+    h = [xxhash.xxh64_intdigest(s.encode(), 42) for s in shingles]
+    return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
+
+
+@pytest.mark.parametrize("text", [None, "", " \t\n", "one", "Two WORDS", "É é\x0bx\x1fy a b c", "a b c a b c a b c", "x" * 5000, "w " * 70_000])
+def test_fingerprint(text):
+    assert simhash.fingerprint_of(text) == slow_fingerprint(text)
+
+
+def test_fingerprint_is_sparks_hash(spark):
+    text = "Ünï cödé tèxt"
+    got = spark.createDataFrame([(text,)], "t string").select(F.xxhash64(F.lower("t"))).first()[0]
+    assert simhash.fingerprint_of(text.replace("Ü", "ü")) == got % 2**64
+
+
+@pytest.mark.parametrize("n", [1, 2, 63, 65, 700])
+def test_bit_sliced_pairs(n):
+    r = np.random.default_rng(n)
+    base = r.integers(0, 2**64, n, dtype=np.uint64)
+    flips = np.uint64(1) << r.integers(0, 64, (3, n), dtype=np.uint64)
+    fps = np.unique(np.concatenate([base, base ^ flips[0], base ^ flips[0] ^ flips[1], base ^ flips[0] ^ flips[1] ^ flips[2]]))
+    for radius in (0, 1, 2, 3):
+        got = {p for i, j in simhash.close_pairs(fps, radius, 128) for p in zip(i.tolist(), j.tolist(), strict=True)}
+        d = np.bitwise_count(fps[:, None] ^ fps[None, :])
+        assert got == {(i, j) for i, j in zip(*np.nonzero(d <= radius), strict=True) if i < j}
+
+
+def slow_components(fps):
+    root = list(range(len(fps)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i in range(len(fps)):
+        for j in range(i):
+            if bin(fps[i] ^ fps[j]).count("1") <= 2:
+                a, b = find(i), find(j)
+                root[max(a, b)] = min(a, b)
+    return [find(i) for i in range(len(fps))]
+
+
+def test_near_duplicates(spark):
+    r = random.Random(5)
+    words = [f"w{i}" for i in range(400)]
+    texts = [" ".join(r.choice(words) for _ in range(r.randint(1, 120))) for _ in range(60)]
+    for t in texts[:25]:
+        w = t.split()
+        for _ in range(4):
+            w = list(w)
+            w[r.randrange(len(w))] = r.choice(words)
+            texts.append(" ".join(w))
+    texts += [texts[0]] * 5 + [None, "", " "]
+    rows = [(i * 3, t) for i, t in enumerate(texts)]
+    got = {x.doc_id: x for x in simhash.near_duplicates(spark.createDataFrame(rows, DOCS)).collect()}
+    fps = [slow_fingerprint(t) for t in texts]
+    assert [int(got[i].fingerprint, 16) for i, _ in rows] == fps and all(len(x.fingerprint) == 16 for x in got.values())
+    assert [got[i].component_id for i, _ in rows] == [3 * c for c in slow_components(fps)]
+
+
+def test_large_groups_are_split(spark):
+    r = random.Random(1)
+    fps = {0x123456789ABCDEF0}
+    for _ in range(400):
+        f = r.choice(sorted(fps))
+        for _ in range(r.randint(1, 3)):
+            f ^= 1 << r.randrange(64)
+        fps.add(f)
+    fps = sorted(fps)
+    signed = [(f - 2**64 if f >= 2**63 else f,) for f in fps]
+    df = spark.createDataFrame(signed, "fp long")
+    for large in (4, 2048):
+        found = {x.node: x.label for x in components(simhash.links(df, large)).collect()}
+        labels = [found.get(f[0], f[0]) for f in signed]
+        want = slow_components(fps)
+        assert len(set(zip(labels, want, strict=True))) == len(set(labels)) == len(set(want))
+
+
+def test_ids_that_repeat_or_lack(spark):
+    rows = [(5, "same text here now"), (5, "same text here now"), (None, "same text here now"), (None, "another thing altogether, long")]
+    got = simhash.near_duplicates(spark.createDataFrame(rows, DOCS).withColumn("fp", F.lit("x"))).collect()
+    assert sorted((x.doc_id or 0, x.component_id or 0) for x in got) == [(0, 0), (0, 5), (5, 5), (5, 5)]
+    assert simhash.near_duplicates(spark.createDataFrame([], DOCS)).count() == 0
+
+
+def test_components(spark):
+    r = random.Random(2)
+    edges = [(r.randrange(300), r.randrange(300)) for _ in range(200)] + [(i, i + 1) for i in range(400, 460)] + [(7, 7)]
+    root = list(range(500))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for a, b in edges:
+        a, b = find(a), find(b)
+        root[max(a, b)] = min(a, b)
+    got = {x.node: x.label for x in components(spark.createDataFrame(edges, "src long, dst long")).collect()}
+    assert got == {i: find(i) for i in {x for e in edges if e[0] != e[1] for x in e}}
+    assert components(spark.createDataFrame([], "src long, dst long")).count() == 0
+
+
+def slow_sketches(text, hash64):
+    """Order MinHash by plain loops; hash64 is the engine's hash of a list of values."""
+    words = [w for w in (text or "").translate({i: " " for i in range(9, 14)}).strip(" ").split(" ") if w] or [""]
+    n = max(1, len(words) - fingerprints.K + 1)
+    low = (1 << 31) - 1
+    items, seen = [], {}
+    for i in range(n):
+        h = (hash64([("string", w) for w in words[i : i + fingerprints.K]]) % 2**64) >> 33
+        k = seen.get(h, 0)
+        seen[h] = k + 1
+        if k:
+            h = (hash64([("bigint", h), ("int", k - 1)]) % 2**64) >> 33
+        items.append((h, i))
+    items.sort()
+    bins = [h >> 31 - 6 for h, _ in items]
+    chosen = [x for j, x in enumerate(items) if j < 2 or bins[j] != bins[j - 2]]
+    out = []
+    for b in range(fingerprints.SKETCHES):
+        start = sum(h >> 25 < b for h, _ in chosen)
+        pair = sorted(((i, h) for h, i in (chosen[(start + t) % len(chosen)] for t in range(2))))
+        a = 0
+        for _, h in pair:
+            a = hash64([("bigint", a), ("bigint", h & low)])
+        out.append((a % 2**64) >> 40)
+    return "".join(f"{x:06x}" for x in out)
+
+
+def test_order_minhash(spark):
+    memo = {}
+
+    def hash64(values):
+        key = tuple(values)
+        if key not in memo:
+            memo[key] = spark.range(1).select(F.xxhash64(*(F.lit(v).cast(t) for t, v in values))).first()[0]
+        return memo[key]
+
+    texts = ["a b c d e f", "a b a b a b a b a b", "", None, "  x\ty ", "same same same same same"]
+    got = fingerprints.fingerprint(spark.createDataFrame(list(enumerate(texts)), DOCS)).orderBy("doc_id").collect()
+    for row, t in zip(got, texts, strict=True):
+        assert row.fingerprint == slow_sketches(t, hash64)
+
+
+def test_order_matters_and_likeness(spark):
+    r = random.Random(4)
+    words = [f"w{r.randrange(2000)}" for _ in range(600)]
+    half = words[300:] + words[:300]
+    few = list(words)
+    few[100] = few[400] = "changed"
+    other = [f"v{r.randrange(2000)}" for _ in range(600)]
+    rows = [(i, " ".join(w)) for i, w in enumerate([words, few, half, other, words])]
+    df = fingerprints.with_sketches(spark.createDataFrame(rows, DOCS), "text", "s")
+    s = {x.doc_id: x.s for x in df.collect()}
+    like = lambda a, b: sum(x == y for x, y in zip(s[a], s[b], strict=True)) / fingerprints.SKETCHES
+    assert like(0, 4) == 1 and like(0, 1) > 0.9 and like(0, 3) == 0 and like(0, 2) < like(0, 1)
+
+
+def test_edited(spark):
+    r = random.Random(6)
+    texts = [" ".join(r.choice("ab é日 xyz") * r.randint(1, 3) for _ in range(r.randint(0, 60))) for _ in range(80)]
+    rows = [(i * 7 % 1000, t) for i, t in enumerate(texts)] + [(2000, None), (2001, ""), (2002, "long " * 20_000)]
+    for buckets in (1, 5, 40):
+        got = {x.doc_id: x for x in fingerprints.edited(spark.createDataFrame(rows, DOCS).repartition(3), buckets).collect()}
+        order = sorted(rows, reverse=True)
+        for i, (doc, t) in enumerate(order):
+            t, nxt = t or "", order[(i + 1) % len(order)][1] or ""
+            half = len(t) // 2
+            want = t[: len(t) - half] + nxt[:half]
+            assert got[doc].n_chars == len(t) and got[doc].edited_sha256 == hashlib.sha256(want.encode()).hexdigest()
+            assert 0 <= got[doc].near_edited <= 1 and 0 <= got[doc].near_next <= 1
+    one = fingerprints.edited(spark.createDataFrame([(1, "a b c d")], DOCS)).first()
+    assert one.near_next == 1.0
+    assert fingerprints.edited(spark.createDataFrame([], DOCS)).count() == 0
+    twice = fingerprints.edited(spark.createDataFrame([(1, "a"), (1, "a"), (None, "n")], DOCS)).count()
+    assert twice == 3
+
+
+def test_edited_is_native(spark):
+    plan = fingerprints.edited(spark.createDataFrame([(1, "a b c d")], DOCS))._jdf.queryExecution().executedPlan().toString()
+    assert not any(w in plan for w in ("BatchEval", "ArrowEval", "MapIn", "InPandas", "Cartesian"))
+
+
+def test_chi_square():
+    assert neighbours.chi_square_quantile(0.95, 6) == pytest.approx(12.5916, abs=1e-3)
+
+
+def brute(rows, every, k):
+    ok = {i: np.array(v, float) for i, v in rows if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v) and any(v)}
+    out = {}
+    for q in ok:
+        if q % every == 0:
+            c = sorted(((-round(float(ok[q] @ v / np.sqrt(ok[q] @ ok[q]) / np.sqrt(v @ v)), 12), i) for i, v in ok.items() if i != q and len(v) == len(ok[q])))
+            out[q] = c[:k]
+    return out
+
+
+def test_nearest(spark):
+    r = np.random.default_rng(9)
+    centres = r.normal(size=(12, 16))
+    rows = [(i, [float(np.float32(x)) for x in centres[i % 12] + 0.4 * r.normal(size=16)]) for i in range(900)]
+    rows += [(1000 + i, rows[3][1]) for i in range(300)]
+    rows += [(2000, None), (2001, [0.0] * 16), (2002, [float("nan")] + [1.0] * 15), (2003, [None] + [1.0] * 15), (None, rows[0][1]), (2050, [float("inf")] + [1.0] * 15)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    want = brute(rows, 50, 5)
+    got = {}
+    for x in neighbours.nearest(df.withColumn("score", F.lit(1)), block_rows=200).orderBy("query_id", "rank").collect():
+        got.setdefault(x.query_id, []).append((x.rank, x.vec_id, x.score))
+    assert set(got) == set(want)
+    hits = 0
+    for q, found in got.items():
+        assert [f[0] for f in found] == [1, 2, 3, 4, 5]
+        assert [(-round(f[2], 12), f[1]) for f in found] == sorted((-round(f[2], 12), f[1]) for f in found)
+        hits += len({f[1] for f in found} & {i for _, i in want[q]})
+    assert hits / (5 * len(want)) >= 0.9
+    # among equal vectors the smallest ids count
+    assert [f[1] for f in got[1000]] == [3, 1001, 1002, 1003, 1004]
+
+
+def test_nearest_few_rows(spark):
+    df = spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.0, 1.0]), (2, [1.0, 1.0])], "vec_id long, embedding array<double>")
+    assert [(x.vec_id, round(x.score, 6)) for x in neighbours.nearest(df).orderBy("rank").collect()] == [(2, 0.707107), (1, 0.0)]
+    assert neighbours.nearest(df.limit(0)).count() == 0 and neighbours.nearest(df.limit(1)).count() == 0
