@@ -133,3 +133,49 @@ def placements(docs: DataFrame) -> DataFrame:
 def mixed(docs: DataFrame) -> DataFrame:
     """The rows and columns of ``docs`` in the order of the production mix."""
     return mix(docs).orderBy("slot", "position").select(*docs.columns)
+
+
+def _oracle() -> str:
+    """The same mix in SQL: recursion over phases, and over the slots of each phase's period."""
+    w = ", ".join(f"('{s}', {n})" for s, n in (WEIGHTS | {REST: REST_WEIGHT}).items())
+    return f"""
+WITH RECURSIVE weights AS (SELECT * FROM (VALUES {w}) v(s, w)),
+docs AS (
+  SELECT doc_id, source, CASE WHEN source IN (SELECT s FROM weights) THEN source ELSE '{REST}' END AS mix_source, coalesce(length(text), 0) + 1 AS units,
+    coalesce(md5(doc_id::VARCHAR), '') AS o FROM documents
+), placed AS (
+  SELECT *, coalesce(sum(units) OVER (PARTITION BY mix_source ORDER BY o, units ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS before FROM docs
+), totals AS (
+  SELECT mix_source AS s, any_value(w) AS w, ceil(sum(units) / {BLOCK_UNITS}.0)::BIGINT AS n FROM docs JOIN weights ON s = mix_source GROUP BY 1
+), phases AS (
+  SELECT 0 AS phase, 0::BIGINT AS base, 0::BIGINT AS length, 0::BIGINT AS repeats, list({{'s': s, 'w': w, 'n': n, 'done': 0::BIGINT, 'share': 0::BIGINT, 'first': 0::BIGINT}} ORDER BY s) AS st FROM totals
+  UNION ALL
+  SELECT phase + 1, base + length * repeats, list_sum(list_transform(st2, lambda x: x.share))::BIGINT, repeats2,
+    list_transform(st2, lambda x: {{'s': x.s, 'w': x.w, 'n': x.n - x.share * repeats2, 'done': x.done + x.share * repeats2, 'share': x.share, 'first': x.done}})
+  FROM (
+    SELECT *, greatest(whole, 1) AS repeats2, list_transform(alive, lambda x: {{'s': x.s, 'w': x.w, 'n': x.n, 'done': x.done, 'share': CASE WHEN whole > 0 THEN x.w::BIGINT ELSE least(x.n, x.w) END}}) AS st2
+    FROM (SELECT *, list_min(list_transform(alive, lambda x: x.n // x.w)) AS whole FROM (SELECT *, list_filter(st, lambda x: x.n > 0) AS alive FROM phases) WHERE len(alive) > 0)
+  )
+), shares AS (
+  SELECT phase, base, length, repeats, x.s AS s, x.share AS share, x.first AS first FROM (SELECT phase, base, length, repeats, unnest(st) AS x FROM phases WHERE phase > 0)
+), runs AS (
+  SELECT phase, any_value(length) AS length, list({{'s': s, 'n': share}} ORDER BY s) AS sh FROM shares GROUP BY phase
+), edf AS (
+  SELECT phase, length, sh, -1::BIGINT AS slot, list_transform(sh, lambda x: 0::BIGINT) AS done, NULL::STRUCT(d BIGINT, s VARCHAR, k BIGINT, i BIGINT, r BIGINT) AS job FROM runs
+  UNION ALL
+  SELECT phase, length, sh, slot, list_transform(range(1, len(sh) + 1), lambda i: done[i] + CASE WHEN i = job2.i THEN 1 ELSE 0 END), job2 FROM (
+    SELECT phase, length, sh, slot + 1 AS slot, done, list_min(list_filter(list_transform(range(1, len(sh) + 1), lambda i:
+      {{'d': ((done[i] + 1) * length + sh[i].n - 1) // sh[i].n, 's': sh[i].s, 'k': done[i], 'i': i, 'r': done[i] * length // sh[i].n}}), lambda j: j.k < sh[j.i].n AND j.r <= slot + 1)) AS job2
+    FROM edf WHERE slot + 1 < length
+  )
+), blocks AS (SELECT *, before // {BLOCK_UNITS} AS block, before % {BLOCK_UNITS} AS position FROM placed),
+timed AS (
+  SELECT b.*, h.phase, (block - first) % share AS k, base + ((block - first) // share) * length AS start
+  FROM blocks b JOIN shares h ON h.s = b.mix_source AND block >= first AND block < first + share * repeats
+)
+SELECT doc_id, source, mix_source, block, start + e.slot AS slot, start + e.job.r AS release, start + e.job.d AS deadline, position, units
+FROM timed t JOIN edf e ON e.phase = t.phase AND e.job.s = t.mix_source AND e.job.k = t.k
+"""
+
+
+ORACLE = _oracle()

@@ -55,4 +55,4 @@ QUERIES = {
         op6_mixing, op7_licences, op8_packing, op9_simhash, op10_html_extraction,
     )
 }
-ORACLE_SQL = {"op1_chat_formatting": chat.ORACLE, "op7_licences": licences.ORACLE}
+ORACLE_SQL = {"op1_chat_formatting": chat.ORACLE, "op6_mixing": mixing.ORACLE, "op7_licences": licences.ORACLE}
