@@ -1,6 +1,6 @@
 """Quality: votes of the nearest labelled documents in a latent-semantic space.
 
-A document is a bag of frequent words and of word shapes (``Ab``, ``A!``, ``a*``, ``|`` ...).
+A document is a bag of frequent words, and of word shapes (``Ab``, ``A!``, ``a*``, ``|`` ...).
 Weighted by tf-idf, the labelled sample's matrix is factorised; its rows, projected on the leading
 singular vectors, are broadcast. Every document is projected likewise and compared with all
 labelled vectors by exact cosine products in blocks; the nearest ones vote with their
@@ -22,8 +22,8 @@ from pyspark.sql import functions as F
 from brasstally.llm.common import key_crc32, labelled_sample, widened
 
 #: Labelled rows that the space is fitted on and whose vectors are broadcast, at most.
-MAX_TRAINING_ROWS = 6_000
-MAX_TERMS = 4_096
+MAX_TRAINING_ROWS = 5_000
+MAX_TERMS = 2_048
 DIMENSIONS = 48
 NEIGHBOURS = 25
 #: Documents compared at once with all labelled vectors.
@@ -60,6 +60,10 @@ class _Ids(dict):
         return value
 
 
+def _unit(m: np.ndarray) -> np.ndarray:
+    return m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-12)
+
+
 @dataclass(frozen=True)
 class Space:
     """Vocabulary with idf, projection, and the labelled vectors (unit length) with their labels."""
@@ -72,9 +76,8 @@ class Space:
     prior: float
     neighbours: int = NEIGHBOURS
 
-    def vectorise(self, texts: list[str], ids: _Ids | None = None) -> np.ndarray:
-        """Rows of unit length, or zero where a text has no known term."""
-        ids = _Ids(self.vocabulary) if ids is None else ids
+    def weighted(self, texts: list[str], ids: _Ids) -> np.ndarray:
+        """tf-idf rows of unit length, or zero where a text has no known term."""
         n = len(self.vocabulary)
         counts = np.zeros((len(texts), n + 1), np.float32)
         for i, text in enumerate(texts):
@@ -85,12 +88,10 @@ class Space:
                 ids.clear()
             both = np.fromiter(map(ids.__getitem__, words), np.int64, len(words))
             counts[i] = np.bincount(both // (n + 1), minlength=n + 1) + np.bincount(both % (n + 1), minlength=n + 1)
-        return self.project(counts[:, :n])
+        return _unit(np.log1p(counts[:, :n]) * self.idf)
 
-    def project(self, counts: np.ndarray) -> np.ndarray:
-        weighted = np.log1p(counts) * self.idf
-        v = (weighted / np.maximum(np.linalg.norm(weighted, axis=1, keepdims=True), 1e-12)) @ self.projection
-        return v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12)
+    def vectorise(self, texts: list[str], ids: _Ids | None = None) -> np.ndarray:
+        return _unit(self.weighted(texts, _Ids(self.vocabulary) if ids is None else ids) @ self.projection)
 
     def vote(self, vectors: np.ndarray) -> np.ndarray:
         """Labels of the nearest vectors, weighted by similarity; the sample's mean label where none is similar."""
@@ -104,7 +105,58 @@ class Space:
         return np.clip(((weight * self.labels[near]).sum(1) + small * self.prior) / (weight.sum(1) + small), 0, 1)
 
     def score(self, texts: list[str], ids: _Ids | None = None) -> np.ndarray:
-        return self.vote(self.vectorise(texts, ids)) if texts else np.zeros(0)
+        return self.vote(self.vectorise(texts, ids)) if texts and len(self.labels) else np.full(len(texts), self.prior)
+
+
+def _count_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    schema = pa.schema([("term", pa.string()), ("n", pa.int64())])
+    for batch in batches:
+        seen: Counter = Counter()
+        for text in batch["text"].to_pylist():
+            seen.update({t for w in set(text.split()) for t in terms(w)})
+        yield pa.RecordBatch.from_pydict({"term": list(seen), "n": list(seen.values())}, schema=schema)
+
+
+def fit(sample: DataFrame, max_terms: int = MAX_TERMS, dimensions: int = DIMENSIONS) -> Space:
+    """The space of (text, label) rows, which ``labelled_sample`` bounds.
+
+    The vocabulary is the ``max_terms`` terms of most documents (ties: in the order of their
+    names). With no rows the space is empty and every score is 0.5.
+    """
+    top = sample.mapInArrow(_count_terms, "term string, n long").groupBy("term").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "term").limit(max_terms).collect()
+    vocabulary = {r["term"]: i for i, r in enumerate(top)}
+    n, v = sample.count(), len(vocabulary)
+    idf = np.array([np.log((1 + n) / (1 + r["n"])) + 0.1 for r in top], np.float32)
+    none = np.zeros((0, 0), np.float32)
+    raw = Space(vocabulary, idf, none, none, np.zeros(0), 0.5)
+    if not n or not v:
+        return raw
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids = _Ids(vocabulary)
+        for batch in batches:
+            for at in range(0, batch.num_rows, BLOCK):
+                part = batch.slice(at, BLOCK)
+                m = raw.weighted(part["text"].to_pylist(), ids).astype(np.float16)
+                yield pa.RecordBatch.from_arrays([pa.array([r.tobytes() for r in m], pa.binary()), part["label"]], names=["row", "label"])
+
+    # MAX_TRAINING_ROWS x MAX_TERMS numbers of two bytes; sorted, so that tasks' order doesn't matter
+    got = sorted((bytes(r["row"]), r["label"]) for r in sample.mapInArrow(rows, "row binary, label int").toLocalIterator())
+    x = np.frombuffer(b"".join(r for r, _ in got), np.float16).reshape(len(got), v)
+    labels = np.array([label for _, label in got], float)
+    del got
+    gram = np.zeros((v, v), np.float32)
+    for at in range(0, len(x), BLOCK):
+        part = x[at : at + BLOCK].astype(np.float32)
+        gram += part.T @ part
+    vectors = np.linalg.eigh(gram)[1]
+    lead = np.ascontiguousarray(vectors[:, ::-1][:, : min(dimensions, v)])
+    own = np.concatenate([x[at : at + BLOCK].astype(np.float32) @ lead for at in range(0, len(x), BLOCK)])
+    return Space(vocabulary, idf, lead, _unit(own), labels, float(labels.mean()))
+
+
+def score(self, texts: list[str], ids: _Ids | None = None) -> np.ndarray:
+        return self.vote(self.vectorise(texts, ids)) if texts and len(self.labels) else np.full(len(texts), self.prior)
 
 
 def _count_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
