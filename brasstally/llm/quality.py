@@ -1,6 +1,6 @@
 """Quality: votes of the nearest labelled documents in a latent-semantic space.
 
-A document is a bag of frequent words, and of word shapes (``Ab``, ``A!``, ``a*``, ``|`` ...).
+A document is a bag of frequent words, of word shapes (``Ab``, ``A!``, ``a*``, ``|`` ...) and of marks for repeated words and lines.
 Weighted by tf-idf, the labelled sample's matrix is factorised; its rows, projected on the leading
 singular vectors, are broadcast. Every document is projected likewise and compared with all
 labelled vectors by exact cosine products in blocks; the nearest ones vote with their
@@ -13,6 +13,7 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from operator import eq
 
 import numpy as np
 import pyarrow as pa
@@ -47,6 +48,19 @@ def terms(word: str) -> tuple[str, str]:
     return f"w:{word.lower()[:32]}", f"s:{shape(word)}"
 
 
+def marks(text: str, words: list[str]) -> list[str]:
+    """Features of a whole text: tenths of its words that repeat the one before and of its lines that occurred before."""
+    out = []
+    again = sum(map(eq, words, words[1:]))
+    if 10 * again >= len(words) > 0:
+        out.append(f"r:{10 * again // len(words)}")
+    lines = [x for x in text.split("\n") if x]
+    twice = len(lines) - len(set(lines))
+    if 10 * twice >= len(lines) > 0:
+        out.append(f"l:{10 * twice // len(lines)}")
+    return out
+
+
 class _Ids(dict):
     """Ids of a word's two terms; MAX_TERMS stands for an unknown one. Forgets all when it grows too large."""
 
@@ -88,6 +102,8 @@ class Space:
                 ids.clear()
             both = np.fromiter(map(ids.__getitem__, words), np.int64, len(words))
             counts[i] = np.bincount(both // (n + 1), minlength=n + 1) + np.bincount(both % (n + 1), minlength=n + 1)
+            for mark in marks(text, words):
+                counts[i, self.vocabulary.get(mark, n)] += len(words)
         return _unit(np.log1p(counts[:, :n]) * self.idf)
 
     def vectorise(self, texts: list[str], ids: _Ids | None = None) -> np.ndarray:
@@ -113,7 +129,8 @@ def _count_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         seen: Counter = Counter()
         for text in batch["text"].to_pylist():
-            seen.update({t for w in set(text.split()) for t in terms(w)})
+            words = text.split()
+            seen.update({t for w in set(words) for t in terms(w)} | set(marks(text, words)))
         yield pa.RecordBatch.from_pydict({"term": list(seen), "n": list(seen.values())}, schema=schema)
 
 
@@ -121,9 +138,9 @@ def fit(sample: DataFrame, max_terms: int = MAX_TERMS, dimensions: int = DIMENSI
     """The space of (text, label) rows, which ``labelled_sample`` bounds.
 
     The vocabulary is the ``max_terms`` terms of most documents (ties: in the order of their
-    names). With no rows the space is empty and every score is 0.5.
+    names), all marks that occur among them. With no rows the space is empty and every score is 0.5.
     """
-    top = sample.mapInArrow(_count_terms, "term string, n long").groupBy("term").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "term").limit(max_terms).collect()
+    top = sample.mapInArrow(_count_terms, "term string, n long").groupBy("term").agg(F.sum("n").alias("n")).orderBy(~F.col("term").rlike("^[rl]:"), F.desc("n"), "term").limit(max_terms).collect()
     vocabulary = {r["term"]: i for i, r in enumerate(top)}
     n, v = sample.count(), len(vocabulary)
     idf = np.array([np.log((1 + n) / (1 + r["n"])) + 0.1 for r in top], np.float32)
@@ -164,7 +181,8 @@ def _count_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         seen: Counter = Counter()
         for text in batch["text"].to_pylist():
-            seen.update({t for w in set(text.split()) for t in terms(w)})
+            words = text.split()
+            seen.update({t for w in set(words) for t in terms(w)} | set(marks(text, words)))
         yield pa.RecordBatch.from_pydict({"term": list(seen), "n": list(seen.values())}, schema=schema)
 
 
@@ -172,9 +190,9 @@ def fit(sample: DataFrame, max_terms: int = MAX_TERMS, dimensions: int = DIMENSI
     """The space of (text, label) rows, which ``labelled_sample`` bounds.
 
     The vocabulary is the ``max_terms`` terms of most documents (ties: in the order of their
-    names). With no rows the space is empty and every score is 0.5.
+    names), all marks that occur among them. With no rows the space is empty and every score is 0.5.
     """
-    top = sample.mapInArrow(_count_terms, "term string, n long").groupBy("term").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "term").limit(max_terms).collect()
+    top = sample.mapInArrow(_count_terms, "term string, n long").groupBy("term").agg(F.sum("n").alias("n")).orderBy(~F.col("term").rlike("^[rl]:"), F.desc("n"), "term").limit(max_terms).collect()
     vocabulary = {r["term"]: i for i, r in enumerate(top)}
     n, v = sample.count(), len(vocabulary)
     idf = np.array([np.log((1 + n) / (1 + r["n"])) + 0.1 for r in top], np.float32)
