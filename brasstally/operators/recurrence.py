@@ -41,6 +41,11 @@ class RecurrenceConfig:
         return (("weekly", 7, self.weekly_window), ("biweekly", 14, self.biweekly_window), ("monthly", 30, self.monthly_window))
 
 
+def _gap(later: Column, earlier: Column) -> Column:
+    """Whole days of elapsed time between two timestamps in order."""
+    return F.call_function("div", F.unix_micros(later) - F.unix_micros(earlier), F.lit(DAY_MICROS))
+
+
 def _cadence(config: RecurrenceConfig, gaps: Column, low: Column, high: Column) -> Column:
     chain = F.when(gaps == 0, "none")
     for name, days, window in config.cadences():
@@ -69,7 +74,8 @@ def label(df: DataFrame, config: RecurrenceConfig | None = None, order: str = "_
     """``df`` with recurrence_group_key, is_recurring and five more recurrence columns on every row.
 
     A group's reference amount is that of its first row by ``order``. Gaps are whole days of elapsed time between
-    neighbouring timestamps. Groups are aggregated once and joined back, so that only the gaps need the sort. With
+    neighbouring timestamps. A popular merchant makes one group of many accounts, so rows are sorted within single days of a group only: the
+    gaps between days come from each day's first and last timestamp. Groups are aggregated once and joined back. With
     ``strict`` rows without timestamp or amount are an error.
     """
     config = (config or RecurrenceConfig()).checked()
@@ -82,13 +88,19 @@ def label(df: DataFrame, config: RecurrenceConfig | None = None, order: str = "_
     new = ("recurrence_group_key", "is_recurring", "recurrence_cadence", "recurrence_confidence", "recurrence_occurrence_count", "recurrence_interval_days", "recurrence_amount_reference")
     keyed = df.drop(*new).withColumn("recurrence_group_key", F.concat_ws("|", *(text.match_form(F.col(c)) for c in parts)))
 
-    by_time = Window.partitionBy("recurrence_group_key").orderBy("_ts", order)
-    slim = keyed.select("recurrence_group_key", F.col(order).alias(order), F.col("timestamp").cast("timestamp").alias("_ts"), money.not_nan(F.col("amount").cast("double")).alias("_amount"))
-    gap = F.expr(f"(unix_micros(_ts) - unix_micros(_before)) div {DAY_MICROS}")
-    gapped = slim.withColumn("_before", F.lag("_ts").over(by_time)).withColumn("_gap", gap)
-    groups = gapped.groupBy("recurrence_group_key").agg(
-        F.count("*").alias("_n"), F.count("_gap").alias("_gaps"), F.min("_gap").alias("_low"), F.max("_gap").alias("_high"), F.avg("_gap").alias("_mean"),
-        F.min_by("_amount", order).alias("_ref"), F.min("_amount").alias("_least"), F.max("_amount").alias("_most"),
+    slim = keyed.select("recurrence_group_key", F.col(order).alias("_o"), F.col("timestamp").cast("timestamp").alias("_ts"), money.not_nan(F.col("amount").cast("double")).alias("_amount"))
+    slim = slim.withColumn("_day", F.expr(f"unix_micros(_ts) div {DAY_MICROS}"))
+    by_time = Window.partitionBy("recurrence_group_key", "_day").orderBy("_ts", "_o")
+    gapped = slim.withColumn("_gap", _gap(F.col("_ts"), F.lag("_ts").over(by_time)))
+    days = gapped.groupBy("recurrence_group_key", "_day").agg(
+        F.count("*").alias("_n"), F.count("_gap").alias("_gaps"), F.min("_gap").alias("_low"), F.max("_gap").alias("_high"), F.sum("_gap").alias("_sum"), F.min("_ts").alias("_from"), F.max("_ts").alias("_to"),
+        F.min(F.struct("_o", "_amount")).alias("_first"), F.min("_amount").alias("_least"), F.max("_amount").alias("_most"),
+    )
+    # a row for each group and day from here on
+    by_day = Window.partitionBy("recurrence_group_key").orderBy("_day")
+    groups = days.withColumn("_gap", _gap(F.col("_from"), F.lag("_to").over(by_day))).groupBy("recurrence_group_key").agg(
+        F.sum("_n").alias("_n"), (F.sum("_gaps") + F.count("_gap")).alias("_gaps"), F.least(F.min("_low"), F.min("_gap")).alias("_low"), F.greatest(F.max("_high"), F.max("_gap")).alias("_high"),
+        (F.coalesce(F.sum("_sum"), F.lit(0)) + F.coalesce(F.sum("_gap"), F.lit(0))).alias("_sum"), F.min("_first")["_amount"].alias("_ref"), F.min("_least").alias("_least"), F.max("_most").alias("_most"),
     )
 
     def apart(value: str) -> Column:
@@ -106,7 +118,7 @@ def label(df: DataFrame, config: RecurrenceConfig | None = None, order: str = "_
             F.col("recurrence_group_key"),
             ((n >= config.min_group) & (F.col("recurrence_cadence") != "none") & F.col("_steady")).alias("is_recurring"),
             "recurrence_cadence", "recurrence_confidence", n.alias("recurrence_occurrence_count"),
-            F.coalesce("_mean", F.lit(0.0)).alias("recurrence_interval_days"), F.col("_ref").alias("recurrence_amount_reference"),
+            F.when(gaps > 0, F.col("_sum") / gaps).otherwise(0.0).alias("recurrence_interval_days"), F.col("_ref").alias("recurrence_amount_reference"),
         )
     )
     return keyed.join(judged, "recurrence_group_key").select(*df.drop(*new).columns, *new)
