@@ -185,11 +185,12 @@ def extract(pages: DataFrame) -> DataFrame:
     """
     keep = pages.drop("text", "n_chars")
     rest = keep.drop("html")
+    names = rest.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             text = pa.array([main_text(h) for h in batch["html"].to_pylist()], pa.string())
             size = pa.array([len(t) for t in text.to_pylist()], pa.int64())
-            yield pa.RecordBatch.from_arrays([*(batch[c] for c in rest.columns), text, size], names=[*rest.columns, "text", "n_chars"])
+            yield pa.RecordBatch.from_arrays([*(batch[c] for c in names), text, size], names=[*names, "text", "n_chars"])
 
     return keep.mapInArrow(run, widened(rest, text="string", n_chars="long"))
