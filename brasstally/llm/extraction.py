@@ -29,6 +29,7 @@ OUT = frozenset("nav aside header footer form script style head noscript templat
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar status".split())
 #: Words of class and id attributes that mark what isn't article text.
 HINTS = frozenset("nav navbar navigation menu menubar breadcrumb breadcrumbs header masthead banner footer foot sidebar aside ad ads advert adverts advertisement advertising adbox adslot sponsor sponsored promo promotion cookie cookies consent gdpr notice notices notification alert popup modal overlay newsletter subscribe subscription signup login social share sharing related recommended recommendations comment comments disqus replies respond widget toolbar pagination pager skip copyright disclaimer legal".split())
+ABOUT = frozenset("no not has have with without is".split())
 ARTICLE_ROLES = frozenset(("main", "article"))
 #: An element that starts closes an open one of these, with all that is open inside.
 CLOSES = {"p": BLOCKS - {"br", "title"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr"}, "td": {"td", "th", "tr"}, "th": {"td", "th", "tr"}, "option": {"option"}, "head": {"body", *(BLOCKS - {"title", "head", "html"})}}
@@ -42,9 +43,12 @@ SHARE = 0.9
 
 
 def _hinted(attrs: list[tuple[str, str | None]]) -> bool:
+    """Whether attributes mark what isn't article text; a name such as ``no-sidebar`` or ``has-menu`` tells of the page around it."""
     for name, value in attrs:
-        if name in ("class", "id") and value and any(w.lower() in HINTS for w in _WORD.findall(value)):
-            return True
+        if name in ("class", "id") and value:
+            words = [w.lower() for w in _WORD.findall(value)]
+            if any(w in HINTS and before not in ABOUT for before, w in zip(["", *words], words)):
+                return True
         if name == "role" and value and value.strip().lower() in ROLES:
             return True
         if name == "hidden" or name == "aria-hidden" and value == "true":
@@ -57,7 +61,7 @@ class _Lines(HTMLParser):
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.open: list[tuple[str, int, bool]] = []  # tag, number, out
+        self.open: list[tuple[str, int, bool, bool]] = []  # tag, number, out by element or role, out by a hint
         self.lines: list[tuple[str, int, int, bool]] = []
         self.parent = [0]
         self.names: Counter[str] = Counter()
@@ -71,7 +75,8 @@ class _Lines(HTMLParser):
             text = _SPACE.sub(" ", "".join(self.parts)).strip()
             self.parts = []
             if text:
-                self.lines.append((text, self.tags, *(self.open[-1][1:] if self.open else (0, False))))
+                _, n, out, hinted = self.open[-1] if self.open else ("", 0, False, False)
+                self.lines.append((text, self.tags, n, out or hinted))
                 self.tags = 0
 
     def handle_starttag(self, tag, attrs):
@@ -82,15 +87,19 @@ class _Lines(HTMLParser):
         if tag in VOID:
             return
         number = len(self.parent)
-        above, inside = self.open[-1][1:] if self.open else (0, False)
+        _, above, out, hinted = self.open[-1] if self.open else ("", 0, False, False)
         self.parent.append(above)
-        own = tag not in ("html", "body", "article", "main") and (tag in OUT or _hinted(attrs))
-        self.open.append((tag, number, inside or own))
+        marked = tag not in ("html", "body", "main") and _hinted(attrs)
+        if (tag in ("article", "main") or any(k == "role" and v in ARTICLE_ROLES for k, v in attrs)) and not marked:
+            if not self.article:
+                # what holds the article isn't out, whatever it is called
+                self.open = [(t, n, o, False) for t, n, o, _ in self.open]
+                hinted = False
+            self.article.add(number)
+        self.open.append((tag, number, out or tag in OUT, hinted or marked))
         self.names[tag] += 1
         if tag in CONTAINERS:
             self.containers.add(number)
-        if tag in ("article", "main") or any(k == "role" and v in ARTICLE_ROLES for k, v in attrs):
-            self.article.add(number)
 
     def handle_startendtag(self, tag, attrs):
         self.handle_starttag(tag, attrs)

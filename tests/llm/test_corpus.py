@@ -185,6 +185,8 @@ PAGES = [
     ("<html><head><title>T</title><style>p{}</style></head><body><nav><ul><li><a>Home</a></li></ul></nav><div class=ad>Buy</div><article><h1>Head &amp; all</h1><p>First <b>bold\n text</b>.<p>Second&nbsp;one.</article><footer>&copy;</footer></body>", "Head & all First bold text. Second one."),
     ("<body><div id='side-bar' class='sidebar'>Links Links Links</div><div class=content><h2>Title</h2><p>A paragraph that is long enough to be chosen as the text of the page.</p><p>Short.</p><div class='user-comments'><p>A reader's long remark that goes on for quite a while, longer than text.</p></div></div></body>", "Title A paragraph that is long enough to be chosen as the text of the page. Short."),
     ("<body><header>Site</header><main><p>Only text &eacute;&#233;</p><form><p>Name</p></form><aside>x</aside></main><script>var a='</p>';</script></body>", "Only text éé"),
+    ("<body><div class='page no-sidebar'><p>Text of a page whose wrapper tells of what it lacks.</p><p>More.</p></div><div class='cookieNotice'>We use cookies</div></body>", "Text of a page whose wrapper tells of what it lacks. More."),
+    ("<body><div id='sidebar-layout'><div class=menu>Menu</div><article><p>Inside.</p><div class=ads>Ad</div></article><div id=comments><article class=comment><p>A long remark by a reader that is longer than the text.</p></article></div></div></body>", "Inside."),
     ("just <i>text</i>", "just text"), (None, ""), ("", ""), ("<script>x</script>", ""), ("<div class=menu>only a menu</div>", ""), ("<p>" * 3000 + "deep", "deep"), ("</x>" * 2000 + "text", "text"), ("<div>" * 900 + "deep", "deep"),
 ]
 
