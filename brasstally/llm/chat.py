@@ -20,23 +20,30 @@ def _render(role: Column, text: Column) -> Column:
     return F.concat(F.lit("<|"), role, F.lit("|>\n"), F.replace(text, F.lit("<|"), F.lit("< |")), F.lit("\n<|end|>\n"))
 
 
-def with_prefix_hashes(turns: DataFrame) -> DataFrame:
-    """conv_id, n (turns up to this one), role, text, a and b (hashes of the first n turns) and last."""
-    order = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
-    clean = turns.select("conv_id", "turn", F.coalesce("role", F.lit(NO_ROLE)).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
-    placed = clean.withColumn("n", F.row_number().over(order)).withColumn("last", F.lead("n").over(order).isNull())
-    for name, seed in (("a", 1), ("b", 2)):
-        placed = placed.withColumn(name, F.bit_xor(F.xxhash64(F.lit(seed), "n", "role", "text")).over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    return placed
+def cleaned(turns: DataFrame) -> DataFrame:
+    """conv (conv_id as text, empty for null), conv_id, turn, role and text."""
+    return turns.select(
+        F.coalesce(F.col("conv_id").cast("string"), F.lit("")).alias("conv"), "conv_id", "turn",
+        F.coalesce("role", F.lit(NO_ROLE)).alias("role"), F.coalesce("text", F.lit("")).alias("text"),
+    )
+
+
+def prefix_hashes(clean: DataFrame) -> DataFrame:
+    """conv, conv_id, n (turns up to this one), a and b (hashes of the first n turns) and last; no text is shuffled for it."""
+    order = Window.partitionBy("conv").orderBy("turn", "role", "ha", "hb")
+    slim = clean.select("conv", "conv_id", "turn", "role", *(F.xxhash64(F.lit(seed), "role", "text").alias(h) for h, seed in (("ha", 1), ("hb", 2))))
+    placed = slim.withColumn("n", F.row_number().over(order)).withColumn("last", F.lead("n").over(order).isNull())
+    rolling = order.rowsBetween(Window.unboundedPreceding, 0)
+    return placed.select("conv", "conv_id", "n", "last", *(F.bit_xor(F.xxhash64("n", h)).over(rolling).alias(x) for x, h in (("a", "ha"), ("b", "hb"))))
 
 
 def maximal(placed: DataFrame) -> DataFrame:
-    """conv_id and n_copies (equal conversations) of the conversations that begin no longer one."""
+    """conv and n_copies (equal conversations) of the conversations that begin no longer one."""
     key = ["n", "a", "b"]
     # equal conversations and equal beginnings become one row before they meet
-    whole = placed.where("last").groupBy(*key).agg(F.min("conv_id").alias("conv_id"), F.count("*").alias("n_copies"))
+    whole = placed.where("last").groupBy(*key).agg(F.min_by("conv", "conv_id").alias("first"), F.min("conv").alias("none"), F.count("*").alias("n_copies"))
     beginnings = placed.where("not last").select(*key).distinct()
-    return whole.join(beginnings, key, "left_anti").select("conv_id", "n_copies")
+    return whole.join(beginnings, key, "left_anti").select(F.coalesce("first", "none").alias("conv"), "n_copies")
 
 
 def format_chats(turns: DataFrame) -> DataFrame:
@@ -46,11 +53,11 @@ def format_chats(turns: DataFrame) -> DataFrame:
     conversation. Other columns are ignored; an empty table gives an empty result. A conversation is one output row, so
     it has to fit into one.
     """
-    placed = with_prefix_hashes(turns)
-    kept = maximal(placed).withColumnRenamed("conv_id", "kept")
-    parts = F.array_sort(F.collect_list(F.struct("n", _render(F.col("role"), F.col("text")).alias("part"))))
-    chosen = placed.join(kept, F.col("conv_id").eqNullSafe(F.col("kept")))
-    return chosen.groupBy("conv_id", "n_copies").agg(F.count("*").alias("n_turns"), F.array_join(F.transform(parts, lambda p: p["part"]), "").alias("text")).select("conv_id", "n_turns", "n_copies", "text")
+    clean = cleaned(turns)
+    kept = maximal(prefix_hashes(clean))
+    parts = F.array_sort(F.collect_list(F.struct("turn", "role", "text")))
+    rendered = F.array_join(F.transform(parts, lambda p: _render(p["role"], p["text"])), "")
+    return clean.join(kept, "conv").groupBy("conv", "conv_id", "n_copies").agg(F.count("*").alias("n_turns"), rendered.alias("text")).select("conv_id", "n_turns", "n_copies", "text")
 
 
 ORACLE = """

@@ -146,21 +146,22 @@ def fit_curve(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, steps: int = 50
     return tuple(float(v) for v in w)
 
 
-def fit(sample: DataFrame, min_docs: int = 4, min_log_odds: float = 2.0, max_terms: int = 5000) -> Lexicon:
+def fit(sample: DataFrame, min_docs: int = 4, min_share: float = 0.005, min_log_odds: float = 3.0, max_terms: int = 5000) -> Lexicon:
     """Lexicon and curve from (text, label) rows, which ``labelled_sample`` bounds.
 
-    A term needs ``min_docs`` toxic documents and ``min_log_odds``; the ``max_terms`` with the largest
-    weights stay. Without toxic rows the lexicon is empty and every score is the same low value.
+    A term needs ``min_docs`` and ``min_share`` of the toxic documents and ``min_log_odds``; copies of a document
+    count once. The ``max_terms`` with the largest weights stay. Without toxic rows the lexicon is empty and every score is the same low value.
     """
-    size = {r["label"]: r["n"] for r in sample.groupBy("label").agg(F.count("*").alias("n")).collect()}
+    distinct = sample.dropDuplicates(["text", "label"])
+    size = {r["label"]: r["n"] for r in distinct.groupBy("label").agg(F.count("*").alias("n")).collect()}
     n1, n0 = size.get(1, 0), size.get(0, 0)
     if not n1:
         return Lexicon({})
     counts = (
-        sample.mapInArrow(_count_terms, "term string, label int, n long")
+        distinct.mapInArrow(_count_terms, "term string, label int, n long")
         .groupBy("term")
         .agg(F.sum(F.when(F.col("label") == 1, F.col("n")).otherwise(0)).alias("p"), F.sum(F.when(F.col("label") == 0, F.col("n")).otherwise(0)).alias("q"))
-        .where(F.col("p") >= min_docs)
+        .where((F.col("p") >= min_docs) & (F.col("p") >= min_share * n1))
     )
     odds = F.log((F.col("p") + 0.5) / (n1 + 1.0)) - F.log((F.col("q") + 0.5) / (n0 + 1.0))
     top = counts.select("term", odds.alias("w")).where(F.col("w") >= min_log_odds).orderBy(F.desc("w"), "term").limit(max_terms).collect()
