@@ -9,7 +9,6 @@ similarities as weights.
 
 from __future__ import annotations
 
-
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -32,7 +31,6 @@ BLOCK = 256
 _CACHE = 200_000
 
 
-
 def shape(word: str) -> str:
     """Runs of capitals as A, of other letters as a, of digits as 0 and of one symbol as that symbol."""
     out: list[str] = []
@@ -172,54 +170,6 @@ def fit(sample: DataFrame, max_terms: int = MAX_TERMS, dimensions: int = DIMENSI
     return Space(vocabulary, idf, lead, _unit(own), labels, float(labels.mean()))
 
 
-def score(self, texts: list[str], ids: _Ids | None = None) -> np.ndarray:
-        return self.vote(self.vectorise(texts, ids)) if texts and len(self.labels) else np.full(len(texts), self.prior)
-
-
-def _count_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    schema = pa.schema([("term", pa.string()), ("n", pa.int64())])
-    for batch in batches:
-        seen: Counter = Counter()
-        for text in batch["text"].to_pylist():
-            words = text.split()
-            seen.update({t for w in set(words) for t in terms(w)} | set(marks(text, words)))
-        yield pa.RecordBatch.from_pydict({"term": list(seen), "n": list(seen.values())}, schema=schema)
-
-
-def fit(sample: DataFrame, max_terms: int = MAX_TERMS, dimensions: int = DIMENSIONS) -> Space:
-    """The space of (text, label) rows, which ``labelled_sample`` bounds.
-
-    The vocabulary is the ``max_terms`` terms of most documents (ties: in the order of their
-    names), all marks that occur among them. With no rows the space is empty and every score is 0.5.
-    """
-    top = sample.mapInArrow(_count_terms, "term string, n long").groupBy("term").agg(F.sum("n").alias("n")).orderBy(~F.col("term").rlike("^[rl]:"), F.desc("n"), "term").limit(max_terms).collect()
-    vocabulary = {r["term"]: i for i, r in enumerate(top)}
-    n, v = sample.count(), len(vocabulary)
-    idf = np.array([np.log((1 + n) / (1 + r["n"])) + 0.1 for r in top], np.float32)
-    raw = Space(vocabulary, idf, np.eye(v, dtype=np.float32), np.zeros((0, v), np.float32), np.zeros(0), 0.5)
-
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids = _Ids(vocabulary)
-        for batch in batches:
-            for at in range(0, batch.num_rows, BLOCK):
-                part = batch.slice(at, BLOCK)
-                m = raw.vectorise(part["text"].to_pylist(), ids)
-
-                yield pa.RecordBatch.from_arrays([pa.array([r.astype(np.float16).tobytes() for r in m], pa.binary()), part["label"]], names=["row", "label"])
-
-    if not n or not v:
-        return Space(vocabulary, idf, np.zeros((v, 0), np.float32), np.zeros((0, 0), np.float32), np.zeros(0), 0.5)
-    got = sample.mapInArrow(rows, "row binary, label int").toPandas().sort_values("row", kind="stable")
-    x = np.stack([np.frombuffer(r, np.float16) for r in got["row"]]).astype(np.float32)
-    values, vectors = np.linalg.eigh(x.T @ x)
-    lead = vectors[:, ::-1][:, : min(dimensions, v)].astype(np.float32)
-    space = Space(vocabulary, idf, lead, np.zeros((0, lead.shape[1]), np.float32), np.zeros(0), 0.5)
-    own = x @ lead
-    own /= np.maximum(np.linalg.norm(own, axis=1, keepdims=True), 1e-12)
-    labels = got["label"].to_numpy(float)
-    return Space(vocabulary, idf, lead, own, labels, float(labels.mean()), space.neighbours)
-
-
 def score(docs: DataFrame, space: Space, threshold: float = 0.3) -> DataFrame:
     """``docs`` with the columns score (0 to 1) and predicted (1 from ``threshold`` on).
 
