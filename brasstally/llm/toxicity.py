@@ -2,8 +2,8 @@
 
 Texts are folded before anything else: compatibility forms and accents are removed, look-alike
 letters of other scripts become Latin ones and, inside words, digits and symbols that stand for letters do too.
-The lexicon's weights are smoothed log odds of a term's document frequency in toxic and
-other labelled documents. An occurrence inside an exception phrase does not count. The summed
+The lexicon's terms are words and beginnings of words (insults are inflected); their weights are smoothed log odds of a term's
+document frequency in toxic and other labelled documents. An occurrence inside an exception phrase does not count. The summed
 weights, normalised by the text's length, go through a logistic curve fitted on the same rows.
 """
 
@@ -15,6 +15,7 @@ import unicodedata
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from zlib import crc32
 
 import ahocorasick
 import numpy as np
@@ -36,6 +37,9 @@ SUBSTITUTES = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "8":
 # Harmless phrases around words that insult elsewhere.
 EXCEPTIONS = ("trash can", "trash bin", "trash bag", "clown fish", "worthless check", "pond scum")
 
+#: Lengths of stems, shorter than their words.
+STEMS = range(4, 9)
+
 _GLYPHS = str.maketrans(HOMOGLYPHS)
 _DIGITS = str.maketrans(SUBSTITUTES)
 _MIXED = re.compile(r"(?<![a-z0134578@$])[a-z]*[0134578@$][a-z0134578@$]*")
@@ -75,7 +79,7 @@ def fold(text: str) -> str:
 
 @dataclass(frozen=True)
 class Lexicon:
-    """Weights of folded terms, exception phrases and the logistic curve (intercept and three slopes)."""
+    """Weights of folded terms (``word``, or ``stem*`` for all words with that beginning), exception phrases and the logistic curve (intercept and three slopes)."""
 
     weights: dict[str, float]
     exceptions: tuple[str, ...] = EXCEPTIONS
@@ -83,11 +87,12 @@ class Lexicon:
     _built: list = field(default_factory=list, compare=False, repr=False)
 
     def automaton(self) -> ahocorasick.Automaton:
-        """One automaton of terms (weight) and exception phrases (None), each between spaces."""
+        """One automaton of terms (weight) and exception phrases (None), each after a space and, but for stems, before one."""
         if not self._built:
             a = ahocorasick.Automaton()
             for w, x in self.weights.items():
-                a.add_word(f" {w} ", (len(w) + 2, x))
+                w = f" {w[:-1]}" if w.endswith("*") else f" {w} "
+                a.add_word(w, (len(w), x))
             for p in self.exceptions:
                 p = fold(p)
                 a.add_word(p, (len(p), None))
@@ -99,13 +104,16 @@ class Lexicon:
         return Lexicon, (self.weights, self.exceptions, self.curve)
 
     def hits(self, folded: str) -> list[float]:
-        """Weights of the occurrences outside exception phrases."""
+        """The largest weight of each word that holds a term outside exception phrases."""
         terms, spared = [], []
         for end, (n, weight) in self.automaton().iter(folded) if self.weights else ():
             (spared if weight is None else terms).append((end - n + 1, end, weight))
         if spared:
             terms = [t for t in terms if not any(s <= t[0] and t[1] <= e for s, e, _ in spared)]
-        return [t[2] for t in terms]
+        best: dict[int, float] = {}
+        for start, _, weight in terms:
+            best[start] = max(weight, best.get(start, weight))
+        return list(best.values())
 
     def features(self, text: str) -> tuple[float, float, float]:
         """Summed weights, summed weights for each hundred words, both dampened, and distinct weights."""
@@ -122,16 +130,27 @@ class Lexicon:
 
 
 def _count_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Document frequencies of folded words, by label, within each batch."""
+    """Document frequencies of folded words and their stems, by label, within each batch."""
     schema = pa.schema([("term", pa.string()), ("label", pa.int32()), ("n", pa.int64())])
     for batch in batches:
         seen: dict[int, Counter] = {0: Counter(), 1: Counter()}
         for text, label in zip(batch["text"].to_pylist(), batch["label"].to_pylist(), strict=True):
-            seen[1 if label else 0].update(set(fold(text).split()))
+            words = set(fold(text).split())
+            seen[1 if label else 0].update(words | {f"{w[:n]}*" for w in words for n in STEMS if n < len(w)})
         for label, counts in seen.items():
             yield pa.RecordBatch.from_pydict({"term": list(counts), "label": [label] * len(counts), "n": list(counts.values())}, schema=schema)
 
 
+def _kin(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows with kin, the smallest hash of a folded text's three-word runs, which near copies mostly share."""
+    for batch in batches:
+        kin = []
+        for text in batch["text"].to_pylist():
+            words = fold(text).split()
+            kin.append(min((crc32(" ".join(w).encode()) for w in zip(words, words[1:], words[2:])), default=crc32(" ".join(words).encode())))
+        yield pa.RecordBatch.from_arrays([batch["text"], batch["label"], pa.array(kin, pa.int64())], names=["text", "label", "kin"])
+
+
 def fit_curve(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, steps: int = 50) -> tuple[float, ...]:
     """Logistic regression by Newton's method with a small ridge."""
     a = np.column_stack([np.ones(len(x)), x])
@@ -146,13 +165,13 @@ def fit_curve(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, steps: int = 50
     return tuple(float(v) for v in w)
 
 
-def fit(sample: DataFrame, min_docs: int = 4, min_share: float = 0.005, min_log_odds: float = 3.0, max_terms: int = 5000) -> Lexicon:
+def fit(sample: DataFrame, min_docs: int = 4, min_log_odds: float = 1.0, max_terms: int = 5000) -> Lexicon:
     """Lexicon and curve from (text, label) rows, which ``labelled_sample`` bounds.
 
-    A term needs ``min_docs`` and ``min_share`` of the toxic documents and ``min_log_odds``; copies of a document
-    count once. The ``max_terms`` with the largest weights stay. Without toxic rows the lexicon is empty and every score is the same low value.
+    A term needs ``min_docs`` toxic documents and log odds that are two standard errors above ``min_log_odds``; copies and most near
+    copies of a document count once. The ``max_terms`` with the largest weights stay. Without toxic rows the lexicon is empty and every score is the same low value.
     """
-    distinct = sample.dropDuplicates(["text", "label"])
+    distinct = sample.mapInArrow(_kin, "text string, label int, kin long").groupBy("kin", "label").agg(F.min("text").alias("text"))
     size = {r["label"]: r["n"] for r in distinct.groupBy("label").agg(F.count("*").alias("n")).collect()}
     n1, n0 = size.get(1, 0), size.get(0, 0)
     if not n1:
@@ -161,10 +180,11 @@ def fit(sample: DataFrame, min_docs: int = 4, min_share: float = 0.005, min_log_
         distinct.mapInArrow(_count_terms, "term string, label int, n long")
         .groupBy("term")
         .agg(F.sum(F.when(F.col("label") == 1, F.col("n")).otherwise(0)).alias("p"), F.sum(F.when(F.col("label") == 0, F.col("n")).otherwise(0)).alias("q"))
-        .where((F.col("p") >= min_docs) & (F.col("p") >= min_share * n1))
+        .where(F.col("p") >= min_docs)
     )
     odds = F.log((F.col("p") + 0.5) / (n1 + 1.0)) - F.log((F.col("q") + 0.5) / (n0 + 1.0))
-    top = counts.select("term", odds.alias("w")).where(F.col("w") >= min_log_odds).orderBy(F.desc("w"), "term").limit(max_terms).collect()
+    error = F.sqrt(1 / (F.col("p") + 0.5) + 1 / (F.col("q") + 0.5))
+    top = counts.select("term", odds.alias("w")).where(odds - 2 * error >= min_log_odds).orderBy(F.desc("w"), "term").limit(max_terms).collect()
     lexicon = Lexicon({r["term"]: r["w"] for r in top})
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

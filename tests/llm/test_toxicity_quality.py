@@ -27,6 +27,19 @@ def test_exceptions_and_length():
     assert Lexicon({}).score("clown") == Lexicon({}).score("")
 
 
+def test_stems():
+    lexicon = Lexicon({"trash": 3.0, "tras*": 2.0, "trashy": 4.0})
+    assert lexicon.hits(fold("trash trashes trashy tra strash")) == [3.0, 2.0, 4.0]
+    assert lexicon.hits(fold("a trash can")) == []
+
+
+def test_near_copies_count_once(spark):
+    same = "one two three four five six seven eight nine ten eleven twelve"
+    rows = [(f"{same} oddword {i}", 1) for i in range(40)] + [(f"{w} {w}ia {w}ib villain{i}", 1) for i, w in enumerate("abcdefghijklmnopqrstuvwxyz")] + [(f"fine {i} text {i + 1}", 0) for i in range(200)]
+    found = toxicity.fit(spark.createDataFrame(rows, "text string, label int"))
+    assert "viiia*" in found.weights and not any(w.startswith("odd") for w in found.weights)
+
+
 def corpus(n=600, seed=3):
     r = random.Random(seed)
     words = ["".join(r.choice("bcdfglmnprst") + r.choice("aeiou") for _ in range(r.randint(1, 3))) for _ in range(300)]
@@ -106,6 +119,15 @@ def test_exact_votes():
         assert got == pytest.approx((w @ y[near] + 1e-3 * y.mean()) / (w.sum() + 1e-3))
 
 
+def test_balanced_votes():
+    import numpy as np
+
+    known = np.array([[1, 0], [1, 0], [1, 0], [1, 0], [0, 1]], np.float32)
+    asked, y = np.array([[np.sqrt(0.5), np.sqrt(0.5)]], np.float32), np.array([1.0, 1, 1, 1, 0])
+    plain, balanced = (quality.Space({}, np.zeros(0), np.zeros((0, 2)), known, y, 0.8, balanced=b).vote(asked)[0] for b in (False, True))
+    assert plain == pytest.approx(0.8, abs=1e-3) and balanced == pytest.approx(0.5, abs=1e-3)
+
+
 def test_shapes_and_marks():
     assert quality.shape("Hello!!") == "Aa!" and quality.shape("AB12***") == "A0*" and quality.shape("|") == "|"
     assert quality.marks("a a a a\nb\nb", "a a a a b b".split()) == ["r:6", "l:3"] and quality.marks("", []) == []
