@@ -4,7 +4,7 @@ A document is a bag of frequent words, of word shapes (``Ab``, ``A!``, ``a*``, `
 Weighted by tf-idf, the labelled sample's matrix is factorised; its rows, projected on the leading
 singular vectors, are broadcast. Every document is projected likewise and compared with all
 labelled vectors by exact cosine products in blocks; the nearest ones vote with their
-similarities as weights.
+similarities, balanced between the labels, as weights.
 """
 
 from __future__ import annotations
@@ -87,6 +87,7 @@ class Space:
     labels: np.ndarray
     prior: float
     neighbours: int = NEIGHBOURS
+    balanced: bool = False
 
     def weighted(self, texts: list[str], ids: _Ids) -> np.ndarray:
         """tf-idf rows of unit length, or zero where a text has no known term."""
@@ -108,13 +109,18 @@ class Space:
         return _unit(self.weighted(texts, _Ids(self.vocabulary) if ids is None else ids) @ self.projection)
 
     def vote(self, vectors: np.ndarray) -> np.ndarray:
-        """Labels of the nearest vectors, weighted by similarity; the sample's mean label where none is similar."""
+        """Labels of the nearest vectors, weighted by similarity; the sample's mean label where none is similar.
+
+        Where ``balanced``, a vote counts in inverse proportion to its label's share of the sample, so that a rare label isn't outvoted for its rarity.
+        """
         k = min(self.neighbours, len(self.labels))
         if not k:
             return np.full(len(vectors), self.prior)
         cos = vectors @ self.vectors.T
         near = np.argpartition(-cos, k - 1, axis=1)[:, :k]
         weight = np.maximum(np.take_along_axis(cos, near, axis=1).astype(np.float64), 0) ** 4
+        if self.balanced and 0 < self.prior < 1:
+            weight *= np.where(self.labels[near] > 0.5, 0.5 / self.prior, 0.5 / (1 - self.prior))
         small = 1e-3
         return np.clip(((weight * self.labels[near]).sum(1) + small * self.prior) / (weight.sum(1) + small), 0, 1)
 
@@ -167,7 +173,7 @@ def fit(sample: DataFrame, max_terms: int = MAX_TERMS, dimensions: int = DIMENSI
     vectors = np.linalg.eigh(gram)[1]
     lead = np.ascontiguousarray(vectors[:, ::-1][:, : min(dimensions, v)])
     own = np.concatenate([x[at : at + BLOCK].astype(np.float32) @ lead for at in range(0, len(x), BLOCK)])
-    return Space(vocabulary, idf, lead, _unit(own), labels, float(labels.mean()))
+    return Space(vocabulary, idf, lead, _unit(own), labels, float(labels.mean()), balanced=True)
 
 
 def score(docs: DataFrame, space: Space, threshold: float = 0.3) -> DataFrame:
