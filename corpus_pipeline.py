@@ -5,8 +5,9 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from brasstally.llm import mixing, packing, quality, simhash, toxicity
+from brasstally.llm import mixing, near_copies, packing, quality, toxicity
 from brasstally.llm.common import shared_folder, table
 
 
@@ -23,8 +24,8 @@ def drop_poor(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest doc_id of each group of near copies; rows without a doc_id stay."""
-    kept = simhash.near_duplicates(docs).where("doc_id = component_id").select("doc_id").distinct()
+    """The document with the smallest doc_id of each group of near copies (five-word shingles, 0.8 alike); rows without a doc_id stay."""
+    kept = near_copies.grouped(docs.where("doc_id is not null")).groupBy("component").agg(F.min("doc_id").alias("doc_id")).select("doc_id").distinct()
     # the join leaves the rows of a doc_id together, so repeated rows go without another shuffle
     named = docs.where("doc_id is not null").join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
     return named.select(*docs.columns).unionByName(docs.where("doc_id is null"))
