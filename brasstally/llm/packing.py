@@ -20,9 +20,10 @@ import pyarrow as pa
 import tiktoken
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 from tokenizers import Tokenizer
 
-from brasstally.llm.common import cut
+from brasstally.llm.common import cut, widened
 
 CAPACITY = 2048
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -31,6 +32,8 @@ RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 END = 0
 #: Pieces of one length are ranked in so many buckets.
 BUCKETS = 64
+#: Documents in a given order are packed in so many consecutive parts at most, each of PART_SEQUENCES full sequences at least.
+PARTS, PART_SEQUENCES = 16, 256
 
 
 class Encoder:
@@ -53,23 +56,28 @@ class Encoder:
         return array("I", self.fast.encode_ordinary(text)).tobytes()
 
 
-def pieces(docs: DataFrame, capacity: int = CAPACITY) -> DataFrame:
-    """doc_id, piece, start, length and ids_crc32 of every piece; a null text has the ids of an empty one."""
+def pieces(docs: DataFrame, capacity: int = CAPACITY, carried: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, piece, start, length and ids_crc32 of every piece, and its document's ``carried`` columns; a null text has the ids of an empty one."""
+    kept = docs.select(F.col("doc_id").cast("long"), "text", *carried)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, end = Encoder(), array("I", [END]).tobytes()
         for batch in batches:
-            doc, piece, start, length, crc = [], [], [], [], []
-            for doc_id, text in zip(batch["doc_id"].to_pylist(), batch["text"].to_pylist(), strict=True):
+            row, piece, start, length, crc = [], [], [], [], []
+            for i, text in enumerate(batch["text"].to_pylist()):
                 ids = (encode(text) if text else b"") + end
                 n = len(ids) // 4
                 edges = [0, *range(n % capacity or capacity, n + 1, capacity)]
                 for k, (a, b) in enumerate(zip(edges, edges[1:])):
-                    doc.append(doc_id), piece.append(k), start.append(a), length.append(b - a)
+                    row.append(i), piece.append(k), start.append(a), length.append(b - a)
                     crc.append(zlib.crc32(ids[4 * a : 4 * b]))
-            yield pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64())], names=["doc_id", "piece", "start", "length", "ids_crc32"])
+            own = [batch[c].take(pa.array(row, pa.int64())) for c in ("doc_id", *carried)]
+            made = [pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64())]
+            yield pa.RecordBatch.from_arrays([own[0], *made, *own[1:]], names=["doc_id", "piece", "start", "length", "ids_crc32", *carried])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long")
+    first = kept.select("doc_id", *carried)
+    schema = widened(first.select("doc_id"), piece="int", start="long", length="long", ids_crc32="long")
+    return kept.mapInArrow(run, StructType([*schema.fields, *first.schema.fields[1:]]))
 
 
 def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, int, int, int, int]]:
@@ -112,22 +120,27 @@ def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int,
     return rows
 
 
-def ranked(found: DataFrame, buckets: int = BUCKETS) -> DataFrame:
-    """``found`` with rank (from 0) among the pieces of its length; no window holds a whole length."""
-    split = found.withColumn("_bucket", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(buckets)))
-    counts = split.groupBy("length", "_bucket").agg(F.count("*").alias("_n"))
-    before = Window.partitionBy("length").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    # at most capacity x buckets rows
-    base = counts.select("length", "_bucket", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))
-    own = Window.partitionBy("length", "_bucket").orderBy("doc_id", "piece", "ids_crc32")
+def _ranked(split: DataFrame, within: list[str], order: list[str]) -> DataFrame:
+    """``split`` with rank (from 0) by (_bucket, order) among the rows of the same ``within``; no window holds more than a bucket of them."""
+    counts = split.groupBy(*within, "_bucket").agg(F.count("*").alias("_n"))
+    before = Window.partitionBy(*within).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    # at most a row for each bucket
+    base = counts.select(*within, "_bucket", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))
+    own = Window.partitionBy(*within, "_bucket").orderBy(*order)
     return (
         split.withColumn("_own", F.row_number().over(own) - 1)
-        .join(base, ["length", "_bucket"])
+        .join(base, [*within, "_bucket"])
         .withColumn("rank", F.col("_base") + F.col("_own"))
-        .drop("_bucket", "_own", "_base")
+        .drop("_own", "_base")
     )
 
 
+def ranked(found: DataFrame, buckets: int = BUCKETS) -> DataFrame:
+    """``found`` with rank (from 0) among the pieces of its length; no window holds a whole length."""
+    split = found.withColumn("_bucket", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(buckets)))
+    return _ranked(split, ["length"], ["doc_id", "piece", "ids_crc32"]).drop("_bucket")
+
+
 def pack(docs: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """Every piece of every document with its sequence_id and offset.
 
@@ -146,3 +159,48 @@ def pack(docs: DataFrame, capacity: int = CAPACITY) -> DataFrame:
         .where((F.col("rank") >= F.col("first_rank")) & (F.col("rank") < F.col("first_rank") + F.col("number")))
         .select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("first_sequence") + F.col("rank") - F.col("first_rank")).alias("sequence_id"), "offset")
     )
+
+
+def _along(found: DataFrame) -> DataFrame:
+    """``found`` with _at, the tokens before a piece in the order of (_file, _row, piece); no window holds more than a file."""
+    sums = found.groupBy("_file").agg(F.sum("length").alias("_sum"))
+    # a row for each file; a longer name has the larger number
+    files = Window.orderBy(F.length("_file"), "_file").rowsBetween(Window.unboundedPreceding, -1)
+    base = sums.select("_file", F.coalesce(F.sum("_sum").over(files), F.lit(0)).alias("_base"))
+    running = Window.partitionBy("_file").orderBy("_row", "piece").rowsBetween(Window.unboundedPreceding, -1)
+    return found.withColumn("_at", F.coalesce(F.sum("length").over(running), F.lit(0))).join(F.broadcast(base), "_file").withColumn("_at", F.col("_at") + F.col("_base")).drop("_file", "_row", "_base")
+
+
+def pack_in_order(docs: DataFrame, capacity: int = CAPACITY, parts: int = PARTS, part_sequences: int = PART_SEQUENCES) -> DataFrame:
+    """As ``pack``, for documents read from files, whose order (by name of file and row) the sequences follow.
+
+    The documents are cut, in their order, into parts of equally many tokens. Each part is packed by its own plan, with ranks by order within
+    equal lengths; its sequences are numbered after those of the part before, by the order of their first pieces.
+    """
+    spark = docs.sparkSession
+    # files of other folders don't mix: a table is one folder
+    read = docs.select("doc_id", "text", F.col("_metadata.file_name").alias("_file"), F.col("_metadata.row_index").alias("_row"))
+    found = cut(pieces(read, capacity, ("_file", "_row")))
+    total = found.agg(F.sum("length")).first()[0] or 0
+    parts = max(1, min(parts, total // (capacity * part_sequences)))
+    share = F.expr(f"_at * {parts * BUCKETS} div {max(total, 1)}")
+    placed = cut(_along(found).withColumn("_bucket", share % BUCKETS).withColumn("_part", F.expr(f"_at * {parts} div {max(total, 1)}")))
+    histograms: dict[int, dict[int, int]] = {}
+    for r in placed.groupBy("_part", "length").agg(F.count("*").alias("n")).collect():  # parts x capacity rows at most
+        histograms.setdefault(r["_part"], {})[r["length"]] = r["n"]
+    steps, base = [], 0
+    for part, histogram in sorted(histograms.items()):
+        own = plan(histogram, capacity)
+        steps += [(part, base, length, rank, number, base + first, offset) for length, rank, number, first, offset in own]
+        base += max(first + number for _, _, number, first, _ in own)
+    slots = spark.createDataFrame(steps, "_part long, _base long, length long, first_rank long, number long, first_sequence long, offset long")
+    seated = cut(
+        _ranked(placed, ["_part", "length"], ["_at"])
+        .join(F.broadcast(slots), ["_part", "length"])
+        .where((F.col("rank") >= F.col("first_rank")) & (F.col("rank") < F.col("first_rank") + F.col("number")))
+        .select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("first_sequence") + F.col("rank") - F.col("first_rank")).alias("_sequence"), "offset", "_part", "_base", "_bucket", "_at")
+    )
+    # each sequence has one piece at offset 0
+    first = _ranked(seated.where("offset = 0").select("_sequence", "_part", F.col("_base").alias("_before"), "_bucket", "_at"), ["_part"], ["_at"])
+    numbers = first.select("_sequence", (F.col("_before") + F.col("rank")).alias("sequence_id"))
+    return seated.join(numbers, "_sequence").select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")

@@ -37,8 +37,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of all documents with their places in sequences."""
-    return packing.pack(docs)
+    """Pieces of all documents with their places in sequences, which follow the order of the mix."""
+    return packing.pack_in_order(docs)
 
 
 STAGES = [
