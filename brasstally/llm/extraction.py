@@ -4,9 +4,9 @@ The standard library's parser streams events. A page's lines are its blocks: str
 block-level tags, each with the tags seen since the block before. A line's ratio of characters to tags is smoothed with a
 Gaussian and compared with a threshold at which two clusters of the page's ratios part. Lines
 in elements that are never part of an article (menus, headers, footers, sidebars, notices, adverts, forms, scripts,
-styles, comments) are out from the start. Lines above the threshold vote, with their length, for the elements around them: the
-innermost element that holds nearly all of these votes is the article, and all its lines
-that are not out are its text, short ones too.
+styles, comments) are out from the start. Lines above the threshold are selected on every page. Elements that say they are the article
+(``article``, ``main``, roles) only add to them: each one that is the innermost such element of a selected line gives all its
+lines that are not out, short ones too. On a page without them the innermost container of all selected lines does so, or the whole page.
 """
 
 from __future__ import annotations
@@ -166,7 +166,8 @@ def main_text(html: str | None) -> str:
         return ""
     ratio = np.log1p([len(t) / max(tags, 1) for t, tags, _, _ in lines])
     smooth = smoothed(ratio)
-    chosen = smooth >= threshold(smooth)
+    # a line over the threshold by itself isn't lost to short neighbours
+    chosen = np.maximum(ratio, smooth) >= threshold(smooth)
     votes, count = np.zeros(len(page.parent), np.int64), np.zeros(len(page.parent), np.int64)
     for (text, _, n, _), good in zip(lines, chosen, strict=True):
         votes[n] += len(text) if good else 0
@@ -174,16 +175,18 @@ def main_text(html: str | None) -> str:
     for n in range(len(page.parent) - 1, 0, -1):  # what is inside has larger numbers
         votes[page.parent[n]] += votes[n]
         count[page.parent[n]] += count[n]
-    # an element that says it is the article, else the innermost container that holds nearly all votes and more than a line
-    declared = [n for n in page.article if votes[n]]
-    most = max((votes[n] for n in declared), default=votes[0])
-    region = max((n for n in declared or page.containers if votes[n] >= SHARE * most and (declared or count[n] > 1)), default=0)
-    inside = {region}
-    for n in range(region + 1, len(page.parent)):
+    # each selected line's innermost element that says it is the article
+    within = [0] * len(page.parent)
+    for n in range(1, len(page.parent)):
+        within[n] = n if n in page.article else within[page.parent[n]]
+    declared = {within[n] for (_, _, n, _), good in zip(lines, chosen, strict=True) if good} - {0}
+    # without one, the innermost container of all selected lines and more than a line, else the whole page
+    whole = max((n for n in page.containers if votes[n] >= SHARE * votes[0] and count[n] > 1), default=0)
+    inside = declared or {whole} - {0}
+    for n in range(1, len(page.parent)):
         if page.parent[n] in inside:
             inside.add(n)
-    kept = [t for t, _, n, _ in lines if n in inside] if region else [t for (t, *_), good in zip(lines, chosen, strict=True) if good]
-    return " ".join(kept)
+    return " ".join(t for (t, _, n, _), good in zip(lines, chosen, strict=True) if good or n in inside)
 
 
 def extract(pages: DataFrame) -> DataFrame:
