@@ -39,7 +39,6 @@ CONTAINERS = frozenset("html body main article section div center table td nav a
 _WORD = re.compile(r"[a-z]+|[A-Z]+(?![a-z])|[A-Z][a-z]+")
 _SPACE = re.compile(r"\s+")
 SMOOTHING = 1.0
-SHARE = 0.9
 
 
 def _hinted(attrs: list[tuple[str, str | None]]) -> bool:
@@ -181,8 +180,8 @@ def main_text(html: str | None) -> str:
         within[n] = n if n in page.article else within[page.parent[n]]
     declared = {within[n] for (_, _, n, _), good in zip(lines, chosen, strict=True) if good} - {0}
     # without one, the innermost container of all selected lines and more than a line, else the whole page
-    whole = max((n for n in page.containers if votes[n] >= SHARE * votes[0] and count[n] > 1), default=0)
-    inside = declared or {whole} - {0}
+    whole = max((n for n in page.containers if votes[n] == votes[0] and count[n] > 1), default=0)
+    inside = declared or {whole}
     for n in range(1, len(page.parent)):
         if page.parent[n] in inside:
             inside.add(n)
