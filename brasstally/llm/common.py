@@ -43,8 +43,8 @@ def key_crc32(col: Column) -> Column:
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, folds: int, held_out: int, max_rows: int) -> DataFrame:
     """At most ``max_rows`` rows (text, label) to fit a classifier on, none of them held out.
 
-    Rows are taken in the order of a hash of doc_id, so the same ids always give the same sample.
-    A doc_id that is labelled twice counts once, with its larger label. Null labels and ids are ignored.
+    Ids are taken in the order of a hash, so the same ids always give the same sample. A doc_id that is labelled twice counts
+    once, with its larger label, and one that several documents share counts once, with the text that sorts first. Null labels and ids are ignored.
     """
     chosen = (
         labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull())
@@ -58,7 +58,8 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, folds: int,
         .orderBy(F.xxhash64(F.col("doc_id")), "doc_id").limit(max_rows)
     )
     text = docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text"))
-    return cut(text.join(F.broadcast(cut(chosen)), "doc_id").select("text", "label"))
+    found = text.join(F.broadcast(cut(chosen)), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.min("label").alias("label"))
+    return cut(found.select("text", "label"))
 
 
 def widened(df: DataFrame, **columns: str) -> T.StructType:

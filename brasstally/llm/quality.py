@@ -1,7 +1,8 @@
 """Quality: votes of the nearest labelled documents in a latent-semantic space.
 
-A document is a bag of frequent words, of word shapes (``Ab``, ``A!``, ``a*``, ``|`` ...) and of marks for repeated words and lines.
-Weighted by tf-idf, the labelled sample's matrix is factorised; its rows, projected on the leading
+A document is a bag of words, of word shapes (``Aa``, ``A!``, ``a*``, ``|`` ...) and of marks for repeated words and lines. A word of
+more than ``LONG`` characters counts as its consecutive pieces of ``PIECE`` characters, so a text without white space is read whole.
+The most frequent terms have columns of their own; all others share hashed ones. Weighted by tf-idf, the labelled sample's matrix is factorised; its rows, projected on the leading
 singular vectors, are broadcast. Every document is projected likewise and compared with all
 labelled vectors by exact cosine products in blocks; the nearest ones vote with their
 similarities, balanced between the labels, as weights.
@@ -11,8 +12,9 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from operator import eq
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
@@ -23,27 +25,44 @@ from brasstally.llm.common import key_crc32, labelled_sample, widened
 
 #: Labelled rows that the space is fitted on and whose vectors are broadcast, at most.
 MAX_TRAINING_ROWS = 5_000
-MAX_TERMS = 2_048
+#: Terms with a column of their own, and columns that all other terms share by a hash.
+MAX_TERMS = 1_792
+SHARED = 256
 DIMENSIONS = 48
 NEIGHBOURS = 25
+#: Longer words count as pieces of so many characters.
+LONG, PIECE = 32, 16
+#: Longer shapes tell which kinds of runs there are, not their order.
+RUNS = 8
 #: Documents compared at once with all labelled vectors.
 BLOCK = 256
 _CACHE = 200_000
 
 
 def shape(word: str) -> str:
-    """Runs of capitals as A, of other letters as a, of digits as 0 and of one symbol as that symbol."""
+    """Runs of capitals as A, of other letters as a, of digits as 0 and of one symbol as that symbol; more than RUNS of them as the set of all."""
     out: list[str] = []
-    for c in word[:64]:
+    for c in word:
         k = "A" if c.isupper() else "a" if c.isalpha() else "0" if c.isdigit() else c
         if not out or out[-1] != k:
             out.append(k)
-    return "".join(out)[:8]
+    return "".join(out) if len(out) <= RUNS else "*" + "".join(sorted(set(out)))
+
+
+def pieces(word: str) -> list[str]:
+    """The word itself, or all pieces of a long one."""
+    return [word] if len(word) <= LONG else [word[at : at + PIECE] for at in range(0, len(word), PIECE)]
+
+
+def split(text: str) -> list[str]:
+    """The text's words, long ones in pieces."""
+    words = text.split()
+    return words if max(map(len, words), default=0) <= LONG else [p for w in words for p in pieces(w)]
 
 
 def terms(word: str) -> tuple[str, str]:
     """The two features of a word."""
-    return f"w:{word.lower()[:32]}", f"s:{shape(word)}"
+    return f"w:{word.lower()}", f"s:{shape(word)}"
 
 
 def marks(text: str, words: list[str]) -> list[str]:
@@ -60,15 +79,20 @@ def marks(text: str, words: list[str]) -> list[str]:
 
 
 class _Ids(dict):
-    """Ids of a word's two terms; MAX_TERMS stands for an unknown one. Forgets all when it grows too large."""
+    """Columns of a word's two terms, as one number. Forgets all when it grows too large."""
 
     def __init__(self, vocabulary: dict[str, int]):
         super().__init__()
-        self.vocabulary, self.none = vocabulary, len(vocabulary)
+        self.vocabulary = vocabulary
+
+    def column(self, term: str) -> int:
+        """The term's own column, or a shared one."""
+        found = self.vocabulary.get(term)
+        return len(self.vocabulary) + crc32(term.encode("utf-8", "surrogatepass")) % SHARED if found is None else found
 
     def __missing__(self, word: str) -> int:
-        a, b = (self.vocabulary.get(t, self.none) for t in terms(word))
-        value = self[word] = a * (self.none + 1) + b
+        a, b = map(self.column, terms(word))
+        value = self[word] = a * (len(self.vocabulary) + SHARED) + b
         return value
 
 
@@ -89,21 +113,25 @@ class Space:
     neighbours: int = NEIGHBOURS
     balanced: bool = False
 
-    def weighted(self, texts: list[str], ids: _Ids) -> np.ndarray:
-        """tf-idf rows of unit length, or zero where a text has no known term."""
-        n = len(self.vocabulary)
-        counts = np.zeros((len(texts), n + 1), np.float32)
+    def counts(self, texts: list[str], ids: _Ids) -> np.ndarray:
+        """How often the terms of each column occur."""
+        n = len(self.vocabulary) + SHARED
+        counts = np.zeros((len(texts), n), np.float32)
         for i, text in enumerate(texts):
-            words = text.split()
+            words = split(text)
             if not words:
                 continue
             if len(ids) > _CACHE:
                 ids.clear()
             both = np.fromiter(map(ids.__getitem__, words), np.int64, len(words))
-            counts[i] = np.bincount(both // (n + 1), minlength=n + 1) + np.bincount(both % (n + 1), minlength=n + 1)
+            counts[i] = np.bincount(both // n, minlength=n) + np.bincount(both % n, minlength=n)
             for mark in marks(text, words):
-                counts[i, self.vocabulary.get(mark, n)] += len(words)
-        return _unit(np.log1p(counts[:, :n]) * self.idf)
+                counts[i, ids.column(mark)] += len(words)
+        return counts
+
+    def weighted(self, texts: list[str], ids: _Ids) -> np.ndarray:
+        """tf-idf rows of unit length, or zero for an empty text."""
+        return _unit(np.log1p(self.counts(texts, ids)) * self.idf)
 
     def vectorise(self, texts: list[str], ids: _Ids | None = None) -> np.ndarray:
         return _unit(self.weighted(texts, _Ids(self.vocabulary) if ids is None else ids) @ self.projection)
@@ -133,7 +161,7 @@ def _count_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         seen: Counter = Counter()
         for text in batch["text"].to_pylist():
-            words = text.split()
+            words = split(text)
             seen.update({t for w in set(words) for t in terms(w)} | set(marks(text, words)))
         yield pa.RecordBatch.from_pydict({"term": list(seen), "n": list(seen.values())}, schema=schema)
 
@@ -141,18 +169,30 @@ def _count_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def fit(sample: DataFrame, max_terms: int = MAX_TERMS, dimensions: int = DIMENSIONS) -> Space:
     """The space of (text, label) rows, which ``labelled_sample`` bounds.
 
-    The vocabulary is the ``max_terms`` terms of most documents (ties: in the order of their
-    names), all marks that occur among them. With no rows the space is empty and every score is 0.5.
+    The ``max_terms`` terms of most documents (ties: in the order of their names) have columns of their own, all marks that
+    occur among them; the others share SHARED columns, so none is left out. With no rows the space is empty and every score is 0.5.
     """
     top = sample.mapInArrow(_count_terms, "term string, n long").groupBy("term").agg(F.sum("n").alias("n")).orderBy(~F.col("term").rlike("^[rl]:"), F.desc("n"), "term").limit(max_terms).collect()
     vocabulary = {r["term"]: i for i, r in enumerate(top)}
-    n, v = sample.count(), len(vocabulary)
-    idf = np.array([np.log((1 + n) / (1 + r["n"])) + 0.1 for r in top], np.float32)
     none = np.zeros((0, 0), np.float32)
-    raw = Space(vocabulary, idf, none, none, np.zeros(0), 0.5)
-    if not n or not v:
+    raw = Space(vocabulary, np.ones(len(vocabulary) + SHARED, np.float32), none, none, np.zeros(0), 0.5)
+    n, v = sample.count(), len(vocabulary) + SHARED
+    if not n or not vocabulary:
         return raw
 
+    def columns(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, seen = _Ids(vocabulary), np.zeros(v, np.int64)
+        for batch in batches:
+            for at in range(0, batch.num_rows, BLOCK):
+                seen += (raw.counts(batch.slice(at, BLOCK)["text"].to_pylist(), ids) > 0).sum(axis=0)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(v)), pa.array(seen)], names=["column", "n"])
+
+    # documents with a term of each column
+    known = np.zeros(v)
+    for r in sample.select("text").mapInArrow(columns, "column long, n long").groupBy("column").agg(F.sum("n").alias("n")).collect():
+        known[r["column"]] = r["n"]
+    raw = replace(raw, idf=(np.log((1 + n) / (1 + known)) + 0.1).astype(np.float32))
+
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids = _Ids(vocabulary)
         for batch in batches:
@@ -161,7 +201,7 @@ def fit(sample: DataFrame, max_terms: int = MAX_TERMS, dimensions: int = DIMENSI
                 m = raw.weighted(part["text"].to_pylist(), ids).astype(np.float16)
                 yield pa.RecordBatch.from_arrays([pa.array([r.tobytes() for r in m], pa.binary()), part["label"]], names=["row", "label"])
 
-    # MAX_TRAINING_ROWS x MAX_TERMS numbers of two bytes; sorted, so that tasks' order doesn't matter
+    # MAX_TRAINING_ROWS x (MAX_TERMS + SHARED) numbers of two bytes; sorted, so that tasks' order doesn't matter
     got = sorted((bytes(r["row"]), r["label"]) for r in sample.mapInArrow(rows, "row binary, label int").toLocalIterator())
     x = np.frombuffer(b"".join(r for r, _ in got), np.float16).reshape(len(got), v)
     labels = np.array([label for _, label in got], float)
@@ -173,7 +213,7 @@ def fit(sample: DataFrame, max_terms: int = MAX_TERMS, dimensions: int = DIMENSI
     vectors = np.linalg.eigh(gram)[1]
     lead = np.ascontiguousarray(vectors[:, ::-1][:, : min(dimensions, v)])
     own = np.concatenate([x[at : at + BLOCK].astype(np.float32) @ lead for at in range(0, len(x), BLOCK)])
-    return Space(vocabulary, idf, lead, _unit(own), labels, float(labels.mean()), balanced=True)
+    return Space(vocabulary, raw.idf, lead, _unit(own), labels, float(labels.mean()), balanced=True)
 
 
 def score(docs: DataFrame, space: Space, threshold: float = 0.3) -> DataFrame:
