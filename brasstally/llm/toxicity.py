@@ -3,8 +3,9 @@
 Texts are folded before anything else: compatibility forms and accents are removed, look-alike
 letters of other scripts become Latin ones and, inside words, digits and symbols that stand for letters do too.
 The lexicon's terms are words and beginnings of words (insults are inflected); their weights are smoothed log odds of a term's
-document frequency in toxic and other labelled documents. An occurrence inside an exception phrase does not count. The summed
-weights, normalised by the text's length, go through a logistic curve fitted on the same rows.
+document frequency in toxic and other labelled documents. An occurrence inside an exception phrase does not count; besides a few given
+ones, these are pairs of words with a term that labelled documents which aren't toxic hold much oftener than toxic ones. The summed
+weights, normalised by the text's length (texts of fewer than SHORT words count as so long), go through a logistic curve fitted on the same rows.
 """
 
 from __future__ import annotations
@@ -14,16 +15,18 @@ import re
 import unicodedata
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
+from functools import partial
 from zlib import crc32
 
 import ahocorasick
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from brasstally.llm.common import key_crc32, labelled_sample, widened
+from brasstally.llm.common import cut, key_crc32, labelled_sample, widened
 
 # Letters of other scripts that look like Latin ones.
 HOMOGLYPHS = {
@@ -39,6 +42,10 @@ EXCEPTIONS = ("trash can", "trash bin", "trash bag", "clown fish", "worthless ch
 
 #: Lengths of stems, shorter than their words.
 STEMS = range(4, 9)
+#: Weights for each hundred words of a shorter text are taken as if it had so many words: one word alone has no rate.
+SHORT = 20
+#: MinHash values that tell near copies among the training rows, and the share that two of them have in common.
+MINIMA, ALIKE = 16, 0.5
 
 _GLYPHS = str.maketrans(HOMOGLYPHS)
 _DIGITS = str.maketrans(SUBSTITUTES)
@@ -79,12 +86,13 @@ def fold(text: str) -> str:
 
 @dataclass(frozen=True)
 class Lexicon:
-    """Weights of folded terms (``word``, or ``stem*`` for all words with that beginning), exception phrases and the logistic curve (intercept and three slopes)."""
+    """Weights of folded terms (``word``, or ``stem*`` for all words with that beginning), exception phrases, learned ones (folded) and the logistic curve (intercept and three slopes)."""
 
     weights: dict[str, float]
     exceptions: tuple[str, ...] = EXCEPTIONS
     curve: tuple[float, float, float, float] = (-4.0, 1.0, 1.0, 0.0)
-    _built: list = field(default_factory=list, compare=False, repr=False)
+    learned: tuple[str, ...] = ()
+    _built: list = field(default_factory=list, init=False, compare=False, repr=False)
 
     def automaton(self) -> ahocorasick.Automaton:
         """One automaton of terms (weight) and exception phrases (None), each after a space and, but for stems, before one."""
@@ -93,15 +101,14 @@ class Lexicon:
             for w, x in self.weights.items():
                 w = f" {w[:-1]}" if w.endswith("*") else f" {w} "
                 a.add_word(w, (len(w), x))
-            for p in self.exceptions:
-                p = fold(p)
+            for p in (*map(fold, self.exceptions), *self.learned):
                 a.add_word(p, (len(p), None))
             a.make_automaton()
             self._built.append(a)
         return self._built[0]
 
     def __reduce__(self):
-        return Lexicon, (self.weights, self.exceptions, self.curve)
+        return Lexicon, (self.weights, self.exceptions, self.curve, self.learned)
 
     def hits(self, folded: str) -> list[float]:
         """The largest weight of each word that holds a term outside exception phrases."""
@@ -122,7 +129,7 @@ class Lexicon:
         if not found:
             return 0.0, 0.0, 0.0
         total, words = sum(found), folded.count(" ") - 1
-        return math.log1p(total), math.log1p(100 * total / max(words, 20)), math.log1p(len(set(found)))
+        return math.log1p(total), math.log1p(100 * total / max(words, SHORT)), math.log1p(len(set(found)))
 
     def score(self, text: str) -> float:
         z = self.curve[0] + sum(a * b for a, b in zip(self.curve[1:], self.features(text), strict=True))
@@ -142,13 +149,50 @@ def _count_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _kin(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows with kin, the smallest hash of a folded text's three-word runs, which near copies mostly share."""
+    """Rows with kin, the smallest hash of a folded text's three-word runs, and minima, the smallest ones of MINIMA further hashes."""
+    factors = np.random.default_rng(3).integers(1 << 31, size=(MINIMA, 1), dtype=np.uint32) * np.uint32(2) + np.uint32(1)
     for batch in batches:
-        kin = []
+        kin, minima = [], []
         for text in batch["text"].to_pylist():
             words = fold(text).split()
-            kin.append(min((crc32(" ".join(w).encode()) for w in zip(words, words[1:], words[2:])), default=crc32(" ".join(words).encode())))
-        yield pa.RecordBatch.from_arrays([batch["text"], batch["label"], pa.array(kin, pa.int64())], names=["text", "label", "kin"])
+            h = np.array([crc32(" ".join(words[i : i + 3]).encode()) for i in range(max(1, len(words) - 2))], np.uint32)
+            kin.append(int(h.min()))
+            minima.append((factors * (h ^ (h >> np.uint32(15)))[None, :]).min(axis=1).tobytes())
+        yield pa.RecordBatch.from_arrays([batch["text"], batch["label"], pa.array(kin, pa.int64()), pa.array(minima, pa.binary())], names=["text", "label", "kin", "minima"])
+
+
+def _first_of_kin(rows: pd.DataFrame) -> pd.DataFrame:
+    """Rows of one label and kin without those that have ALIKE of their minima in common with one before."""
+    rows = rows.sort_values("text")
+    minima = np.frombuffer(b"".join(rows["minima"]), np.uint32).reshape(len(rows), MINIMA)
+    kept: list[int] = []
+    for i in range(len(rows)):
+        if not kept or (minima[kept] == minima[i]).mean(axis=1).max() < ALIKE:
+            kept.append(i)
+    return rows.iloc[kept][["text", "label"]]
+
+
+def _count_phrases(lexicon: Lexicon, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Document frequencies by label of pairs of neighbouring words one of which holds a term."""
+    schema = pa.schema([("term", pa.string()), ("label", pa.int32()), ("n", pa.int64())])
+
+    def held(word: str) -> bool:
+        return word in lexicon.weights or any(f"{word[:n]}*" in lexicon.weights for n in STEMS if n < len(word))
+
+    for batch in batches:
+        seen: dict[int, Counter] = {0: Counter(), 1: Counter()}
+        for text, label in zip(batch["text"].to_pylist(), batch["label"].to_pylist(), strict=True):
+            words = fold(text).split()
+            terms = {w for w in set(words) if held(w)}
+            seen[1 if label else 0].update({f"{a} {b}" for a, b in zip(words, words[1:]) if a in terms or b in terms})
+        for label, counts in seen.items():
+            yield pa.RecordBatch.from_pydict({"term": list(counts), "label": [label] * len(counts), "n": list(counts.values())}, schema=schema)
+
+
+def _by_label(counts: DataFrame) -> DataFrame:
+    """term, p (toxic documents) and q (others)."""
+    of = lambda label: F.sum(F.when(F.col("label") == label, F.col("n")).otherwise(0))
+    return counts.groupBy("term").agg(of(1).alias("p"), of(0).alias("q"))
 
 
 def fit_curve(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, steps: int = 50) -> tuple[float, ...]:
@@ -165,27 +209,27 @@ def fit_curve(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, steps: int = 50
     return tuple(float(v) for v in w)
 
 
-def fit(sample: DataFrame, min_docs: int = 4, min_log_odds: float = 1.0, max_terms: int = 5000) -> Lexicon:
+def fit(sample: DataFrame, min_docs: int = 4, min_log_odds: float = 1.0, errors: float = 2.0) -> Lexicon:
     """Lexicon and curve from (text, label) rows, which ``labelled_sample`` bounds.
 
-    A term needs ``min_docs`` toxic documents and log odds that are two standard errors above ``min_log_odds``; copies and most near
-    copies of a document count once. The ``max_terms`` with the largest weights stay. Without toxic rows the lexicon is empty and every score is the same low value.
+    A term needs ``min_docs`` toxic documents and log odds that are ``errors`` standard errors above ``min_log_odds``; an exception phrase needs
+    ``min_docs`` other documents and log odds that are not above zero and two standard errors below its term's weight. Copies and near copies of a document count once.
+    Without toxic rows the lexicon is empty and every score is the same low value.
     """
-    distinct = sample.mapInArrow(_kin, "text string, label int, kin long").groupBy("kin", "label").agg(F.min("text").alias("text"))
+    distinct = cut(sample.mapInArrow(_kin, "text string, label int, kin long, minima binary").groupBy("kin", "label").applyInPandas(_first_of_kin, "text string, label int"))
     size = {r["label"]: r["n"] for r in distinct.groupBy("label").agg(F.count("*").alias("n")).collect()}
     n1, n0 = size.get(1, 0), size.get(0, 0)
     if not n1:
         return Lexicon({})
-    counts = (
-        distinct.mapInArrow(_count_terms, "term string, label int, n long")
-        .groupBy("term")
-        .agg(F.sum(F.when(F.col("label") == 1, F.col("n")).otherwise(0)).alias("p"), F.sum(F.when(F.col("label") == 0, F.col("n")).otherwise(0)).alias("q"))
-        .where(F.col("p") >= min_docs)
-    )
     odds = F.log((F.col("p") + 0.5) / (n1 + 1.0)) - F.log((F.col("q") + 0.5) / (n0 + 1.0))
     error = F.sqrt(1 / (F.col("p") + 0.5) + 1 / (F.col("q") + 0.5))
-    top = counts.select("term", odds.alias("w")).where(odds - 2 * error >= min_log_odds).orderBy(F.desc("w"), "term").limit(max_terms).collect()
-    lexicon = Lexicon({r["term"]: r["w"] for r in top})
+    counts = _by_label(distinct.mapInArrow(_count_terms, "term string, label int, n long"))
+    # what comes here grows with the sample, which a parameter bounds
+    top = counts.where((F.col("p") >= min_docs) & (odds - errors * error >= min_log_odds)).select("term", odds.alias("w")).collect()
+    lexicon = Lexicon({r["term"]: r["w"] for r in sorted(top)})
+    phrases = _by_label(distinct.mapInArrow(partial(_count_phrases, lexicon), "term string, label int, n long"))
+    harmless = phrases.where((F.col("q") >= min_docs) & (odds <= 0)).select("term", (odds + 2 * error).alias("most")).collect()
+    lexicon = replace(lexicon, learned=tuple(sorted(p for r in harmless if r["most"] < max(lexicon.hits(p := f" {r['term']} "), default=-math.inf))))
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -193,7 +237,7 @@ def fit(sample: DataFrame, min_docs: int = 4, min_log_odds: float = 1.0, max_ter
             yield pa.RecordBatch.from_arrays([*(pa.array([r[i] for r in rows], pa.float64()) for i in range(3)), batch["label"]], names=["a", "b", "c", "label"])
 
     m = sample.mapInArrow(measure, "a double, b double, c double, label int").toPandas()
-    return Lexicon(lexicon.weights, curve=fit_curve(m[["a", "b", "c"]].to_numpy(), m["label"].to_numpy(float)))
+    return replace(lexicon, curve=fit_curve(m[["a", "b", "c"]].to_numpy(), m["label"].to_numpy(float)))
 
 
 def score(docs: DataFrame, lexicon: Lexicon, threshold: float = 0.3) -> DataFrame:
