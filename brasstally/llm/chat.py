@@ -21,17 +21,18 @@ def _render(role: Column, text: Column) -> Column:
 
 
 def cleaned(turns: DataFrame) -> DataFrame:
-    """conv (conv_id as text, empty for null), conv_id, turn, role and text."""
-    return turns.select(
-        F.coalesce(F.col("conv_id").cast("string"), F.lit("")).alias("conv"), "conv_id", "turn",
+    """conv (conv_id as text after a mark, empty for null), conv_id, turn, role, text and tie (its MD5)."""
+    named = turns.select(
+        F.coalesce(F.concat(F.lit("="), F.col("conv_id").cast("string")), F.lit("")).alias("conv"), "conv_id", "turn",
         F.coalesce("role", F.lit(NO_ROLE)).alias("role"), F.coalesce("text", F.lit("")).alias("text"),
     )
+    return named.withColumn("tie", F.md5("text"))
 
 
 def prefix_hashes(clean: DataFrame) -> DataFrame:
     """conv, conv_id, n (turns up to this one), a and b (hashes of the first n turns) and last; no text is shuffled for it."""
-    order = Window.partitionBy("conv").orderBy("turn", "role", "ha", "hb")
-    slim = clean.select("conv", "conv_id", "turn", "role", *(F.xxhash64(F.lit(seed), "role", "text").alias(h) for h, seed in (("ha", 1), ("hb", 2))))
+    order = Window.partitionBy("conv").orderBy("turn", "role", "tie")
+    slim = clean.select("conv", "conv_id", "turn", "role", "tie", *(F.xxhash64(F.lit(seed), "role", "text").alias(h) for h, seed in (("ha", 1), ("hb", 2))))
     placed = slim.withColumn("n", F.row_number().over(order)).withColumn("last", F.lead("n").over(order).isNull())
     rolling = order.rowsBetween(Window.unboundedPreceding, 0)
     return placed.select("conv", "conv_id", "n", "last", *(F.bit_xor(F.xxhash64("n", h)).over(rolling).alias(x) for x, h in (("a", "ha"), ("b", "hb"))))
@@ -49,13 +50,13 @@ def maximal(placed: DataFrame) -> DataFrame:
 def format_chats(turns: DataFrame) -> DataFrame:
     """conv_id, n_turns, n_copies and text of every maximal conversation.
 
-    Turns are ordered by turn, then role and text. A null role is named ``unknown``, a null text is empty, and all turns without a conv_id are one
+    Turns are ordered by turn, then role, then the MD5 of the text, here and for the hashes; repeated turns all count. A null role is named ``unknown``, a null text is empty, and all turns without a conv_id are one
     conversation. Other columns are ignored; an empty table gives an empty result. A conversation is one output row, so
     it has to fit into one.
     """
     clean = cleaned(turns)
     kept = maximal(prefix_hashes(clean))
-    parts = F.array_sort(F.collect_list(F.struct("turn", "role", "text")))
+    parts = F.array_sort(F.collect_list(F.struct("turn", "role", "tie", "text")))
     rendered = F.array_join(F.transform(parts, lambda p: _render(p["role"], p["text"])), "")
     return clean.join(kept, "conv").groupBy("conv", "conv_id", "n_copies").agg(F.count("*").alias("n_turns"), rendered.alias("text")).select("conv_id", "n_turns", "n_copies", "text")
 
@@ -66,7 +67,7 @@ WITH clean AS (
 ), placed AS (
   SELECT *, row_number() OVER w AS n, lead(turn) OVER w IS NULL AS last,
          string_agg(role || ':' || length(text) || ':' || text, chr(1)) OVER (w ROWS UNBOUNDED PRECEDING) AS so_far
-  FROM clean WINDOW w AS (PARTITION BY conv_id ORDER BY turn, role, text)
+  FROM clean WINDOW w AS (PARTITION BY conv_id ORDER BY turn, role, md5(text))
 ), whole AS (
   SELECT so_far, min(conv_id) AS conv_id, count(*) AS n_copies FROM placed WHERE last GROUP BY so_far
 ), kept AS (
