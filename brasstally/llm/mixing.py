@@ -8,7 +8,9 @@ its exact share but for less than one block. Periods repeat with the target weig
 source runs out: its last period takes what it has left, and later ones do without it. Weights
 are whole numbers, so the schedule is a table of a few periods whose size depends on the weights only.
 
-A document's place in its source is a running sum by buckets of its hash, so no task holds a source.
+A document's place in its source is a running sum by buckets of its hash, whose number follows the rows of the largest source, so no
+task holds a source. A document that is longer than the rest of its block reaches into its source's next ones, so at any place in the
+mix a source's units deviate from its share by less than one block and one document.
 """
 
 from __future__ import annotations
@@ -20,12 +22,16 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from brasstally.llm.common import cut
+
 #: Target weights of the production mix; sources without a weight share REST as one source.
 WEIGHTS = {"src0": 5} | {f"src{i}": 2 for i in range(1, 10)} | {f"src{i}": 1 for i in range(10, 20)}
 REST, REST_WEIGHT = "(rest)", 1
 BLOCK_UNITS = 32_768
 #: The schedule's tables may have so many rows.
 MAX_ROWS = 200_000
+#: Rows of one source in a bucket, about; buckets are the first digits of hashes, DIGITS of them at most.
+BUCKET_ROWS, DIGITS = 16_384, 4
 
 
 def period(shares: Mapping[str, int]) -> list[tuple[str, int, int, int, int]]:
@@ -82,8 +88,8 @@ def mix(docs: DataFrame, weights: Mapping[str, int] | None = None, rest_weight:
 
     Added columns: mix_source, block (of its source), slot, release and deadline (in slots, slot + 1 <= deadline),
     position (characters of its source before it, within its block) and units (its characters and
-    one more). Every row stays. A null or unlisted source counts as REST, a null text as an empty one, a null doc_id
-    has its own place in the order; an empty table gives an empty result. Columns of these names in
+    one more). Every row stays. A null or unlisted source counts as REST, a null text as an empty one; a row without
+    a doc_id takes its place in the order from its text. An empty table gives an empty result. Columns of these names in
     ``docs`` are replaced.
     """
     weights = dict(WEIGHTS if weights is None else weights) | {REST: rest_weight}
@@ -95,20 +101,26 @@ def mix(docs: DataFrame, weights: Mapping[str, int] | None = None, rest_weight:
         docs.drop(*added)
         .withColumn("mix_source", _source(F.col("source"), weights))
         .withColumn("units", F.coalesce(F.length("text"), F.lit(0)).cast("long") + 1)
-        .withColumn("_order", F.coalesce(F.md5(F.col("doc_id").cast("string")), F.lit("")))
-        .withColumn("_bucket", F.substring("_order", 1, 2))
         .withColumn("_tie", F.xxhash64("text"))
+        # rows without an id are spread by their texts
+        .withColumn("_order", F.md5(F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("text:"), F.coalesce("text", F.lit(""))))))
     )
-    sums = keyed.groupBy("mix_source", "_bucket").agg(F.sum("units").alias("_sum"))
-    totals = {r["mix_source"]: r["n"] for r in sums.groupBy("mix_source").agg(F.sum("_sum").alias("n")).collect()}  # a row for each weight
-    phases, periods = schedule({s: -(-n // block_units) for s, n in totals.items()}, weights)
+    finest = cut(keyed.groupBy("mix_source", F.substring("_order", 1, DIGITS).alias("_finest")).agg(F.sum("units").alias("_sum"), F.count("*").alias("_n")))
+    # a row for each weight
+    totals = {r["mix_source"]: (r["units"], r["n"]) for r in finest.groupBy("mix_source").agg(F.sum("_sum").alias("units"), F.sum("_n").alias("n")).collect()}
+    phases, periods = schedule({s: -(-n // block_units) for s, (n, _) in totals.items()}, weights)
+    most = max((n for _, n in totals.values()), default=0)
+    digits = next((d for d in range(2, DIGITS) if most <= BUCKET_ROWS * 16**d), DIGITS)
+    keyed = keyed.withColumn("_bucket", F.substring("_order", 1, digits))
+    sums = finest.groupBy("mix_source", F.substring("_finest", 1, digits).alias("_bucket")).agg(F.sum("_sum").alias("_sum"))
+    # 16**digits rows for each weight at most
     before = Window.partitionBy("mix_source").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    # 257 rows for each weight
     base = sums.select("mix_source", "_bucket", F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_base"))
+    base = F.broadcast(base) if digits == 2 else base
     running = Window.partitionBy("mix_source", "_bucket").orderBy("_order", "units", "_tie").rowsBetween(Window.unboundedPreceding, -1)
     placed = (
         keyed.withColumn("_before", F.coalesce(F.sum("units").over(running), F.lit(0)))
-        .join(F.broadcast(base), ["mix_source", "_bucket"])
+        .join(base, ["mix_source", "_bucket"])
         .withColumn("_before", F.col("_before") + F.col("_base"))
         .withColumn("block", F.expr(f"_before div {block_units}"))
         .withColumn("position", F.col("_before") % block_units)
@@ -142,7 +154,7 @@ def _oracle() -> str:
 WITH RECURSIVE weights AS (SELECT * FROM (VALUES {w}) v(s, w)),
 docs AS (
   SELECT doc_id, source, CASE WHEN source IN (SELECT s FROM weights) THEN source ELSE '{REST}' END AS mix_source, coalesce(length(text), 0) + 1 AS units,
-    coalesce(md5(doc_id::VARCHAR), '') AS o FROM documents
+    md5(coalesce(doc_id::VARCHAR, 'text:' || coalesce(text, ''))) AS o FROM documents
 ), placed AS (
   SELECT *, coalesce(sum(units) OVER (PARTITION BY mix_source ORDER BY o, units ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS before FROM docs
 ), totals AS (
