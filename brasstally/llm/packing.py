@@ -30,8 +30,8 @@ TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 #: The vocabulary of TOKENIZER as ranks, for a faster library that gives the same ids.
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 END = 0
-#: Pieces of one length are ranked in so many buckets.
-BUCKETS = 64
+#: Pieces of one length are ranked in buckets of about so many, and in BUCKETS at least where an order is given.
+BUCKET_ROWS, BUCKETS = 16_384, 64
 #: Documents in a given order are packed in so many consecutive parts at most, each of PART_SEQUENCES full sequences at least.
 PARTS, PART_SEQUENCES = 16, 256
 
@@ -135,9 +135,10 @@ def _ranked(split: DataFrame, within: list[str], order: list[str]) -> DataFrame:
     )
 
 
-def ranked(found: DataFrame, buckets: int = BUCKETS) -> DataFrame:
-    """``found`` with rank (from 0) among the pieces of its length; no window holds a whole length."""
-    split = found.withColumn("_bucket", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(buckets)))
+def ranked(found: DataFrame, histogram: dict[int, int]) -> DataFrame:
+    """``found`` with rank (from 0) among the pieces of its length; buckets follow the length's count, so no window holds a whole frequent length."""
+    buckets = F.lit([max(1, -(-histogram.get(n, 0) // BUCKET_ROWS)) for n in range(max(histogram, default=0) + 1)])
+    split = found.withColumn("_bucket", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.get(buckets, F.col("length").cast("int"))))
     return _ranked(split, ["length"], ["doc_id", "piece", "ids_crc32"]).drop("_bucket")
 
 
@@ -154,7 +155,7 @@ def pack(docs: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     slots = spark.createDataFrame(steps, "length long, first_rank long, number long, first_sequence long, offset long")
     # a plan's size depends on capacity, not on the number of documents
     return (
-        ranked(found)
+        ranked(found, histogram)
         .join(F.broadcast(slots), "length")
         .where((F.col("rank") >= F.col("first_rank")) & (F.col("rank") < F.col("first_rank") + F.col("number")))
         .select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("first_sequence") + F.col("rank") - F.col("first_rank")).alias("sequence_id"), "offset")
@@ -181,10 +182,13 @@ def pack_in_order(docs: DataFrame, capacity: int = CAPACITY, parts: int = PARTS,
     # files of other folders don't mix: a table is one folder
     read = docs.select("doc_id", "text", F.col("_metadata.file_name").alias("_file"), F.col("_metadata.row_index").alias("_row"))
     found = cut(pieces(read, capacity, ("_file", "_row")))
-    total = found.agg(F.sum("length")).first()[0] or 0
+    total, rows = found.agg(F.sum("length"), F.count("*")).first()
+    total = total or 0
     parts = max(1, min(parts, total // (capacity * part_sequences)))
-    share = F.expr(f"_at * {parts * BUCKETS} div {max(total, 1)}")
-    placed = cut(_along(found).withColumn("_bucket", share % BUCKETS).withColumn("_part", F.expr(f"_at * {parts} div {max(total, 1)}")))
+    buckets = max(BUCKETS, rows // (parts * BUCKET_ROWS))
+    # as decimals, since a product of tokens and buckets can exceed a long
+    share = F.expr(f"cast(_at as decimal(20, 0)) * {parts * buckets} div {max(total, 1)}")
+    placed = cut(_along(found).withColumn("_bucket", share % buckets).withColumn("_part", F.expr(f"_at * {parts} div {max(total, 1)}")))
     histograms: dict[int, dict[int, int]] = {}
     for r in placed.groupBy("_part", "length").agg(F.count("*").alias("n")).collect():  # parts x capacity rows at most
         histograms.setdefault(r["_part"], {})[r["length"]] = r["n"]
