@@ -83,26 +83,35 @@ def _bucket(key: Column, bounds: list[int]) -> Column:
 def with_next(docs: DataFrame, columns: list[str], buckets: int) -> DataFrame:
     """``docs`` with next_<column> of the document that follows by descending doc_id (after the last: the first).
 
-    Ranges of ids, whose bounds are quantiles, become buckets. The first row of each also goes to the bucket
-    before as a guest, so that a window over single buckets finds each row's successor. Rows without a
-    doc_id come last; rows of one doc_id follow one another by a hash of their text.
+    Rows without a doc_id come last; rows of one doc_id follow one another by a hash of their text. Ranges of ids, whose bounds are quantiles,
+    become buckets. An id that is a bound several times holds several buckets' worth of rows and is cut by that hash into as many, and so are the
+    rows without an id. The first row of each bucket also goes to the bucket before as a guest, so that a window over single buckets finds
+    each row's successor. Rows that agree in doc_id and text stay together.
     """
     shares = [i / buckets for i in range(1, buckets)]
-    found = docs.agg(F.percentile_approx("doc_id", shares, 50 * buckets).alias("b")).first()["b"] if shares else None
-    bounds = sorted(set(found or []))
-    bucket = F.when(F.col("doc_id").isNull(), -1).otherwise(_bucket(F.col("doc_id"), bounds))
-    # one row for each bucket
-    tops = docs.select("doc_id", bucket.alias("b")).groupBy("b").agg(F.max("doc_id").alias("top")).orderBy(F.desc("b")).collect()
-    order = [(r["b"], r["top"]) for r in tops]
-    before = {b: (order[i - 1][0]) for i, (b, _) in enumerate(order)}
+    columns_of = [F.count("*").alias("n"), F.count_if(F.col("doc_id").isNull()).alias("lone")] + ([F.percentile_approx("doc_id", shares, 50 * buckets).alias("b")] if shares else [])
+    found = docs.agg(*columns_of).first().asDict()
+    quantiles = found.get("b") or []
+    bounds = sorted(set(quantiles))
+    parts = {b: n for b in bounds if (n := quantiles.count(b)) > 1}
+    lone = max(1, -(-found["lone"] * buckets // max(found["n"], 1)))
+    key, tie = F.col("doc_id"), F.xxhash64("text")
+    # rows of a cut id come before the smaller ids of their bucket
+    cell = F.least(F.floor((tie / F.lit(2.0**64) + 0.5) * F.when(key.isNull(), lone).otherwise(F.coalesce(F.element_at(F.create_map(*(F.lit(x).cast("long") for kv in parts.items() for x in kv)), key) if parts else F.lit(None), F.lit(1)))), F.lit(buckets))
+    behind = F.when(key.isNull() | (key.isin(*parts) if parts else F.lit(False)), cell).otherwise(F.lit(buckets + 1))
+    place = F.when(key.isNull(), len(bounds) + 1).otherwise(len(bounds) - _bucket(key, bounds)) * F.lit(buckets + 2) + behind
+    spread = docs.withColumn("_tie", tie).withColumn("_own", place.cast("long"))
+    # one row for each bucket; ~tie turns the order of ties round
+    tops = spread.groupBy("_own").agg(F.max(F.struct("doc_id", F.bitwise_not("_tie").alias("t"))).alias("top")).orderBy("_own").collect()
+    before = {r["_own"]: tops[i - 1]["_own"] for i, r in enumerate(tops)}
     own = [F.struct(F.col("_own").alias("bucket"), F.lit(False).alias("guest"))]
-    guest = F.lit(None).cast("int")
-    if order:
-        lead_to = F.create_map(*(F.lit(x) for b, _ in order for x in (b, before[b])))
-        top_of = F.create_map(*(F.lit(x).cast(t) for b, top in order for x, t in ((b, "int"), (top, "long"))))
-        guest = F.when(F.col("doc_id").eqNullSafe(top_of[F.col("_own")]), lead_to[F.col("_own")])
+    guest = F.lit(None).cast("long")
+    if tops:
+        table = F.create_map(*(x for r in tops for x in (F.lit(r["_own"]), F.struct(F.lit(before[r["_own"]]).alias("to"), F.lit(r["top"]["doc_id"]).cast("long").alias("id"), F.lit(~r["top"]["t"]).cast("long").alias("tie")))))
+        mine = table[F.col("_own")]
+        guest = F.when(key.eqNullSafe(mine["id"]) & (F.col("_tie") == mine["tie"]), mine["to"])
     places = F.when(guest.isNotNull(), F.array(*own, F.struct(guest.alias("bucket"), F.lit(True).alias("guest")))).otherwise(F.array(*own))
-    spread = docs.withColumn("_tie", F.xxhash64("text")).withColumn("_own", bucket).withColumn("_at", F.explode(places)).select(*docs.columns, "_tie", "_at.bucket", "_at.guest")
+    spread = spread.withColumn("_at", F.explode(places)).select(*docs.columns, "_tie", "_at.bucket", "_at.guest")
     w = Window.partitionBy("bucket").orderBy("guest", F.desc_nulls_last("doc_id"), "_tie")
     led = spread.select(*docs.columns, "guest", *(F.lead(c).over(w).alias(f"next_{c}") for c in columns))
     return led.where("not guest").drop("guest")
