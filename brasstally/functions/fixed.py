@@ -67,5 +67,14 @@ DIRECTIONS = ("credit", "debit")
 CADENCES = ("none", "weekly", "biweekly", "monthly", "irregular")
 CONFIDENCES = ("low", "medium", "high")
 
+# Sentences of results.
+NO_CONTEXT = "No relevant context found."
+MIXED_LOOKUP = "Multiple currencies detected in lookup results. Values should not be combined implicitly."
+MIXED_SPEND = "Multiple currencies detected. Totals are separated by currency and should not be combined implicitly."
+MIXED_RECURRING = "Multiple or mixed currencies detected in recurring payment results. Values should not be combined implicitly."
+NO_LOOKUP = "No transactions matched the provided filters."
+NO_RECURRING = "No recurring payments matched the provided filters."
+ALL_IRREGULAR = "All returned recurring payment records are marked as irregular."
+
 # Bands of evaluation metrics (green from, orange from).
 BANDS = {"mrr": (0.9, 0.75), "ndcg": (0.9, 0.75), "coverage": (90.0, 75.0), "accuracy": (4.5, 4.0), "completeness": (4.5, 4.0), "relevance": (4.5, 4.0)}

@@ -22,14 +22,17 @@ def keyword_metrics(cases: DataFrame, retrieved: DataFrame, k: int = K) -> DataF
     keyword in any case. The reciprocal rank looks at all documents, nDCG at the first k; its ideal order is that of
     the same documents.
     """
-    wanted = cases.select("test_id", F.explode(F.array_distinct("keywords")).alias("keyword"))
-    seen = wanted.join(retrieved, "test_id", "left").withColumn("hit", F.coalesce(F.lower("text").contains(F.lower("keyword")), F.lit(False)))
+    asked = cases.select("test_id", F.array_distinct("keywords").alias("keywords"))
+    # each text is looked through once for all keywords of its case and goes no further
+    seen = asked.join(retrieved.select("test_id", "rank", F.lower("text").alias("low")), "test_id").select("test_id", "rank", F.explode(F.filter("keywords", lambda w: F.col("low").contains(F.lower(w)))).alias("keyword"))
     by = seen.groupBy("test_id", "keyword").agg(
-        F.coalesce(1.0 / F.min(F.when(F.col("hit"), F.col("rank"))), F.lit(0.0)).alias("mrr"),
-        F.coalesce(F.sum(F.when(F.col("hit") & (F.col("rank") <= k), 1 / F.log2(F.col("rank") + 1.0))), F.lit(0.0)).alias("dcg"),
-        F.least(F.count_if("hit"), F.lit(k)).alias("n"),
+        (1.0 / F.min("rank")).alias("mrr"),
+        F.coalesce(F.sum(F.when(F.col("rank") <= k, 1 / F.log2(F.col("rank") + 1.0))), F.lit(0.0)).alias("dcg"),
+        F.least(F.count("*"), F.lit(k)).alias("n"),
     )
-    return by.select("test_id", "keyword", "mrr", F.when(F.col("n") > 0, F.col("dcg") / _ideal(F.col("n"))).otherwise(0.0).alias("ndcg"))
+    ndcg = F.when(F.col("n") > 0, F.col("dcg") / _ideal(F.col("n"))).otherwise(0.0)
+    every = asked.select("test_id", F.explode("keywords").alias("keyword")).join(by, ["test_id", "keyword"], "left")
+    return every.select("test_id", "keyword", F.coalesce("mrr", F.lit(0.0)).alias("mrr"), ndcg.alias("ndcg"))
 
 
 def retrieval_metrics(cases: DataFrame, retrieved: DataFrame, k: int = K) -> DataFrame:

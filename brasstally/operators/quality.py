@@ -1,4 +1,4 @@
-"""Data-quality findings from one pass over the processed transactions."""
+"""Data-quality findings: the processed transactions are evaluated once, all else reads the slim rows that this gives."""
 
 from __future__ import annotations
 
@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from brasstally.errors import QualityInputError
 from brasstally.functions import fixed, money, text
+from brasstally.plans.shared import kept
 
 NEEDED = (
     "transaction_id", "timestamp", "amount", "direction", "merchant_mapped", "category_mapped", "subcategory_mapped", "category_mapping_source",
@@ -38,7 +39,8 @@ def _checks(config: QualityConfig, now: str) -> list[tuple[str, str, str, Column
     recurring = F.coalesce(F.col("is_recurring"), F.lit(False))
     floor = config.samples if config.min_occurrences is None else config.min_occurrences
     domains = (("direction", config.directions), ("category_mapped", config.categories), ("subcategory_mapped", config.subcategories), ("recurrence_cadence", config.cadences), ("recurrence_confidence", config.confidences))
-    found = [("duplicate_transaction_id", "error", "Transaction ids occur more than once.", F.col("_copies") > 1)]
+    # ids that occur more than once are counted over all rows, not here
+    found = [("duplicate_transaction_id", "error", "Transaction ids occur more than once.", F.lit(False))]
     found += [(f"null_{c}", "error", f"{c} is null.", F.col(c).isNull()) for c in NEVER_NULL]
     found += [(f"enum_{c}", "error", f"{c} is outside its domain.", ~F.coalesce(F.col(c).isin(*allowed), F.lit(False))) for c, allowed in domains if allowed]
     found += [
@@ -68,11 +70,13 @@ def findings(df: DataFrame, now: str, config: QualityConfig | None = None, order
     if missing:
         raise QualityInputError(f"columns {missing} are missing; there are {sorted(df.columns)}")
     checks = _checks(config, now)
-    copies = df.groupBy(F.col("transaction_id").alias("_id")).agg(F.count("*").alias("_copies")).where("_copies > 1")
-    marked = df.join(copies, F.col("transaction_id").eqNullSafe(F.col("_id")), "left")
     bad = F.array_compact(F.array(*(F.when(condition, F.lit(k)) for k, (*_, condition) in enumerate(checks))))
-    hits = marked.select(F.col("transaction_id").cast("string").alias("id"), F.col(order).alias("o"), F.explode(bad).alias("place"))
-    counts = hits.groupBy("place").agg(F.count("*").alias("row_count"))
+    slim = kept(df.select(F.col("transaction_id").cast("string").alias("id"), F.col(order).alias("o"), bad.alias("bad")))
+    copies = slim.groupBy(F.col("id").alias("_id")).agg(F.count("*").alias("_copies")).where("_copies > 1")
+    repeated = slim.join(copies, F.col("id").eqNullSafe(F.col("_id")), "left_semi").select("id", "o", F.lit(0).alias("place"))
+    hits = slim.select("id", "o", F.explode("bad").alias("place")).unionByName(repeated)
+    twice = copies.agg(F.sum("_copies").alias("row_count")).where("row_count > 0").select(F.lit(0).alias("place"), "row_count")
+    counts = slim.select(F.explode("bad").alias("place")).groupBy("place").agg(F.count("*").alias("row_count")).unionByName(twice)
     first = Window.partitionBy("place").orderBy("o", "id")
     samples = hits.withColumn("r", F.row_number().over(first)).where(F.col("r") <= config.samples).groupBy("place").agg(F.array_sort(F.collect_list(F.struct("r", F.coalesce("id", F.lit("null")).alias("id")))).alias("s"))
     names = F.array(*(F.struct(F.lit(n).alias("check_name"), F.lit(s).alias("severity"), F.lit(m).alias("message")) for n, s, m, _ in checks))

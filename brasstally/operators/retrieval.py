@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import deque
 from collections.abc import Iterator, Sequence
 
 import pandas as pd
@@ -9,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from brasstally.errors import InputError
-from brasstally.functions import text
+from brasstally.functions import fixed, text
 
 CHUNK, OVERLAP, TOP_K, SHORTEST = 1000, 200, 10, 50
 SEPARATORS = ("\n\n", "\n", " ", "")
@@ -24,9 +25,13 @@ def cosine(a: Column | str, b: Column | str) -> Column:
 
 
 def top_k(vectors: DataFrame, query: Sequence[float], k: int = TOP_K, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
-    """The k vectors nearest to one query by cosine; each partition keeps k rows, so only these meet."""
-    score = F.round(cosine(vector, F.lit([float(x) for x in query])), 6)
-    return vectors.where(F.col(vector).isNotNull()).select(key, score.alias("score")).orderBy(F.desc("score"), F.asc(key)).limit(k)
+    """The k vectors nearest to one query by cosine, their scores rounded after they are ranked; vectors without a length take no part.
+
+    Each partition keeps k rows, so only these meet.
+    """
+    asked = F.lit([float(x) for x in query])
+    near = vectors.where(F.col(vector).isNotNull() & (dot(vector, vector) > 0)).select(key, (dot(vector, asked) / (F.sqrt(dot(vector, vector)) * F.sqrt(dot(asked, asked)))).alias("score"))
+    return near.orderBy(F.desc("score"), F.asc(key)).limit(k).withColumn("score", F.round("score", 6))
 
 
 def chunk_by_stride(docs: DataFrame, size: int = CHUNK, overlap: int = OVERLAP, key: str = "doc_id") -> DataFrame:
@@ -40,34 +45,52 @@ def chunk_by_stride(docs: DataFrame, size: int = CHUNK, overlap: int = OVERLAP,
     return docs.select(key, "text", F.explode(starts).alias("chunk_id")).select(key, "chunk_id", F.substring("text", F.col("chunk_id") * stride + 1, F.lit(size)).alias("chunk"))
 
 
-def _pieces(value: str, separators: Sequence[str], size: int) -> list[str]:
-    """Pieces of at most ``size`` characters, cut at the coarsest separator that occurs."""
-    if len(value) <= size:
-        return [value]
-    for at, sep in enumerate(separators):
-        if sep == "":
-            return [value[i : i + size] for i in range(0, len(value), size)]
-        if sep in value:
-            parts = value.split(sep)
-            joined = [p + sep for p in parts[:-1]] + parts[-1:]
-            return [x for p in joined if p for x in _pieces(p, separators[at + 1 :], size)]
-    return [value]
+def _at_separator(value: str, separator: str) -> list[str]:
+    """Parts that begin with the separator, but for the first; none is empty."""
+    first, *rest = value.split(separator)
+    return [p for p in (first, *(separator + r for r in rest)) if p]
 
 
-def split_recursively(value: str | None, size: int = CHUNK, overlap: int = OVERLAP, separators: Sequence[str] = SEPARATORS) -> list[str]:
-    """Chunks that end at paragraphs, lines or words where they can and repeat at most ``overlap`` characters."""
-    out: list[str] = []
-    held: list[str] = []
+def _packed(parts: list[str], size: int, overlap: int) -> Iterator[str]:
+    """Neighbouring parts together as far as they fit; a chunk begins with as many of the last one's parts as ``overlap`` allows."""
+    held: deque[str] = deque()
     room = 0
-    for piece in _pieces(value or "", separators, size):
-        if held and room + len(piece) > size:
-            out.append("".join(held).strip())
-            while held and (room > overlap or room + len(piece) > size):
-                room -= len(held.pop(0))
-        held.append(piece)
-        room += len(piece)
-    out.append("".join(held).strip())
-    return [c for c in out if c]
+    for part in parts:
+        if held and room + len(part) > size:
+            yield "".join(held)
+            while room > overlap or (held and room + len(part) > size):
+                room -= len(held.popleft())
+        held.append(part)
+        room += len(part)
+    yield "".join(held)
+
+
+def split_recursively(value: str | None, size: int = CHUNK, overlap: int = OVERLAP, separators: Sequence[str] = SEPARATORS) -> list[str]:
+    """Chunks of at most ``size`` characters without white space at their ends, cut at the coarsest separator that occurs.
+
+    Parts shorter than ``size`` are packed together; a longer one is cut at the finer separators by itself. What holds no
+    separator is cut into stretches that overlap by ``overlap``.
+    """
+
+    def cut(text: str, finer: Sequence[str]) -> Iterator[str]:
+        at = next((i for i, s in enumerate(finer) if s in text), None)
+        if at is None:
+            yield text
+        elif not finer[at]:
+            last = max(0, -(-(len(text) - size) // (size - overlap)))
+            yield from (text[i * (size - overlap) :][:size] for i in range(last + 1))
+        else:
+            short: list[str] = []
+            for part in _at_separator(text, finer[at]):
+                if len(part) < size:
+                    short.append(part)
+                    continue
+                yield from _packed(short, size, overlap)
+                short = []
+                yield from cut(part, finer[at + 1 :])
+            yield from _packed(short, size, overlap)
+
+    return [c for c in map(str.strip, cut(value or "", separators)) if c]
 
 
 def chunk_recursively(docs: DataFrame, size: int = CHUNK, overlap: int = OVERLAP, key: str = "doc_id") -> DataFrame:
@@ -95,9 +118,10 @@ def usable(c: Column) -> Column:
 
 
 def assemble_context(chunks: DataFrame, group: str, order: str, value: str = "text") -> DataFrame:
-    """The group's usable texts in order, joined by an empty line."""
-    parts = F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(value).alias("t"))))
-    return chunks.where(usable(F.col(value))).groupBy(group).agg(F.array_join(F.transform(parts, lambda x: x["t"]), "\n\n").alias("context"))
+    """The group's usable texts in order, joined by an empty line; a fixed sentence for a group without any."""
+    part = F.when(usable(F.col(value)), F.struct(F.col(order).alias("o"), F.col(value).alias("t")))
+    parts = F.array_sort(F.collect_list(part))
+    return chunks.groupBy(group).agg(F.when(F.count(part) > 0, F.array_join(F.transform(parts, lambda x: x["t"]), "\n\n")).otherwise(fixed.NO_CONTEXT).alias("context"))
 
 
 def corpus_size(docs: DataFrame) -> DataFrame:
@@ -105,6 +129,20 @@ def corpus_size(docs: DataFrame) -> DataFrame:
     return docs.agg(F.count("text").alias("documents"), (F.sum(F.length("text")) + 2 * (F.count("text") - 1)).alias("characters"), F.sum(F.size(F.regexp_extract_all("text", F.lit(r"\S+"), 0))).alias("words"))
 
 
+def token_count(docs: DataFrame, tokenizer: str) -> DataFrame:
+    """documents and tokens of all texts by the tokenizer file at ``tokenizer``, which every executor can read."""
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from tokenizers import Tokenizer
+
+        encoder = Tokenizer.from_file(tokenizer)
+        for batch in batches:
+            texts = batch["text"].dropna().tolist()
+            yield pd.DataFrame({"documents": [len(texts)], "tokens": [sum(len(e.ids) for e in encoder.encode_batch(texts, add_special_tokens=False))]})
+
+    return docs.select("text").mapInPandas(count, "documents long, tokens long").agg(F.coalesce(F.sum("documents"), F.lit(0)).alias("documents"), F.coalesce(F.sum("tokens"), F.lit(0)).alias("tokens"))
+
+
 def kind_histogram(docs: DataFrame, kind: str = "doc_type") -> DataFrame:
     return docs.groupBy(kind).agg(F.count("*").alias("n"))
 

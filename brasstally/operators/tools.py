@@ -9,16 +9,11 @@ from pyspark.sql import functions as F
 
 from brasstally.errors import InputError
 from brasstally.functions import money, text
+from brasstally.functions.fixed import ALL_IRREGULAR, MIXED_LOOKUP, MIXED_RECURRING, MIXED_SPEND, NO_LOOKUP, NO_RECURRING
 from brasstally.plans.requests import LookupRequest, RecurringRequest, SpendRequest, _Request
 
 COLUMNS = ("transaction_id", "account_id", "timestamp", "amount", "currency", "direction", "merchant", "category", "subcategory")
 RECURRING_COLUMNS = (*COLUMNS, "is_recurring", "recurrence_cadence", "recurrence_confidence")
-MIXED_LOOKUP = "Multiple currencies detected in lookup results. Values should not be combined implicitly."
-MIXED_SPEND = "Multiple currencies detected. Totals are separated by currency and should not be combined implicitly."
-MIXED_RECURRING = "Multiple or mixed currencies detected in recurring payment results. Values should not be combined implicitly."
-NO_LOOKUP = "No transactions matched the provided filters."
-NO_RECURRING = "No recurring payments matched the provided filters."
-ALL_IRREGULAR = "All returned recurring payment records are marked as irregular."
 
 
 def _need(df: DataFrame, columns: tuple[str, ...], error: type[InputError]) -> None:
@@ -57,7 +52,8 @@ def lookup(df: DataFrame, request: LookupRequest, strict: bool = False) -> DataF
 
 def _key(group_by: str) -> Column:
     if group_by == "month":
-        return F.date_format("timestamp", "yyyy-MM")
+        # a month for rows without a time would be a guess
+        return F.when(F.col("timestamp").isNull(), F.raise_error(F.lit("rows without a timestamp can't be grouped by month"))).otherwise(F.date_format("timestamp", "yyyy-MM"))
     raw = text.clean(F.col("account_id" if group_by == "account" else group_by))
     return F.coalesce(raw, F.lit("unknown"))
 
@@ -78,8 +74,11 @@ def _amount(request: SpendRequest) -> Column:
 
 
 def spend_by_currency(df: DataFrame, request: SpendRequest) -> DataFrame:
+    """Total and count of each currency; a blank currency is an error when the rows are read."""
     _need(df, COLUMNS, request.error)
-    return filtered(df, request).groupBy(text.strip(F.col("currency")).alias("currency")).agg(money.total(_amount(request)).alias("total_amount"), F.count("*").alias("transaction_count"))
+    code = text.strip(F.col("currency"))
+    code = F.when(code == "", F.raise_error(F.lit("rows have a blank currency"))).otherwise(code)
+    return filtered(df, request).groupBy(code.alias("currency")).agg(money.total(_amount(request)).alias("total_amount"), F.count("*").alias("transaction_count"))
 
 
 def spend_grouped(df: DataFrame, request: SpendRequest) -> DataFrame:

@@ -131,6 +131,7 @@ def _streams(where: str, order: str, limit: int) -> str:
 
 _BY_MERCHANT = _streams("TRUE", "lower(merchant), lower(account_id), last_seen, merchant, category, subcategory, account_id, direction, cadence, confidence", 100)
 _LATEST = _streams(f"recurrence_confidence IN ('high', 'medium') AND recurrence_cadence = 'weekly' AND timestamp >= '{START}'", "last_seen DESC, lower(merchant) DESC, lower(account_id) DESC, merchant, category, subcategory, account_id, direction, cadence, confidence", 25)
+_OF_ACCOUNTS = _streams(f"account_id IN {_in(range(0, 90, 3))}", "average DESC, lower(merchant) DESC, lower(account_id) DESC, merchant, category, subcategory, account_id, direction, cadence, confidence", 40)
 _RECORD = f"SELECT merchant, category, subcategory, account_id, direction, cadence, confidence, transaction_count, {_TS.format('first_seen')} AS first_seen_timestamp, {_TS.format('last_seen')} AS last_seen_timestamp, average::VARCHAR AS average_amount, currency, is_irregular FROM records"
 
 
@@ -152,9 +153,9 @@ found AS (SELECT check_name, severity, count(*) AS row_count, string_agg(transac
 
 
 _CASES = """WITH wanted AS (
-  SELECT item_id AS test_id, list_distinct(string_split(text, ' ')[1:4]) AS keywords FROM benchmark
+  SELECT item_id AS test_id, list_distinct(string_split(text, ' ')) AS keywords FROM benchmark
 ), docs AS (
-  SELECT doc_id % 40 AS test_id, lower(text) AS t, row_number() OVER (PARTITION BY doc_id % 40 ORDER BY doc_id) AS rank FROM documents
+  SELECT doc_id % (SELECT count(*) FROM benchmark) AS test_id, lower(text) AS t, row_number() OVER (PARTITION BY doc_id % (SELECT count(*) FROM benchmark) ORDER BY doc_id) AS rank FROM documents
 ), seen AS (
   SELECT w.test_id, w.keyword, d.rank, coalesce(contains(d.t, lower(w.keyword)), FALSE) AS hit FROM (SELECT test_id, unnest(keywords) AS keyword FROM wanted) w LEFT JOIN docs d USING (test_id)
 ), by_word AS (
@@ -182,6 +183,16 @@ ORACLE_SQL = {
     "norm_fees_and_limits": f"SELECT p_partkey::VARCHAR AS item_id, CASE WHEN p_size > 25 THEN 'fee' ELSE 'limit' END AS item_type, p_retailprice AS value, upper({_clean('p_brand')}) AS unit, {_clean('p_name')} AS notes FROM part",
     "norm_products": f"SELECT p_partkey::VARCHAR AS product_id, {_clean('p_name')} AS product_name, lower({_clean('p_type')}) AS product_type FROM part",
     "norm_metadata": f"SELECT lower({_clean('n_name')}) AS key, n_regionkey::VARCHAR AS value, 'nation' AS source FROM nation",
+    "norm_drop_incomplete": f"WITH {RAW}, {NORM} SELECT transaction_id, amount, currency FROM norm WHERE _ord % 5 <> 0 AND _ord % 7 <> 0 AND amount IS NOT NULL AND timestamp IS NOT NULL AND account_id IS NOT NULL",
+    "ingest_transactions": f"""SELECT (event_id // 2)::VARCHAR AS transaction_id, user_id::VARCHAR AS account_id, CASE WHEN event_id % 13 <> 0 THEN 1000.5 + event_id % 1000 END::DOUBLE AS amount, 'GHS' AS currency,
+      {_TS.format("CASE WHEN event_id % 11 = 0 THEN NULL WHEN event_id % 2 = 0 THEN date_trunc('second', ts) ELSE date_trunc('day', ts)::TIMESTAMP END")} AS timestamp, event_type AS description
+      FROM events QUALIFY row_number() OVER (PARTITION BY event_id // 2 ORDER BY event_id) = 1""",
+    "spend_flags": f"""{SERVED}, t AS (SELECT count(*) AS n, count(DISTINCT currency) AS c FROM served WHERE direction = 'debit'),
+      g AS (SELECT coalesce(nullif(trim(category), ''), 'unknown') AS key, sum(money)::DECIMAL(28,2) AS total, count(*) AS n FROM served WHERE direction = 'debit' GROUP BY 1 ORDER BY total DESC, n DESC, lower(key) DESC, key LIMIT 10)
+      SELECT t.n = 0 AS empty_result, c > 1 AS multi_currency, CASE WHEN c > 1 THEN 1 ELSE 0 END AS warning_count, t.n AS transaction_count, (SELECT count(*) > 0 FROM g) AS has_groups,
+        (SELECT key FROM g ORDER BY total DESC, n DESC, lower(key) DESC LIMIT 1) AS top_group_key, (SELECT total::VARCHAR FROM g ORDER BY total DESC, n DESC, lower(key) DESC LIMIT 1) AS top_group_amount FROM t""",
+    "recurring_flags": f"""{_BY_MERCHANT} SELECT count(*) = 0 AS empty_result, count(*) AS record_count, count(*) FILTER (WHERE confidence = 'high') AS high_confidence_count, count(*) > 0 AND bool_and(is_irregular) AS irregular_only,
+      first(merchant ORDER BY average DESC, last_seen DESC, lower(merchant) DESC, lower(account_id) DESC) AS primary_merchant, first(average::VARCHAR ORDER BY average DESC, last_seen DESC, lower(merchant) DESC, lower(account_id) DESC) AS primary_average_amount FROM records""",
     "dedupe_keep_first": f"""SELECT * EXCLUDE (r, l_shipdate), {_TS.format('l_shipdate')} AS l_shipdate FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey, l_linenumber
       ORDER BY l_partkey, l_suppkey, l_quantity, l_extendedprice, l_discount, l_tax, l_returnflag, l_linestatus, l_shipdate) AS r FROM lineitem) WHERE r = 1""",
     "tables_union_by_name": "SELECT c_name AS name, c_acctbal AS balance, c_mktsegment AS segment FROM customer UNION ALL BY NAME SELECT s_acctbal AS balance, s_name AS name FROM supplier",
@@ -207,6 +218,7 @@ ORACLE_SQL = {
     "lookup_by_ids": _lookup(f"transaction_id IN {_in(range(0, 400, 7))}", "transaction_id ASC"),
     "recurring_streams": f"{_BY_MERCHANT} {_RECORD}",
     "recurring_streams_latest": f"{_LATEST} {_RECORD}",
+    "recurring_streams_of_accounts": f"{_OF_ACCOUNTS} {_RECORD}",
     "recurring_stream_summary": f"""{_BY_MERCHANT} SELECT 'cadence' AS measure, cadence AS value, count(*) AS n FROM records GROUP BY 1, 2 UNION ALL SELECT 'confidence', confidence, count(*) FROM records GROUP BY 1, 2
       UNION ALL SELECT 'currency', coalesce(currency, 'mixed'), count(*) FROM records GROUP BY 1, 2""",
     "recurring_stream_warnings": f"""{_BY_MERCHANT} SELECT concat_ws('|', CASE WHEN count(*) = 0 THEN 'No recurring payments matched the provided filters.' END,
@@ -232,12 +244,13 @@ ORACLE_SQL = {
     "transaction_flags": f"""{_CREDITS} SELECT count(*) = 0 AS empty_result, count(DISTINCT currency) > 1 AS multi_currency, count(*) AS match_count, first(transaction_id ORDER BY money DESC, timestamp DESC, transaction_id DESC) AS largest_transaction_id,
       max(money)::VARCHAR AS largest_transaction_amount, first(transaction_id ORDER BY timestamp DESC, money DESC, transaction_id DESC) AS most_recent_transaction_id, string_agg(DISTINCT currency, ',' ORDER BY currency) AS currencies FROM hit""",
     "vector_topk": """WITH q AS (SELECT list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings WHERE vec_id = 0), e AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings)
-      SELECT vec_id, round(list_inner_product(e.v, q.v) / (sqrt(list_inner_product(e.v, e.v)) * sqrt(list_inner_product(q.v, q.v))), 6) AS score FROM e, q ORDER BY score DESC, vec_id LIMIT 10""",
+      SELECT vec_id, round(s, 6) AS score FROM (SELECT vec_id, list_inner_product(e.v, q.v) / (sqrt(list_inner_product(e.v, e.v)) * sqrt(list_inner_product(q.v, q.v))) AS s FROM e, q
+        WHERE list_inner_product(e.v, e.v) > 0 ORDER BY s DESC, vec_id LIMIT 10)""",
     "chunk_fixed_stride": """SELECT doc_id, chunk_id::INT AS chunk_id, substring(text, (chunk_id * 800 + 1)::INT, 1000) AS chunk FROM (
       SELECT doc_id, text, unnest(range(0, greatest(ceil((length(text) - 1000) / 800.0), 0)::INT + 1)) AS chunk_id FROM documents WHERE length(text) > 0)""",
     "combined_question": """WITH u AS (SELECT conv_id, list(coalesce(text, '') ORDER BY turn, text) AS t FROM conversations WHERE role = 'user' GROUP BY 1)
       SELECT conv_id, array_to_string(t[1:len(t) - 1], chr(10)) || chr(10) || t[len(t)] AS question FROM u""",
-    "context_assembly": f"SELECT conv_id, string_agg(text, chr(10) || chr(10) ORDER BY turn, text) AS context FROM conversations WHERE {_STRIPPED} GROUP BY 1",
+    "context_assembly": f"SELECT conv_id, coalesce(string_agg(text, chr(10) || chr(10) ORDER BY turn, text) FILTER (WHERE {_STRIPPED}), 'No relevant context found.') AS context FROM conversations GROUP BY 1",
     "corpus_size": "SELECT count(text) AS documents, (sum(length(text)) + 2 * (count(text) - 1))::BIGINT AS characters, sum(len(regexp_extract_all(text, '[^ \\t\\n\\x0B\\f\\r]+')))::BIGINT AS words FROM documents",
     "kind_histogram": "SELECT lang, count(*) AS n FROM documents GROUP BY 1",
     "store_profile": "SELECT count(*) AS n, max(len(embedding))::INT AS dimension FROM embeddings",

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from brasstally.operators import categories, explain, metrics, normalize, quality, recurrence, retrieval, tools
@@ -12,7 +12,7 @@ from brasstally.oracles import ORACLE_SQL
 from brasstally.plans import canonical
 from brasstally.plans.canonical import table
 from brasstally.plans.requests import LookupRequest, RecurringRequest, SpendRequest
-from brasstally.sources.datasets import keep_first, union_by_name
+from brasstally.sources.datasets import DATASETS, check_required, coerce, keep_first, union_by_name, with_headers
 
 Query = Callable[[SparkSession, str], DataFrame]
 NOW = "2024-06-01"
@@ -57,6 +57,26 @@ def norm_metadata(spark, sf_dir):
     return normalize.metadata(n.select(F.col("n_name").alias("key"), F.col("n_regionkey").cast("string").alias("value"), F.lit(" nation ").alias("source")))
 
 
+def norm_drop_incomplete(spark, sf_dir):
+    raw = canonical.raw_transactions(spark, sf_dir)
+    holes = raw.withColumns({"amount": F.when(F.col("_ord") % 5 != 0, F.col("amount")), "currency": F.when(F.col("_ord") % 7 == 0, F.lit("  ")).otherwise(F.col("currency"))})
+    return normalize.transactions(holes, normalize.NormalizeConfig(drop_invalid_rows=True)).select("transaction_id", "amount", "currency")
+
+
+def ingest_transactions(spark, sf_dir):
+    """Raw text columns under odd headers, read by the transactions' contract."""
+    e = table(spark, sf_dir, "events")
+    when = F.when(F.col("event_id") % 11 == 0, "soon").when(F.col("event_id") % 2 == 0, F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'")).otherwise(F.date_format("ts", "dd/MM/yyyy"))
+    price = F.when(F.col("event_id") % 13 == 0, "n/a").otherwise(F.concat(F.lit("£1,"), F.lpad((F.col("event_id") % 1000).cast("string"), 3, "0"), F.lit(".50")))
+    raw = e.select(
+        F.expr("event_id div 2").cast("string").alias("Tx ID"), F.col("user_id").alias("Acct-ID"), price.alias("AMT"), F.lit("GHS").alias("Ccy"), when.alias("Created At"),
+        F.col("event_type").alias("Narration"), F.col("event_id").alias("_ord"),
+    )
+    spec = DATASETS["transactions"]
+    read = check_required(coerce(with_headers(raw), spec), spec)
+    return plain(keep_first(read, spec.key, ["_ord"]).drop("_ord"))
+
+
 LINE = ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_linestatus", "l_shipdate")
 
 
@@ -144,6 +164,11 @@ def recurring_streams_latest(spark, sf_dir):
     return plain(tools.recurring_streams(_weekly(spark, sf_dir), request))
 
 
+def recurring_streams_of_accounts(spark, sf_dir):
+    request = RecurringRequest(account_ids=tuple(str(i) for i in range(0, 90, 3)), sort_by="average_amount", limit=40)
+    return plain(tools.recurring_streams(_weekly(spark, sf_dir), request))
+
+
 def recurring_stream_summary(spark, sf_dir):
     return tools.recurring_summary(tools.recurring_streams(_weekly(spark, sf_dir), _STREAMS))
 
@@ -175,6 +200,15 @@ def transaction_flags(spark, sf_dir):
     return out.withColumn("currencies", F.array_join("currencies", ","))
 
 
+def spend_flags(spark, sf_dir):
+    df, request = _served(spark, sf_dir), SpendRequest(group_by="category")
+    return explain.spend_flags(tools.spend_total(df, request), tools.spend_grouped(df, request))
+
+
+def recurring_flags(spark, sf_dir):
+    return explain.recurring_flags(tools.recurring_streams(_weekly(spark, sf_dir), _STREAMS))
+
+
 def vector_topk(spark, sf_dir):
     vectors = table(spark, sf_dir, "embeddings")
     query = vectors.where("vec_id = 0").select("embedding").first()["embedding"]
@@ -209,16 +243,22 @@ def store_profile(spark, sf_dir):
     return retrieval.store_profile(table(spark, sf_dir, "embeddings"))
 
 
-TESTS = 40
+#: Documents of one case in a window, about.
+RANGE = 4_096
 
 
 def _cases(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """Cases with the first words of each benchmark item as keywords; each document is retrieved by one of TESTS cases, in the order of ids."""
-    from pyspark.sql import Window
+    """Cases with all words of each benchmark item as keywords; each document is retrieved by one of the cases, in the order of ids.
 
-    cases = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("test_id"), F.slice(F.split("text", " "), 1, 4).alias("keywords"))
-    docs = table(spark, sf_dir, "documents").select((F.col("doc_id") % TESTS).alias("test_id"), "doc_id", "text")
-    return cases, docs.withColumn("rank", F.row_number().over(Window.partitionBy("test_id").orderBy("doc_id"))).drop("doc_id")
+    A document's rank is the number of its case's documents in smaller ranges of ids and its own place in its range, so no window holds a case.
+    """
+    cases = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("test_id"), F.split("text", " ").alias("keywords"))
+    n = max(1, cases.count())
+    docs = table(spark, sf_dir, "documents").select(F.pmod("doc_id", F.lit(n)).alias("test_id"), F.expr(f"doc_id div {n * RANGE}").alias("range"), "doc_id", "text")
+    before = Window.partitionBy("test_id").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    base = docs.groupBy("test_id", "range").agg(F.count("*").alias("n")).select("test_id", "range", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
+    placed = docs.withColumn("own", F.row_number().over(Window.partitionBy("test_id", "range").orderBy("doc_id"))).join(base, ["test_id", "range"])
+    return cases, placed.select("test_id", "text", (F.col("base") + F.col("own")).alias("rank"))
 
 
 def retrieval_metrics(spark, sf_dir):
@@ -233,10 +273,10 @@ def retrieval_bands(spark, sf_dir):
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
-        norm_transactions, norm_accounts, norm_fees_and_limits, norm_products, norm_metadata, dedupe_keep_first, tables_union_by_name,
+        norm_transactions, norm_accounts, norm_fees_and_limits, norm_products, norm_metadata, norm_drop_incomplete, ingest_transactions, dedupe_keep_first, tables_union_by_name,
         map_categories, map_normalized_categories, mapping_coverage, recurrence_labels, recurrence_labels_processed, recurrence_summary,
-        quality_findings, quality_report, spend_total, spend_by_currency_map, recurring_streams, recurring_streams_latest, recurring_stream_summary, recurring_stream_warnings,
-        explain_spend, explain_transactions, explain_recurring, transaction_flags, vector_topk, chunk_fixed_stride, chunk_recursive,
+        quality_findings, quality_report, spend_total, spend_by_currency_map, recurring_streams, recurring_streams_latest, recurring_streams_of_accounts, recurring_stream_summary, recurring_stream_warnings,
+        explain_spend, explain_transactions, explain_recurring, transaction_flags, spend_flags, recurring_flags, vector_topk, chunk_fixed_stride, chunk_recursive,
         combined_question, context_assembly, corpus_size, kind_histogram, store_profile, retrieval_metrics, retrieval_bands,
     )
 }

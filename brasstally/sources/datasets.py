@@ -15,8 +15,9 @@ from brasstally.errors import ConfigError, IngestError
 from brasstally.functions import fixed, money
 
 FORMATS = ("csv", "json", "jsonl", "xlsx", "xls", "parquet")
-#: Keys of a JSON object that may hold its rows, first match first.
+# Keys of a JSON object that may hold its rows, first match first.
 ROW_KEYS = ("data", "items", "records", "rows", "transactions", "accounts")
+# Readings of dates besides the engine's own, first match first.
 DATE_PATTERNS = ("yyyy-MM-dd'T'HH:mm:ssX", "yyyy-MM-dd HH:mm:ss", "yyyy/MM/dd", "dd/MM/yyyy", "dd-MM-yyyy", "MMM d, yyyy")
 
 
@@ -34,6 +35,7 @@ class Dataset:
     multi_file: bool = True
 
 
+# The datasets' contracts.
 DATASETS = {
     d.name: d
     for d in (
@@ -97,7 +99,7 @@ def check_required(df: DataFrame, dataset: Dataset) -> DataFrame:
     return df
 
 
-def keep_first(df: DataFrame, key: str | list[str] | None, order: list[str]) -> DataFrame:
+def keep_first(df: DataFrame, key: str | list[str] | None, order: list[str | Column]) -> DataFrame:
     """The first row of each key by ``order``; null keys are one key. Without a key, or if ``df`` lacks it, nothing changes."""
     keys = [key] if isinstance(key, str) else list(key or ())
     if not keys or any(k not in df.columns for k in keys):
@@ -115,7 +117,12 @@ def union_by_name(frames: Iterable[DataFrame]) -> DataFrame:
 
 
 def _named(df: DataFrame) -> DataFrame:
-    return df.select("*", F.col("_metadata.file_path").alias("_source_name"), F.monotonically_increasing_id().alias("_ord"))
+    """Each row's file and place: where its part of the file begins, and its number, which grows within the part."""
+    return df.select("*", F.col("_metadata.file_path").alias("_source_name"), _place(F.col("_metadata.file_block_start")))
+
+
+def _place(start: Column) -> Column:
+    return F.struct(start.cast("long").alias("start"), F.monotonically_increasing_id().alias("row")).alias("_ord")
 
 
 def _json(spark: SparkSession, paths: list[str], options: dict[str, str]) -> DataFrame:
@@ -134,7 +141,7 @@ def _json(spark: SparkSession, paths: list[str], options: dict[str, str]) -> Dat
     flat = [c for c in df.columns if c not in nested]
     if flat:
         parts.append(named.where(before).select(*flat, "_source_name"))
-    return union_by_name(parts).withColumn("_ord", F.monotonically_increasing_id())
+    return union_by_name(parts).select("*", _place(F.lit(0)))
 
 
 def _excel(spark: SparkSession, paths: list[str]) -> DataFrame:
@@ -147,28 +154,35 @@ def _excel(spark: SparkSession, paths: list[str]) -> DataFrame:
     import pandas as pd
 
     files = spark.read.format("binaryFile").load(paths)
-    names = pd.read_excel(io.BytesIO(files.select("content").first()[0]), nrows=0).columns
-    schema = T.StructType([*(T.StructField(str(c), T.StringType()) for c in names), T.StructField("_source_name", T.StringType()), T.StructField("_ord", T.LongType())])
+
+    def headers(batches):
+        for batch in batches:
+            yield pd.DataFrame({"name": [str(c) for content in batch["content"] for c in pd.read_excel(io.BytesIO(content), nrows=0).columns]})
+
+    # only the names of columns come here, those of the first file first
+    names = list(dict.fromkeys(r["name"] for r in files.select("content").mapInPandas(headers, "name string").collect()))
+    schema = T.StructType([*(T.StructField(c, T.StringType()) for c in names), T.StructField("_source_name", T.StringType()), T.StructField("_ord", T.LongType())])
 
     def read(batches):
         for batch in batches:
             for path, content in zip(batch["path"], batch["content"], strict=True):
                 rows = pd.read_excel(io.BytesIO(content), dtype=str)
-                yield rows.reindex(columns=[str(c) for c in names]).assign(_source_name=path, _ord=range(len(rows)))
+                yield rows.set_axis([str(c) for c in rows.columns], axis=1).reindex(columns=names).assign(_source_name=path, _ord=range(len(rows)))
 
-    return files.select("path", "content").mapInPandas(read, schema)
+    return files.select("path", "content").mapInPandas(read, schema).withColumn("_ord", F.struct(F.lit(0).cast("long").alias("start"), F.col("_ord").alias("row")))
 
 
 def read_files(spark: SparkSession, paths: str | list[str], fmt: str, recursive: bool = True, options: dict[str, str] | None = None) -> DataFrame:
     """All files of one format under the paths, each row with _source_name (its file) and _ord (its place).
 
-    CSV columns are read as strings, so that leading zeros stay.
+    CSV columns are read as strings, so that leading zeros stay. Quoted CSV fields may hold line breaks, which keeps a file from being split among tasks;
+    the option multiLine=false splits files that have none.
     """
     paths = [paths] if isinstance(paths, str) else list(paths)
-    opts = {"recursiveFileLookup": str(recursive).lower(), "pathGlobFilter": f"*.{fmt}"} if not any(p.endswith(f".{fmt}") for p in paths) else {}
+    opts = {"recursiveFileLookup": str(recursive).lower(), "pathGlobFilter": _glob(fmt)} if not any(p.lower().endswith(f".{fmt}") for p in paths) else {}
     opts |= options or {}
     if fmt == "csv":
-        return _named(spark.read.options(**opts).csv(paths, header=True, inferSchema=False, encoding="UTF-8", escape='"', multiLine=True))
+        return _named(spark.read.options(**opts).csv(paths, header=True, inferSchema=False, encoding="UTF-8", escape='"', multiLine=str(opts.get("multiLine", "true")).lower() == "true"))
     if fmt == "jsonl":
         return _named(spark.read.options(**opts).json(paths, mode="FAILFAST"))
     if fmt == "json":
@@ -180,10 +194,15 @@ def read_files(spark: SparkSession, paths: str | list[str], fmt: str, recursive:
     raise IngestError(f"unknown format {fmt!r}; known are {FORMATS}")
 
 
+def _glob(*formats: str) -> str:
+    """A pattern for files with one of these extensions in any case."""
+    any_case = ("".join(f"[{c}{c.upper()}]" for c in f) for f in formats)
+    return "*.{" + ",".join(any_case) + "}"
+
+
 def list_files(spark: SparkSession, path: str, recursive: bool = True, formats: tuple[str, ...] = FORMATS) -> list[str]:
     """Paths of the supported files below a folder, by lower-case path, through the file system that the path names."""
-    glob = "*.{" + ",".join(formats) + "}"
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower()).option("pathGlobFilter", glob).load(path)
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower()).option("pathGlobFilter", _glob(*formats)).load(path)
     return sorted(files.inputFiles(), key=str.lower)
 
 
@@ -197,7 +216,7 @@ def load(spark: SparkSession, dataset: Dataset | str, source: Source) -> DataFra
     by_format = {f: [p for p in files if p.lower().endswith(f".{f}")] for f in FORMATS}
     frames = [coerce(with_headers(read_files(spark, paths, f, spec.recursive, source.options)), spec) for f, paths in by_format.items() if paths]
     df = check_required(union_by_name(frames), spec)
-    return keep_first(df, spec.key, ["_source_name", "_ord"])
+    return keep_first(df, spec.key, [F.lower("_source_name"), "_source_name", "_ord"])
 
 
 def load_bundle(spark: SparkSession, source: Source, strict: bool = True) -> tuple[dict[str, DataFrame], dict[str, str]]:

@@ -102,7 +102,7 @@ def test_chunks(spark):
 def test_questions_and_contexts(spark):
     df = spark.createDataFrame([(1, 0, "user", "a"), (1, 1, "assistant", "z" * 60), (1, 2, "user", "b"), (1, 3, "user", "c"), (2, 0, "user", "only")], "conv_id long, turn long, role string, text string")
     assert {r.conv_id: r.question for r in retrieval.combined_question(df).collect()} == {1: "a\nb\nc", 2: "\nonly"}
-    assert [r.context for r in retrieval.assemble_context(df, "conv_id", "turn").collect()] == ["z" * 60]
+    assert {r.conv_id: r.context for r in retrieval.assemble_context(df, "conv_id", "turn").collect()} == {1: "z" * 60, 2: "No relevant context found."}
 
 
 def test_top_k(spark):
