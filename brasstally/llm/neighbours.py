@@ -24,7 +24,7 @@ from brasstally.llm.common import cut
 
 DIRECTIONS = 6
 CONFIDENCE = 0.98
-LEAF = 64
+LEAF = 128
 #: Distinct vectors in a cell, about, and projections that the cells' planes are fitted on, about.
 BLOCK_ROWS, SAMPLE = 16_384, 65_536
 _FOUND = "key long, vec_id long, score double"
