@@ -6,7 +6,9 @@ What candidates connect becomes a group. Within it the sets themselves are compa
 copies is exact. A group is searched from text to text by postings of shingles; texts that were reached leave
 the postings, so a group of many alike takes few comparisons.
 
-Equal sets are one node, so exact copies are never compared. A group's sets (eight bytes a shingle, each distinct set once) must fit into one task.
+Equal sets are one node, so exact copies are never compared. A group whose sets hold more than ``GROUP_SHINGLES`` shingles is cut into
+chunks, and each pair of chunks is searched in a task of its own; what these find is joined by components. So no task holds more than that, and no
+pair is left out.
 """
 
 from __future__ import annotations
@@ -27,6 +29,8 @@ SHINGLE = 5
 #: The least similarity, as a fraction.
 LEAST = (4, 5)
 BANDS, ROWS = 28, 6
+#: Shingles that one task holds at most (but for two single sets): about 40 bytes each while they are searched.
+GROUP_SHINGLES = 4_000_000
 _CHUNK = 512
 _PRIME = np.uint64(0x9E3779B97F4A7C15)
 _SHIFT = np.uint64(29)
@@ -59,16 +63,17 @@ def bands(hashes: np.ndarray) -> np.ndarray:
 
 def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        key, fp, band = [], [], []
+        key, fp, band, size = [], [], [], []
         for text in batch["text"].to_pylist():
             hashes = shingles(text)
             key.append(xxhash.xxh64_intdigest(hashes.tobytes()))
             fp.append(simhash.fingerprint_of(text))
             band.append(bands(hashes).view(np.int64))
+            size.append(len(hashes))
         signed = lambda x: pa.array(np.array(x, np.uint64).view(np.int64))
         flat = np.concatenate([np.zeros(0, np.int64), *band])
         lists = pa.ListArray.from_arrays(pa.array(np.arange(len(key) + 1, dtype=np.int32) * BANDS), pa.array(flat))
-        yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["tie"], signed(key), signed(fp), lists], names=["doc_id", "tie", "key", "fp", "bands"])
+        yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["tie"], signed(key), signed(fp), lists, pa.array(size, pa.int64())], names=["doc_id", "tie", "key", "fp", "bands", "size"])
 
 
 def reached(sets: list[np.ndarray]) -> np.ndarray:
@@ -107,7 +112,7 @@ def reached(sets: list[np.ndarray]) -> np.ndarray:
 
 
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(key, root) of the members of a partition's groups, which is sorted by group."""
+    """(key, root) of the members of a partition's groups (label and part), by which it is sorted."""
 
     def found() -> pa.RecordBatch:
         root = reached(sets)
@@ -115,11 +120,11 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     group, keys, sets = None, [], []
     for batch in batches:
-        for label, key, text in zip(batch["label"].to_pylist(), batch["key"].to_pylist(), batch["text"].to_pylist(), strict=True):
-            if keys and label != group:
+        for label, part, key, text in zip(*(batch[c].to_pylist() for c in ("label", "part", "key", "text")), strict=True):
+            if keys and (label, part) != group:
                 yield found()
                 keys, sets = [], []
-            group = label
+            group = (label, part)
             keys.append(key)
             sets.append(shingles(text))
     if keys:
@@ -129,7 +134,7 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def sketched(docs: DataFrame) -> DataFrame:
     """doc_id, tie (hash of the text), key (of the set of shingles), fp and bands of every document."""
     rows = docs.select("doc_id", F.xxhash64("text").alias("tie"), "text")
-    return cut(rows.mapInArrow(_sketch, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, tie long, key long, fp long, bands array<long>"))
+    return cut(rows.mapInArrow(_sketch, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, tie long, key long, fp long, bands array<long>, size long"))
 
 
 def candidates(nodes: DataFrame) -> DataFrame:
@@ -152,11 +157,23 @@ def grouped(docs: DataFrame) -> DataFrame:
     are ignored; an empty table gives an empty result.
     """
     rows = sketched(docs)
-    nodes = cut(rows.groupBy("key").agg(F.min("fp").alias("fp"), F.first("bands").alias("bands"), F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "tie")).alias("row")))
-    chosen = candidates(nodes.select("key", "fp", "bands")).join(nodes.select(F.col("key").alias("node"), "row.doc_id", "row.tie"), "node")
-    at = chosen.select("label", F.col("node").alias("key"), F.col("doc_id").alias("_id"), F.col("tie").alias("_tie"))
+    nodes = cut(rows.groupBy("key").agg(F.min("fp").alias("fp"), F.first("bands").alias("bands"), F.first("size").alias("size"), F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "tie")).alias("row")))
+    chosen = cut(candidates(nodes.select("key", "fp", "bands")).join(nodes.select(F.col("key").alias("node"), "row.doc_id", "row.tie", "size"), "node"))
+    sizes = chosen.groupBy("label").agg(F.sum("size").alias("total"))
+    # chunks of half of what a task holds, so that two fit
+    chunks = sizes.withColumn("chunks", F.when(F.col("total") > GROUP_SHINGLES, F.ceil(2 * F.col("total") / GROUP_SHINGLES)).otherwise(1))
+    own = F.pmod(F.xxhash64("node", F.lit(1)), F.col("chunks"))
+    pairs = F.transform(F.filter(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1), lambda j: j != own), lambda j: F.least(own, j) * F.col("chunks") + F.greatest(own, j))
+    at = chosen.join(chunks.select("label", F.col("chunks").cast("long").alias("chunks")), "label").select(
+        "label", F.col("node").alias("key"), F.col("doc_id").alias("_id"), F.col("tie").alias("_tie"), F.when(F.col("chunks") > 1, pairs).otherwise(F.array(F.lit(-1).cast("long"))).alias("parts")
+    )
     named = docs.select("doc_id", F.xxhash64("text").alias("tie"), "text")
     # one row of each set; its text is read anew, so that no sets are kept for documents without candidates
-    texts = named.join(at, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("tie") == F.col("_tie"))).select("label", "key", "text").dropDuplicates(["key"])
-    roots = cut(texts.repartition("label").sortWithinPartitions("label", "key").mapInArrow(_verify, "key long, root long"))
+    texts = named.join(at, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("tie") == F.col("_tie"))).select("label", "parts", "key", "text").dropDuplicates(["key"])
+    spread = texts.select("label", F.explode("parts").alias("part"), "key", "text")
+    found = spread.repartition("label", "part").sortWithinPartitions("label", "part", "key").mapInArrow(_verify, "key long, root long")
+    if (sizes.agg(F.max("total")).first()[0] or 0) > GROUP_SHINGLES:
+        # a set in several parts has a root in each; those of one part are final
+        found = components(cut(found.where("key <> root").select(F.col("key").alias("src"), F.col("root").alias("dst")))).select(F.col("node").alias("key"), F.col("label").alias("root"))
+    roots = cut(found)
     return rows.select("doc_id", "tie", "key").join(roots, "key", "left").select("doc_id", "tie", F.coalesce("root", "key").alias("component"))

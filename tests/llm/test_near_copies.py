@@ -55,6 +55,15 @@ def test_stage_leaves_one_of_each_near_copies(spark, seed):
     assert got == sorted(set(slow_groups(texts)))
 
 
+@pytest.mark.parametrize("most", [1, 300, 3000])
+def test_large_groups_are_cut_exactly(spark, monkeypatch, most):
+    monkeypatch.setattr(near_copies, "GROUP_SHINGLES", most)
+    texts = planted(8)
+    df = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in enumerate(texts)], DOCS).repartition(3)
+    got = sorted(r.doc_id for r in corpus_pipeline.drop_near_duplicates(spark, df, "").collect())
+    assert got == sorted(set(slow_groups(texts)))
+
+
 def test_search_reaches_the_same(seed=7):
     texts = planted(seed)
     root = near_copies.reached([near_copies.shingles(t) for t in texts]).tolist()
