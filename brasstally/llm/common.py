@@ -21,7 +21,7 @@ def shared_folder(spark: SparkSession) -> str:
     sc = spark.sparkContext
     folder = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if folder is None:
-        if not (sc.master or "").startswith("local"):
+        if not ((sc.master or "") == "local" or (sc.master or "").startswith("local[")):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         folder = tempfile.mkdtemp(prefix="brasstally-checkpoint-")
     if sc.getCheckpointDir() is None:
