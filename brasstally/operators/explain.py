@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from brasstally.errors import ExplainInputError
 from brasstally.functions import text
 
+# Levels of detail with their numbers of groups and samples, tags and the columns that tell a source's kind. Titles of blocks below are fixed, too.
 LEVELS = {"low": 1, "medium": 2, "high": 3}
 GROUPS = {"low": 1, "medium": 3, "high": 5}
 SAMPLES = {"low": 1, "medium": 2, "high": 4}

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from brasstally.errors import InputError, LookupInputError, RecurringInputError, SpendInputError
 from brasstally.functions import fixed, money, text
 
+# What requests may name.
 SPEND_DIRECTIONS = (*fixed.DIRECTIONS, "momo")
 GROUPINGS = ("category", "subcategory", "merchant", "account", "currency", "month")
 LOOKUP_SORTS = ("timestamp", "amount", "merchant", "category", "account_id", "transaction_id")
