@@ -63,7 +63,7 @@ def test_doubtful_names_with_content_stay(name):
     assert main_text(f"<body><article><p>{LONG}</p><div class='{name}'><p>{LONG}</p></div></article></body>") == f"{LONG} {LONG}"
 
 
-@pytest.mark.parametrize("name", ["cookie-notice", "nav-list", "site-footer", "ad", "sidebar-left", "comments", "cookieBar", "share-buttons", "footer-links"])
+@pytest.mark.parametrize("name", ["cookie-notice", "nav-list", "site-footer", "ad", "sidebar-left", "comments", "cookieBar", "share-buttons", "footer-links", "comment-author", "related-posts", "post-comments", "newsletter-signup"])
 def test_sure_names_go(name):
     assert main_text(f"<body><article><p>{LONG}</p><div class='{name}'><p>{LONG}</p></div></article></body>") == LONG
 
