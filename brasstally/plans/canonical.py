@@ -42,10 +42,15 @@ def unnormalized_for_mapping(raw: DataFrame) -> DataFrame:
     return normalize.transactions(raw.withColumn("_raw_category", F.col("category"))).withColumns({"merchant_normalized": F.lower("merchant")}).withColumn("category_normalized", F.col("_raw_category")).drop("_raw_category")
 
 
-def processed(raw: DataFrame) -> DataFrame:
-    """Raw transactions normalized, without repeated ids, mapped and labelled."""
+def mapped(raw: DataFrame) -> DataFrame:
+    """Raw transactions normalized, without repeated ids and mapped: all that lookups and spend summaries need."""
     first = keep_first(raw, "transaction_id", ["_ord"])
-    return recurrence.label(categories.map_categories(for_mapping(normalize.transactions(first))))
+    return categories.map_categories(for_mapping(normalize.transactions(first)))
+
+
+def processed(raw: DataFrame) -> DataFrame:
+    """Mapped transactions with their labels of recurrence."""
+    return recurrence.label(mapped(raw))
 
 
 def served(df: DataFrame) -> DataFrame:

@@ -26,7 +26,8 @@ def plain(df: DataFrame) -> DataFrame:
 
 
 def _served(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return canonical.served(canonical.processed(canonical.raw_transactions(spark, sf_dir)))
+    """For tools that don't look at recurrence, whose labels would take a join and two more shuffles."""
+    return canonical.served(canonical.mapped(canonical.raw_transactions(spark, sf_dir)))
 
 
 def _weekly(spark: SparkSession, sf_dir: str) -> DataFrame:
