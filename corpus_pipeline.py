@@ -46,11 +46,13 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     Documents without a doc_id take part and come last in that order. Of rows that agree in doc_id and text the one whose other columns sort first stays.
     """
     first = F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "tie")).alias("first")
-    kept = near_copies.grouped(docs).groupBy("component").agg(first).select(F.col("first.doc_id").alias("_id"), F.col("first.tie").alias("_tie"))
-    named = docs.withColumn("_own", F.xxhash64("text"))
-    found = named.join(kept, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_own") == F.col("_tie")), "left_semi")
+    # one text for an id or for none, so that the join and the window share a partitioning
+    name = lambda c: F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit(""))
+    kept = near_copies.grouped(docs).groupBy("component").agg(first).select(name("first.doc_id").alias("_name"), F.col("first.tie").alias("_tie"))
+    named = docs.withColumns({"_name": name("doc_id"), "_tie": F.xxhash64("text")})
+    found = named.join(kept, ["_name", "_tie"], "left_semi")
     others = [c for c, t in docs.dtypes if c not in ("doc_id", "text") and "map<" not in t]
-    order = Window.partitionBy("doc_id", "_own").orderBy(*(others or ["doc_id"]))
+    order = Window.partitionBy("_name", "_tie").orderBy(*(others or ["doc_id"]))
     return found.withColumn("_rank", F.row_number().over(order)).where("_rank = 1").select(*docs.columns)
 
 
