@@ -173,6 +173,16 @@ def _band(x: str, metric: str) -> str:
     return f"CASE WHEN {x} >= {green} THEN 'green' WHEN {x} >= {orange} THEN 'orange' ELSE 'red' END"
 
 
+READ_BY_FORMAT = ("csv", "jsonl", "parquet")
+COLUMNS_READ = ("transaction_id", "account_id", "amount", "currency", "timestamp", "description")
+
+
+def _files(parts: int) -> str:
+    """The row of the first of ``parts`` files that holds an id."""
+    return f"""SELECT '0' || event_id AS transaction_id, user_id::VARCHAR AS account_id, CASE WHEN event_id % 10 = 0 THEN 1000.25 ELSE 1000.25 + event_id % 3 END::DOUBLE AS amount, 'GHS' AS currency,
+      strftime(ts, '%Y-%m-%d %H:%M:%S') AS timestamp, event_type AS description FROM events WHERE event_id % 3 < {parts} OR event_id % 10 = 0"""
+
+
 _STRIPPED = "length(regexp_replace(text, '^\\s+|\\s+$', '', 'g')) > 50"
 _BLOCK_CREDIT = "merchant || ' | ' || category || ' | ' || iso || ' | ' || currency"
 
@@ -254,6 +264,20 @@ ORACLE_SQL = {
     "corpus_size": "SELECT count(text) AS documents, (sum(length(text)) + 2 * (count(text) - 1))::BIGINT AS characters, sum(len(regexp_extract_all(text, '[^ \\t\\n\\x0B\\f\\r]+')))::BIGINT AS words FROM documents",
     "kind_histogram": "SELECT lang, count(*) AS n FROM documents GROUP BY 1",
     "store_profile": "SELECT count(*) AS n, max(len(embedding))::INT AS dimension FROM embeddings",
+    "files_of_three_formats": _files(3),
+    "dataset_of_files": _files(2),
+    "documents_by_folder": "SELECT lower(n_name) || chr(10) AS text, 'region=' || n_regionkey AS doc_type FROM nation WHERE n_nationkey % 5 <> 0",
+    "evaluation_cases": "SELECT text AS question, array_to_string(string_split(text, ' '), ',') AS keywords, item_id::VARCHAR AS reference_answer, 'item' AS category FROM benchmark",
+    "vector_store": "SELECT vec_id, len(embedding)::INT AS dimension FROM embeddings",
+    "lookup_records_json": f"""{_CREDITS} SELECT json_object('transaction_id', transaction_id, 'account_id', account_id, 'timestamp', {_ISO.format('timestamp')}, 'amount', money::VARCHAR, 'currency', currency, 'direction', direction,
+      'merchant', merchant, 'category', category, 'subcategory', subcategory)::VARCHAR AS record FROM hit""",
+    "lookup_warnings": f"""{_CREDITS} SELECT CASE WHEN count(DISTINCT currency) > 1 THEN '{fixed.MIXED_LOOKUP}' ELSE '' END AS warnings FROM hit""",
+    "spend_of_accounts_checked": f"""{SERVED} SELECT coalesce(sum(money), 0)::DECIMAL(28,2)::VARCHAR AS total_amount, count(*) AS transaction_count, count(DISTINCT currency) AS currencies
+      FROM served WHERE direction = 'credit' AND account_id IN {_in(range(3, 60, 3))}""",
+    "answer_bands": f"""WITH m AS (SELECT lang, count(*) AS tests, avg(1 + doc_id % 5) AS accuracy, avg(3 + doc_id % 3) AS completeness, avg(4 + doc_id % 2) AS relevance FROM documents GROUP BY 1)
+      SELECT lang, tests, {", ".join(f"round({k}, 6) AS {k}, {_band(k, k)} AS {k}_band" for k in ("accuracy", "completeness", "relevance"))} FROM m""",
+    "norm_bundle": f"""SELECT 'products' AS dataset, {_clean('p_name')} AS name FROM part UNION ALL SELECT 'metadata', lower({_clean('n_name')}) FROM nation UNION ALL SELECT 'regions', r_name FROM region""",
+    "warnings_merged": "SELECT n_nationkey, CASE WHEN n_nationkey % 2 = 0 THEN n_name ELSE n_name || '|mixed' END AS warnings FROM nation",
     "retrieval_metrics": f"{_CASES} SELECT test_id, round(mrr, 9) AS mrr, round(ndcg, 9) AS ndcg, round(keyword_coverage, 9) AS keyword_coverage, keywords_found, total_keywords FROM metrics",
     "retrieval_bands": f"""{_CASES}, m AS (SELECT count(*) AS tests, avg(mrr) AS mrr, avg(ndcg) AS ndcg, avg(keyword_coverage) AS keyword_coverage FROM metrics)
       SELECT tests, round(mrr, 6) AS mrr, round(ndcg, 6) AS ndcg, round(keyword_coverage, 6) AS keyword_coverage, {_band('mrr', 'mrr')} AS mrr_band, {_band('ndcg', 'ndcg')} AS ndcg_band, {_band('keyword_coverage', 'coverage')} AS keyword_coverage_band FROM m""",

@@ -4,18 +4,26 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def kept(df: DataFrame) -> DataFrame:
-    """``df``, computed once and written to the folder of ``spark.checkpoint.dir``.
+def folder(spark: SparkSession) -> str:
+    """The folder of ``spark.checkpoint.dir``.
 
     A local session without that setting (tests) gets a temporary folder; a cluster without it is an error.
     """
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        folder = sc.getConf().get("spark.checkpoint.dir")
-        if folder is None and not (sc.master or "").startswith("local["):
+    sc = spark.sparkContext
+    found = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
+    if found is None:
+        if not (sc.master or "").startswith("local["):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="brasstally-checkpoint-"))
+        found = tempfile.mkdtemp(prefix="brasstally-checkpoint-")
+    if sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(found)
+    return found
+
+
+def kept(df: DataFrame) -> DataFrame:
+    """``df``, computed once and written to the shared folder."""
+    folder(df.sparkSession)
     return df.checkpoint()

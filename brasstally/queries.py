@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from brasstally import file_queries
 from brasstally.operators import categories, explain, metrics, normalize, quality, recurrence, retrieval, tools
 from brasstally.oracles import ORACLE_SQL
 from brasstally.plans import canonical
@@ -271,6 +272,47 @@ def retrieval_bands(spark, sf_dir):
     return out.select("tests", *(F.round(c, 6).alias(c) for c in ("mrr", "ndcg", "keyword_coverage")), "mrr_band", "ndcg_band", "keyword_coverage_band")
 
 
+def lookup_records_json(spark, sf_dir):
+    return tools.to_json(tools.lookup(_served(spark, sf_dir), LookupRequest(direction="credit")))
+
+
+def lookup_warnings(spark, sf_dir):
+    found = tools.lookup_warnings(tools.lookup(_served(spark, sf_dir), LookupRequest(direction="credit")))
+    return found.select(F.array_join("warnings", "|").alias("warnings"))
+
+
+def spend_of_accounts_checked(spark, sf_dir):
+    """Rows without a timestamp, an amount or a currency would be an error here."""
+    request = SpendRequest(direction="credit", account_ids=tuple(str(i) for i in range(3, 60, 3)))
+    return plain(tools.spend_total(_served(spark, sf_dir), request, strict=True).drop("warnings"))
+
+
+def answer_bands(spark, sf_dir):
+    """Scores from 1 to 5 that ids stand in for: judged answers are an input."""
+    d = table(spark, sf_dir, "documents")
+    scores = d.select("lang", *((F.lit(low) + F.col("doc_id") % n).alias(k) for k, low, n in (("accuracy", 1, 5), ("completeness", 3, 3), ("relevance", 4, 2))))
+    kinds = ("accuracy", "completeness", "relevance")
+    return metrics.mean_answers(scores, "lang").withColumns({k: F.round(k, 6) for k in kinds})
+
+
+def norm_bundle(spark, sf_dir):
+    p, n, r = (table(spark, sf_dir, t) for t in ("part", "nation", "region"))
+    tables = {
+        "products": p.select(F.col("p_partkey").alias("product_id"), F.col("p_name").alias("product_name"), F.col("p_type").alias("product_type")),
+        "metadata": n.select(F.col("n_name").alias("key"), F.col("n_regionkey").alias("value"), F.lit("nation").alias("source")),
+        "regions": r.select("r_name"),
+    }
+    name = {"products": "product_name", "metadata": "key", "regions": "r_name"}
+    return union_by_name([df.select(F.lit(k).alias("dataset"), F.col(name[k]).alias("name")) for k, df in normalize.bundle(tables).items()])
+
+
+def warnings_merged(spark, sf_dir):
+    """Blank and repeated warnings go, others keep their order."""
+    second = F.when(F.col("n_nationkey") % 2 == 1, F.lit(" mixed")).otherwise(F.lit("  "))
+    merged = explain.merged_warnings(F.array(F.concat(F.lit(" "), "n_name"), F.lit("")), F.array(second, F.col("n_name"), second))
+    return table(spark, sf_dir, "nation").select("n_nationkey", F.array_join(merged, "|").alias("warnings"))
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
@@ -278,9 +320,11 @@ QUERIES: dict[str, Query] = {
         map_categories, map_normalized_categories, mapping_coverage, recurrence_labels, recurrence_labels_processed, recurrence_summary,
         quality_findings, quality_report, spend_total, spend_by_currency_map, recurring_streams, recurring_streams_latest, recurring_streams_of_accounts, recurring_stream_summary, recurring_stream_warnings,
         explain_spend, explain_transactions, explain_recurring, transaction_flags, spend_flags, recurring_flags, vector_topk, chunk_fixed_stride, chunk_recursive,
+        lookup_records_json, lookup_warnings, spend_of_accounts_checked, answer_bands, norm_bundle, warnings_merged,
         combined_question, context_assembly, corpus_size, kind_histogram, store_profile, retrieval_metrics, retrieval_bands,
     )
 }
+QUERIES |= file_queries.QUERIES
 QUERIES |= {f"spend_by_{g}": _grouped(g) for g in ("category", "subcategory", "merchant", "account", "currency", "month")}
 QUERIES |= {
     "lookup_by_timestamp": _lookup(),
