@@ -42,10 +42,10 @@ def files_of_three_formats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def dataset_of_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A dataset's folder with CSV and Parquet files in folders of their own, loaded as one; the first path's row stays."""
+    """A dataset's folder with files of three formats in folders of their own, loaded as one; the first path's row stays."""
     events, root = table(spark, sf_dir, "events"), _folder(spark)
-    write_tables({"0": _raw(events, 0)}, f"{root}/transactions", "csv")
-    write_tables({"1": _raw(events, 1)}, f"{root}/transactions", "parquet")
+    for part, fmt in enumerate(READ_BY_FORMAT):
+        write_tables({f"{part}": _raw(events, part)}, f"{root}/transactions", fmt)
     return _as_text(load(spark, "transactions", Source(root=root))).select(*COLUMNS_READ)
 
 

@@ -175,14 +175,9 @@ def _band(x: str, metric: str) -> str:
 
 READ_BY_FORMAT = ("csv", "jsonl", "parquet")
 COLUMNS_READ = ("transaction_id", "account_id", "amount", "currency", "timestamp", "description")
-
-
-def _files(parts: int) -> str:
-    """The row of the first of ``parts`` files that holds an id."""
-    return f"""SELECT '0' || event_id AS transaction_id, user_id::VARCHAR AS account_id, CASE WHEN event_id % 10 = 0 THEN 1000.25 ELSE 1000.25 + event_id % 3 END::DOUBLE AS amount, 'GHS' AS currency,
-      strftime(ts, '%Y-%m-%d %H:%M:%S') AS timestamp, event_type AS description FROM events WHERE event_id % 3 < {parts} OR event_id % 10 = 0"""
-
-
+#: The row of the first file that holds an id.
+_FILES = """SELECT '0' || event_id AS transaction_id, user_id::VARCHAR AS account_id, CASE WHEN event_id % 10 = 0 THEN 1000.25 ELSE 1000.25 + event_id % 3 END::DOUBLE AS amount, 'GHS' AS currency,
+      strftime(ts, '%Y-%m-%d %H:%M:%S') AS timestamp, event_type AS description FROM events"""
 _STRIPPED = "length(regexp_replace(text, '^\\s+|\\s+$', '', 'g')) > 50"
 _BLOCK_CREDIT = "merchant || ' | ' || category || ' | ' || iso || ' | ' || currency"
 
@@ -264,8 +259,8 @@ ORACLE_SQL = {
     "corpus_size": "SELECT count(text) AS documents, (sum(length(text)) + 2 * (count(text) - 1))::BIGINT AS characters, sum(len(regexp_extract_all(text, '[^ \\t\\n\\x0B\\f\\r]+')))::BIGINT AS words FROM documents",
     "kind_histogram": "SELECT lang, count(*) AS n FROM documents GROUP BY 1",
     "store_profile": "SELECT count(*) AS n, max(len(embedding))::INT AS dimension FROM embeddings",
-    "files_of_three_formats": _files(3),
-    "dataset_of_files": _files(2),
+    "files_of_three_formats": _FILES,
+    "dataset_of_files": _FILES,
     "documents_by_folder": "SELECT lower(n_name) || chr(10) AS text, 'region=' || n_regionkey AS doc_type FROM nation WHERE n_nationkey % 5 <> 0",
     "evaluation_cases": "SELECT text AS question, array_to_string(string_split(text, ' '), ',') AS keywords, item_id::VARCHAR AS reference_answer, 'item' AS category FROM benchmark",
     "vector_store": "SELECT vec_id, len(embedding)::INT AS dimension FROM embeddings",

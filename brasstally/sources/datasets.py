@@ -126,7 +126,14 @@ def _place(start: Column) -> Column:
 
 
 def _json(spark: SparkSession, paths: list[str], options: dict[str, str]) -> DataFrame:
-    """Files with a list of objects, an object with rows under one of ROW_KEYS, or one object."""
+    """Files with a list of objects, an object with rows under one of ROW_KEYS, or one object.
+
+    A file that goes on after its first value (JSON Lines under a wrong name) is an error, as the reader would leave out the rest in silence.
+    """
+    whole = spark.read.options(**options).text(paths, wholetext=True).select("value", F.col("_metadata.file_path").alias("path"))
+    first, rest = F.regexp_extract("value", r"\A\s*+(\S[^\r\n]*+)", 1), F.regexp_extract("value", r"\A\s*+\S[^\r\n]*+\s*+(\S)", 1)
+    if several := whole.where(F.try_parse_json(first).isNotNull() & (rest != "")).select("path").take(5):
+        raise IngestError(f"not one JSON value but lines of them: {[r['path'] for r in several]}")
     df = spark.read.options(**options).json(paths, multiLine=True, mode="FAILFAST")
     types = {f.name: f.dataType for f in df.schema.fields}
     nested = [k for k in ROW_KEYS if isinstance(types.get(k), T.ArrayType) and isinstance(types[k].elementType, T.StructType)]
@@ -179,7 +186,7 @@ def read_files(spark: SparkSession, paths: str | list[str], fmt: str, recursive:
     the option multiLine=false splits files that have none.
     """
     paths = [paths] if isinstance(paths, str) else list(paths)
-    opts = {"recursiveFileLookup": str(recursive).lower(), "pathGlobFilter": _glob(fmt)} if not any(p.lower().endswith(f".{fmt}") for p in paths) else {}
+    opts = {"recursiveFileLookup": str(recursive).lower(), "pathGlobFilter": _glob(fmt)} if not any(_format(p) == fmt for p in paths) else {}
     opts |= options or {}
     if fmt == "csv":
         return _named(spark.read.options(**opts).csv(paths, header=True, inferSchema=False, encoding="UTF-8", escape='"', multiLine=str(opts.get("multiLine", "true")).lower() == "true"))
@@ -194,6 +201,12 @@ def read_files(spark: SparkSession, paths: str | list[str], fmt: str, recursive:
     raise IngestError(f"unknown format {fmt!r}; known are {FORMATS}")
 
 
+def _format(path: str) -> str:
+    """A file's extension in lower case; files in a folder that is named as a JSON Lines file, as ``write_tables`` leaves them, are of that format."""
+    folder, _, name = path.lower().rstrip("/").rpartition("/")
+    return "jsonl" if folder.endswith(".jsonl") else name.rpartition(".")[2]
+
+
 def _glob(*formats: str) -> str:
     """A pattern for files with one of these extensions in any case."""
     any_case = ("".join(f"[{c}{c.upper()}]" for c in f) for f in formats)
@@ -213,7 +226,7 @@ def load(spark: SparkSession, dataset: Dataset | str, source: Source) -> DataFra
     if not files:
         raise IngestError(f"{source.path(spec.name)} holds no file of a known format")
     files = files if spec.multi_file else files[:1]
-    by_format = {f: [p for p in files if p.lower().endswith(f".{f}")] for f in FORMATS}
+    by_format = {f: [p for p in files if _format(p) == f] for f in FORMATS}
     frames = [coerce(with_headers(read_files(spark, paths, f, spec.recursive, source.options)), spec) for f, paths in by_format.items() if paths]
     df = check_required(union_by_name(frames), spec)
     return keep_first(df, spec.key, [F.lower("_source_name"), "_source_name", "_ord"])

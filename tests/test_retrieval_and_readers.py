@@ -135,3 +135,12 @@ def test_findings_evaluate_the_rows_once(spark, tmp_path):
     got = {r.check_name: (r.row_count, r.sample_ids) for r in found.collect()}
     assert got["duplicate_transaction_id"] == (10, ["null"] * 5) and got["null_transaction_id"] == (10, ["null"] * 5)
     assert got["enum_direction"] == (100, ["null"] * 5)
+
+
+def test_json_lines_under_a_wrong_name(spark, tmp_path):
+    for name, content in {"one": '{"a": 1}\n', "list": '[\n{"a": 1},\n{"a": 2}\n]\n', "rows": '{"n": 1, "data": [\n{"a": 1}\n]}', "lines": '\n{"a": 1}\n\n{"a": 2}\n'}.items():
+        (tmp_path / f"{name}.json").write_text(content)
+    read = lambda name: datasets.read_files(spark, str(tmp_path / f"{name}.json"), "json")
+    assert [read(n).count() for n in ("one", "list", "rows")] == [1, 2, 1]
+    with pytest.raises(datasets.IngestError, match="lines.json"):
+        read("lines")
