@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from brasstally.llm import chat, extraction, fingerprints, licences, mixing, neighbours, packing, quality, simhash, toxicity
+from brasstally.llm import chat, divergence, extraction, fingerprints, licences, mixing, neighbours, packing, quality, simhash, toxicity
 from brasstally.llm.common import table
 
 
@@ -48,11 +48,16 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extraction.extract(table(spark, sf_dir, "pages"))
 
 
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_chat_formatting, op2_toxicity, op3_quality, op4_nearest_neighbours, op5_order_minhash,
         op6_mixing, op7_licences, op8_packing, op9_simhash, op10_html_extraction,
+        op11_source_divergence,
     )
 }
-ORACLE_SQL = {"op1_chat_formatting": chat.ORACLE, "op6_mixing": mixing.ORACLE, "op7_licences": licences.ORACLE}
+ORACLE_SQL = {"op1_chat_formatting": chat.ORACLE, "op6_mixing": mixing.ORACLE, "op7_licences": licences.ORACLE, "op11_source_divergence": divergence.ORACLE}
