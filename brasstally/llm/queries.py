@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from brasstally.llm import chat, divergence, extraction, fingerprints, licences, mixing, neighbours, packing, phrases, quality, simhash, toxicity
+from brasstally.llm import chat, divergence, extraction, fingerprints, licences, mixing, neighbours, packing, phrases, quality, secret_scan, simhash, toxicity
 from brasstally.llm.common import table
 
 
@@ -56,12 +56,16 @@ def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrases.collocations(table(spark, sf_dir, "documents"))
 
 
+def op13_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.report(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_chat_formatting, op2_toxicity, op3_quality, op4_nearest_neighbours, op5_order_minhash,
         op6_mixing, op7_licences, op8_packing, op9_simhash, op10_html_extraction,
-        op11_source_divergence, op12_collocations,
+        op11_source_divergence, op12_collocations, op13_secrets,
     )
 }
-ORACLE_SQL = {"op1_chat_formatting": chat.ORACLE, "op6_mixing": mixing.ORACLE, "op7_licences": licences.ORACLE, "op11_source_divergence": divergence.ORACLE, "op12_collocations": phrases.ORACLE}
+ORACLE_SQL = {"op1_chat_formatting": chat.ORACLE, "op6_mixing": mixing.ORACLE, "op7_licences": licences.ORACLE, "op11_source_divergence": divergence.ORACLE, "op12_collocations": phrases.ORACLE, "op13_secrets": secret_scan.ORACLE}
