@@ -1,9 +1,9 @@
 """Phrase collocations: words that stand together more often than their parts would let expect, by language.
 
 Tasks count phrases of one to three words in a HAT-trie: keys pack the words' ids, the first level takes ranges of first words, and each child is a hash container,
-which bursts into a node of the next word when it grows. When a task holds too many entries, it spills its largest subtrees as sorted runs, each cut by
+which bursts into a node of the next word when it grows. When a task holds too many entries, it spills its largest subtrees as sorted, packed runs, cut by
 prefix partition (a hash of the first two words, third words dealt over ``SPREAD`` neighbours, so that no popular pair fills one). Spark brings the runs of a prefix
-partition together and merges them in an aggregate that can spill. All later steps work on the frequent phrases alone, which hold the parts of every candidate.
+partition together, and a task merges them; there are as many partitions as the text asks for. All later steps work on the frequent phrases alone, which hold the parts of every candidate.
 
 Null text counts as empty, null lang as ``und``. An empty table, or one without frequent phrases, gives no rows. Ties go by count, then by the phrase's UTF-8. Repeated rows count
 each; other columns are ignored. Long texts are counted in slices that overlap by a phrase's length.
@@ -16,16 +16,17 @@ from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from brasstally.llm.common import cut
 
 LONGEST, MIN_COUNT, SUBSUMED, RANKS = 3, 10, 50, 2_000
-#: Entries of a task's tries, of a container before it bursts, words of a task's dictionaries, tokens of a slice, characters of a run's row, about.
-HELD, BURST, WORDS, SLICE, RUN_CHARS = 1_200_000, 4_096, 1_000_000, 262_144, 1_000_000
-#: Bytes of text for each prefix partition, the least number of them, and first words that share a container.
-PART_BYTES, LEAST_PARTS, SHARED_BITS = 16_000_000, 32, 6
+#: Entries of a task's tries, of a container before it bursts, words of a task's dictionaries, tokens of a slice, entries of a run's row.
+HELD, BURST, WORDS, SLICE, RUN_ROWS = 800_000, 4_096, 400_000, 131_072, 65_536
+#: Bytes of text for each prefix partition, the least number of them, and bits of first words that share a container.
+PART_BYTES, LEAST_PARTS, SHARED_BITS = 8_000_000, 32, 6
 SPREAD = 64
 _BREAKS = bytes.maketrans(b".,;:!?\x0b\x0c\x0d\t", b"\n\n\n\n\n\n\n\n\n ")
 
@@ -70,13 +71,21 @@ class PhraseTrie:
         self.longest, self.bits = longest, 63 // longest
         self.shifts = [self.bits * (longest - 1) + SHARED_BITS, *(self.bits * k for k in range(longest - 1, 0, -1))]
         self.ids, self.root, self.size, self.total = _Ids(), Node(), 0, 0
+        self.waiting: list[str] = []
 
-    def add(self, text: str) -> Iterator[None]:
-        """Counts a text's phrases; yields after each slice, where the caller may spill."""
+    def add(self, text: str) -> Iterator[bool]:
+        """Takes a text and counts what waits, when that is a slice; see ``counted``."""
         plain = text.encode().lower().translate(_BREAKS).replace(b"\n", b" \n ").decode()  # bytes.lower() only knows A-Z
-        tokens = [t for t in plain.split(" ") if t]
+        self.waiting += filter(None, plain.split(" "))
+        self.waiting.append("\n")
+        if len(self.waiting) >= SLICE:
+            yield from self.counted()
+
+    def counted(self) -> Iterator[bool]:
+        """Counts all phrases that wait, slice by slice. After each the caller may spill; before one for which the ids may not last, it's told to (True)."""
+        tokens, self.waiting = self.waiting, []
         for at in range(0, len(tokens), SLICE):
-            if len(self.ids) + SLICE >= 1 << self.bits:
+            if len(self.ids) + SLICE + self.longest >= 1 << self.bits:
                 yield True
             ids = np.array([*map(self.ids.__getitem__, tokens[at : at + SLICE + self.longest - 1]), *[0] * self.longest], np.int64)
             here = min(SLICE, len(tokens) - at)
@@ -110,8 +119,8 @@ class PhraseTrie:
                     node[at] = burst(held, self.shifts[depth + 1])
             start = end
 
-    def spill(self, parts: int, least: int = 0) -> Iterator[tuple[int, str]]:
-        """Sorted runs of the largest subtrees until at most ``least`` entries stay; (prefix partition, lines of phrase, tab and count)."""
+    def spill(self, parts: int, least: int = 0) -> Iterator[tuple[int, pa.RecordBatch]]:
+        """Sorted runs of the largest subtrees until at most ``least`` entries stay, by prefix partition."""
         if self.size <= least:
             return
         weight = {at: sum(map(len, leaves(child))) for at, child in self.root.items()}
@@ -125,41 +134,60 @@ class PhraseTrie:
             self.size -= weight[at]
         yield from self._run(np.array(keys, np.int64), np.array(counts, np.int64), parts)
 
-    def _run(self, keys: np.ndarray, counts: np.ndarray, parts: int) -> Iterator[tuple[int, str]]:
+    def _run(self, keys: np.ndarray, counts: np.ndarray, parts: int) -> Iterator[tuple[int, pa.RecordBatch]]:
         ids = [(keys >> self.bits * k) & ((1 << self.bits) - 1) for k in range(self.longest - 1, -1, -1)]
         used = np.unique(np.concatenate(ids))
-        rank = np.zeros(len(self.ids.words), np.int64)
-        rank[sorted(used[used > 0].tolist(), key=self.ids.words.__getitem__)] = np.arange(1, np.count_nonzero(used) + 1)
-        hashes = np.array(self.ids.hashes, np.uint64)
+        words = pa.array([self.ids.words[x] if x else None for x in used.tolist()], pa.string())
+        hashes = np.array([self.ids.hashes[x] for x in used.tolist()], np.uint64)
+        ids = [np.searchsorted(used, x) for x in ids]
+        rank = np.empty(len(used), np.int64)
+        rank[pc.sort_indices(words, null_placement="at_start").to_numpy()] = np.arange(len(used))
         part = hashes[ids[0]] * np.uint64(0x9E3779B97F4A7C15)
         for k, word in enumerate(ids[1:]):
             part = part + (hashes[word] * np.uint64(0xC2B2AE3D27D4EB4F) if not k else hashes[word] % np.uint64(SPREAD) << np.uint64(32))
         part = ((part >> np.uint64(32)) % np.uint64(parts)).astype(np.int64)
         order = np.lexsort((*(rank[x] for x in reversed(ids)), part))
-        words, part = self.ids.words, part[order]
-        columns = [x[order].tolist() for x in ids]
-        lines, lengths = [], []
-        for *phrase, n in zip(*columns, counts[order].tolist(), strict=True):
-            lines.append(f"{' '.join([words[x] for x in phrase if x])}\t{n}")
-            lengths.append(len(lines[-1]) + 1)
-        # rows are cut where a partition ends and where a row's characters are many
-        block = np.cumsum(lengths) // RUN_CHARS
-        ends = [*(np.flatnonzero((np.diff(part) != 0) | (np.diff(block) != 0)) + 1).tolist(), len(lines)]
+        phrase = pc.binary_join_element_wise(*(words.take(pa.array(x[order])) for x in ids), " ", null_handling="skip")
+        run, part = pa.RecordBatch.from_arrays([phrase, pa.array(counts[order])], schema=_RUN), part[order]
         start = 0
-        for end in ends:
-            yield int(part[start]), "\n".join(lines[start:end])
+        for end in [*(np.flatnonzero(np.diff(part)) + 1).tolist(), len(part)]:
+            for at in range(start, end, RUN_ROWS):
+                yield int(part[start]), run.slice(at, min(RUN_ROWS, end - at))
             start = end
 
 
+_RUN = pa.schema([("phrase", pa.string()), ("n", pa.int64())])
+_PACKED = pa.schema([("phrases", pa.string()), ("n", pa.list_(pa.int64()))])
+
+
+def packed(run: pa.RecordBatch) -> bytes:
+    """A run as compressed lines (no word holds a line feed) and counts."""
+    phrase, n = run.columns
+    lines = pc.binary_join(pa.ListArray.from_arrays([0, len(phrase)], phrase), "\n")
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, _PACKED, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+        out.write_batch(pa.RecordBatch.from_arrays([lines, pa.ListArray.from_arrays([0, len(n)], n)], schema=_PACKED))
+    return sink.getvalue().to_pybytes()
+
+
+def unpacked(run: pa.Buffer) -> pa.Table:
+    found = pa.ipc.open_stream(run).read_all().combine_chunks()
+    return pa.table({c: pc.list_flatten(x) for c, x in (("phrase", pc.split_pattern(found.column("phrases"), "\n")), ("n", found.column("n")))}, schema=_RUN)
+
+
 def _runs(longest: int, parts: int):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tries: dict[str, PhraseTrie] = {}
 
+        def row(lang: str, part: int, found: pa.RecordBatch) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([lang]), pa.array([part], pa.int32()), pa.array([packed(found)], pa.binary())], ["lang", "part", "run"])
+
         def spilled(least: int) -> Iterator[pa.RecordBatch]:
-            share = least // max(1, len(tries))
-            for lang, trie in tries.items():
-                for part, lines in trie.spill(parts, share):
-                    yield pa.RecordBatch.from_arrays([pa.array([lang]), pa.array([part], pa.int32()), pa.array([lines])], ["lang", "part", "run"])
+            for lang in sorted(tries, key=lambda x: tries[x].size, reverse=True):
+                more = sum(t.size for t in tries.values()) - least
+                if more > 0:
+                    for part, found in tries[lang].spill(parts, max(0, tries[lang].size - more)):
+                        yield row(lang, part, found)
 
         def renewed() -> Iterator[pa.RecordBatch]:
             """Everything is spilled, and dictionaries begin anew."""
@@ -167,16 +195,43 @@ def _runs(longest: int, parts: int):
             for trie in tries.values():
                 trie.ids = _Ids()
 
+        def relieved(full: bool) -> Iterator[pa.RecordBatch]:
+            if full or sum(len(t.ids) for t in tries.values()) > WORDS:
+                yield from renewed()
+            elif sum(t.size for t in tries.values()) > HELD:
+                yield from spilled(HELD // 2)
+
+        def finished() -> Iterator[pa.RecordBatch]:
+            for trie in tries.values():
+                for full in trie.counted():
+                    yield from relieved(full)
+
         for batch in batches:
-            for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                for full in tries.setdefault(lang, PhraseTrie(longest)).add(text):
-                    if full or sum(len(t.ids) for t in tries.values()) > WORDS:
-                        yield from renewed()
-                    elif sum(t.size for t in tries.values()) > HELD:
-                        yield from spilled(HELD // 2)
-        yield from renewed()
+            for lang, text in zip(batch.column("lang"), batch.column("text"), strict=True):
+                if lang.as_py() not in tries:
+                    tries[lang.as_py()] = PhraseTrie(longest)
+                for full in tries[lang.as_py()].add(text.as_py()):
+                    yield from relieved(full)
+            if sum(len(t.waiting) for t in tries.values()) > 4 * SLICE:
+                yield from finished()
+        yield from finished()
+        yield from spilled(0)
         for lang, trie in tries.items():
-            yield pa.RecordBatch.from_arrays([pa.array([lang]), pa.array([0], pa.int32()), pa.array([f"\t{trie.total}"])], ["lang", "part", "run"])
+            yield row(lang, 0, pa.RecordBatch.from_arrays([pa.array([""]), pa.array([trie.total])], schema=_RUN))
+
+    return run
+
+
+def _merged(min_count: int):
+    def run(runs: pa.Table) -> pa.Table:
+        """All runs of one prefix partition, language by language."""
+        found = []
+        for lang in pc.unique(runs.column("lang")).to_pylist():
+            own = runs.filter(pc.equal(runs.column("lang"), lang)).column("run")
+            whole = pa.concat_tables([unpacked(x.as_buffer()) for x in own]).group_by("phrase").aggregate([("n", "sum")])
+            often = whole.filter(pc.or_(pc.greater_equal(whole.column("n_sum"), min_count), pc.equal(whole.column("phrase"), "")))
+            found.append(pa.table({"lang": pa.array([lang] * len(often), pa.string()), "phrase": often.column("phrase"), "f": often.column("n_sum")}))
+        return pa.concat_tables(found)
 
     return run
 
@@ -186,12 +241,10 @@ def frequent_phrases(docs: DataFrame, longest: int = LONGEST, min_count: int = M
     if not 2 <= longest <= 4:
         raise ValueError("phrases have 2 to 4 words")
     texts = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    # as many prefix partitions as the text asks for, so that one of them fits into a task
     parts = LEAST_PARTS + (texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // PART_BYTES
-    lines = texts.mapInArrow(_runs(longest, parts), "lang string, part int, run string").repartition("part").select("lang", "part", F.explode(F.split("run", "\n")).alias("line"))
-    counted = lines.select("lang", "part", F.substring_index("line", "\t", 1).alias("phrase"), F.substring_index("line", "\t", -1).cast("long").alias("n"))
-    # partitions of runs are those of the aggregate, so nothing is shuffled again
-    merged = counted.groupBy("part", "lang", "phrase").agg(F.sum("n").alias("f"))
-    return merged.where((F.col("f") >= min_count) | (F.col("phrase") == "")).select("lang", "phrase", "f")
+    runs = texts.mapInArrow(_runs(longest, parts), "lang string, part int, run binary")
+    return runs.groupBy("part").applyInArrow(_merged(min_count), "lang string, phrase string, f long")
 
 
 def _score(a: str, left: str, right: str):

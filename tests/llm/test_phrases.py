@@ -66,7 +66,7 @@ def test_empty(spark):
 @pytest.mark.parametrize("seed", range(4))
 def test_bursts_spills_and_slices(monkeypatch, seed):
     r = random.Random(seed)
-    for name, value in {"HELD": r.choice([50, 700]), "BURST": r.choice([2, 20]), "WORDS": r.choice([7, 10_000]), "SLICE": r.choice([3, 50]), "RUN_CHARS": r.choice([9, 500])}.items():
+    for name, value in {"HELD": r.choice([50, 700]), "BURST": r.choice([2, 20]), "WORDS": r.choice([7, 10_000]), "SLICE": r.choice([3, 50]), "RUN_ROWS": r.choice([2, 500])}.items():
         monkeypatch.setattr(phrases, name, value)
     words = [f"w{i}" for i in range(40)]
     rows = [(r.choice(["en", "de"]), " ".join(r.choices(words, [1 / (i + 1) for i in range(40)], k=r.randint(0, 200)))) for _ in range(30)]
@@ -74,10 +74,11 @@ def test_bursts_spills_and_slices(monkeypatch, seed):
     got, home = Counter(), {}
     for batch in phrases._runs(3, 8)(batches):
         for lang, part, run in zip(*(batch.column(c).to_pylist() for c in ("lang", "part", "run")), strict=True):
-            lines = [x.rsplit("\t", 1) for x in run.split("\n")]
-            assert [x[0].split(" ") for x in lines] == sorted(x[0].split(" ") for x in lines)
-            for phrase, n in lines:
-                got[lang, phrase] += int(n)
+            lines = phrases.unpacked(pa.py_buffer(run))
+            words = [x.split(" ") for x in lines.column("phrase").to_pylist()]
+            assert words == sorted(words)
+            for phrase, n in zip(*(lines.column(c).to_pylist() for c in ("phrase", "n")), strict=True):
+                got[lang, phrase] += n
                 assert home.setdefault((lang, phrase), part) == part  # a phrase always goes to one prefix partition
     assert got == plain_counts(rows)
 
@@ -85,7 +86,8 @@ def test_bursts_spills_and_slices(monkeypatch, seed):
 def test_popular_pairs_are_spread():
     trie = phrases.PhraseTrie(3)
     list(trie.add(". ".join(f"of the w{i}" for i in range(500))))
-    parts = {part for part, run in trie.spill(16) if "of the w" in run}
+    list(trie.counted())
+    parts = {part for part, run in trie.spill(16) if any(x.startswith("of the w") for x in run.column("phrase").to_pylist())}
     assert len(parts) > 12 and not trie.size
 
 
