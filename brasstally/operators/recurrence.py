@@ -74,8 +74,8 @@ def label(df: DataFrame, config: RecurrenceConfig | None = None, order: str = "_
     """``df`` with recurrence_group_key, is_recurring and five more recurrence columns on every row.
 
     A group's reference amount is that of its first row by ``order``. Gaps are whole days of elapsed time between
-    neighbouring timestamps. A popular merchant makes one group of many accounts, so rows are sorted within single days of a group only: the
-    gaps between days come from each day's first and last timestamp. Groups are aggregated once and joined back. With
+    neighbouring timestamps. A popular merchant makes one group of many accounts, so no rows are sorted: gaps within a day are zeros, and those
+    between days come from each day's first and last timestamp. Groups are aggregated once and joined back. With
     ``strict`` rows without timestamp or amount are an error.
     """
     config = (config or RecurrenceConfig()).checked()
@@ -89,18 +89,18 @@ def label(df: DataFrame, config: RecurrenceConfig | None = None, order: str = "_
     keyed = df.drop(*new).withColumn("recurrence_group_key", F.concat_ws("|", *(text.match_form(F.col(c)) for c in parts)))
 
     slim = keyed.select("recurrence_group_key", F.col(order).alias("_o"), F.col("timestamp").cast("timestamp").alias("_ts"), money.not_nan(F.col("amount").cast("double")).alias("_amount"))
-    slim = slim.withColumn("_day", F.expr(f"unix_micros(_ts) div {DAY_MICROS}"))
-    by_time = Window.partitionBy("recurrence_group_key", "_day").orderBy("_ts", "_o")
-    gapped = slim.withColumn("_gap", _gap(F.col("_ts"), F.lag("_ts").over(by_time)))
-    days = gapped.groupBy("recurrence_group_key", "_day").agg(
-        F.count("*").alias("_n"), F.count("_gap").alias("_gaps"), F.min("_gap").alias("_low"), F.max("_gap").alias("_high"), F.sum("_gap").alias("_sum"), F.min("_ts").alias("_from"), F.max("_ts").alias("_to"),
+    micros = F.unix_micros("_ts")
+    # neighbours on one day are less than a day apart, so their gaps are zeros that only need a count: no rows are sorted, and tasks combine a day's rows before any shuffle
+    days = slim.groupBy("recurrence_group_key", F.call_function("div", micros - F.pmod(micros, F.lit(DAY_MICROS)), F.lit(DAY_MICROS)).alias("_day")).agg(
+        F.count("*").alias("_n"), F.greatest(F.count("_ts") - 1, F.lit(0)).alias("_gaps"), F.min("_ts").alias("_from"), F.max("_ts").alias("_to"),
         F.min(F.struct("_o", "_amount")).alias("_first"), F.min("_amount").alias("_least"), F.max("_amount").alias("_most"),
     )
+    zero = F.when(F.col("_gaps") > 0, F.lit(0))
     # a row for each group and day from here on
     by_day = Window.partitionBy("recurrence_group_key").orderBy("_day")
     groups = days.withColumn("_gap", _gap(F.col("_from"), F.lag("_to").over(by_day))).groupBy("recurrence_group_key").agg(
-        F.sum("_n").alias("_n"), (F.sum("_gaps") + F.count("_gap")).alias("_gaps"), F.least(F.min("_low"), F.min("_gap")).alias("_low"), F.greatest(F.max("_high"), F.max("_gap")).alias("_high"),
-        (F.coalesce(F.sum("_sum"), F.lit(0)) + F.coalesce(F.sum("_gap"), F.lit(0))).alias("_sum"), F.min("_first")["_amount"].alias("_ref"), F.min("_least").alias("_least"), F.max("_most").alias("_most"),
+        F.sum("_n").alias("_n"), (F.sum("_gaps") + F.count("_gap")).alias("_gaps"), F.min(F.least(zero, "_gap")).alias("_low"), F.max(F.greatest(zero, "_gap")).alias("_high"),
+        F.coalesce(F.sum("_gap"), F.lit(0)).alias("_sum"), F.min("_first")["_amount"].alias("_ref"), F.min("_least").alias("_least"), F.max("_most").alias("_most"),
     )
 
     def apart(value: str) -> Column:

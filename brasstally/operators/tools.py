@@ -22,8 +22,8 @@ def _need(df: DataFrame, columns: tuple[str, ...], error: type[InputError]) -> N
 
 
 def filtered(df: DataFrame, request: _Request) -> DataFrame:
-    """All predicates at once, on raw columns where they are exact, so that they reach the scan."""
-    return df.where(reduce(lambda a, b: a & b, request.predicates(), F.lit(True)))
+    """All predicates at once, on raw columns where they are exact, so that they reach the scan; a column ``month`` (of a stored table) is bounded, too."""
+    return df.where(reduce(lambda a, b: a & b, request.predicates("month" in df.columns), F.lit(True)))
 
 
 def strict_check(df: DataFrame, error: type[InputError], blank: tuple[str, ...] = ("currency",)) -> None:

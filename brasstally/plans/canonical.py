@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from brasstally.operators import categories, normalize, recurrence
+from brasstally.plans import shared
 from brasstally.sources.datasets import keep_first
+from brasstally.sources.versions import exists, read_version, write_version
 
 # Columns that the events lack, chosen by their ids.
 CURRENCIES = ("GHS", "GBP", "USD")
@@ -68,6 +72,26 @@ def weekly_series(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def write_processed(df: DataFrame, path: str) -> None:
-    """By month, so that a range of dates prunes partitions, and with trimmed names, so that exact filters reach the scan."""
-    df.write.mode("overwrite").partitionBy("month").parquet(path)
+def write_processed(df: DataFrame, root: str) -> None:
+    """A new version of the processed transactions, by month, so that a range of dates reads only its months.
+
+    Large months are dealt over several files by measured size, and rows are sorted by account within a file, so that the statistics of row groups let lookups of accounts skip most of them."""
+    month = F.date_format("timestamp", "yyyy-MM")
+    dealt = df.drop("month").withColumn("month", month).hint("rebalance", "month")
+    write_version(dealt.sortWithinPartitions("month", "account_id", "timestamp"), root, ("month",))
+
+
+def read_processed(spark: SparkSession, root: str) -> DataFrame:
+    return read_version(spark, root)
+
+
+def processed_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The processed transactions of the tables in ``sf_dir`` as a stored table in the shared folder.
+
+    The first call for the files as they are now processes and writes them, later ones only read. Files are told apart by path, size and time of change."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(f"{sf_dir}/events.parquet")
+    state = files.agg(F.count("*").alias("n"), F.sum("length").alias("bytes"), F.bit_xor(F.xxhash64("path", "length", "modificationTime")).alias("files")).first()
+    root = f"{shared.folder(spark)}/processed-{hashlib.md5(repr((sf_dir, *state)).encode()).hexdigest()}"
+    if not exists(spark, root):
+        write_processed(processed(raw_transactions(spark, sf_dir)), root)
+    return read_processed(spark, root)

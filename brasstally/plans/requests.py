@@ -73,8 +73,8 @@ class _Request:
         if value not in allowed:
             raise self.error(f"{name} must be one of {tuple(allowed)}: {value!r}")
 
-    def in_range(self) -> list[Column]:
-        """Both ends belong to the range; a date alone means its midnight."""
+    def in_range(self, by_month: bool = False) -> list[Column]:
+        """Both ends belong to the range; a date alone means its midnight. ``by_month`` also bounds the column that stored tables are partitioned by."""
         def instant(v: str) -> Column:
             try:
                 datetime.fromisoformat(v.replace("Z", "+00:00"))
@@ -82,7 +82,10 @@ class _Request:
                 raise self.error(f"not a timestamp: {v!r}") from e
             return F.lit(v).cast("timestamp")
 
-        return [*([F.col("timestamp") >= instant(self.start)] if self.start else []), *([F.col("timestamp") <= instant(self.end)] if self.end else [])]
+        ends = [(instant(self.start), Column.__ge__)] if self.start else []
+        ends += [(instant(self.end), Column.__le__)] if self.end else []
+        months = [compare(F.col("month"), F.date_format(at, "yyyy-MM")) for at, compare in ends] if by_month else []
+        return [compare(F.col("timestamp"), at) for at, compare in ends] + months
 
     def echo(self) -> dict:
         """The request's values, as they apply; user_id is only repeated."""
@@ -123,9 +126,9 @@ class LookupRequest(_Request):
         if self.min_amount is not None and self.max_amount is not None and self.min_amount > self.max_amount:
             raise self.error(f"min_amount {self.min_amount} is above max_amount {self.max_amount}")
 
-    def predicates(self) -> list[Column]:
+    def predicates(self, by_month: bool = False) -> list[Column]:
         out = _isin("transaction_id", self.transaction_ids) + _isin("account_id", self.account_ids) + _isin("merchant", self.merchants) + _isin("category", self.categories)
-        out += _isin("direction", (self.direction,) if self.direction else ()) + self.in_range()
+        out += _isin("direction", (self.direction,) if self.direction else ()) + self.in_range(by_month)
         amount = money.amount(F.col("amount"))
         return out + ([amount >= F.lit(self.min_amount)] if self.min_amount is not None else []) + ([amount <= F.lit(self.max_amount)] if self.max_amount is not None else [])
 
@@ -151,8 +154,8 @@ class SpendRequest(_Request):
         self._among("direction", SPEND_DIRECTIONS)
         self._among("group_by", GROUPINGS, optional=True)
 
-    def predicates(self) -> list[Column]:
-        return _isin("account_id", self.account_ids) + self.in_range() + _isin("category", self.categories) + _isin("merchant", self.merchants) + [F.col("direction") == self.direction]
+    def predicates(self, by_month: bool = False) -> list[Column]:
+        return _isin("account_id", self.account_ids) + self.in_range(by_month) + _isin("category", self.categories) + _isin("merchant", self.merchants) + [F.col("direction") == self.direction]
 
 
 @dataclass(frozen=True)
@@ -184,10 +187,10 @@ class RecurringRequest(_Request):
             if set(values) - set(allowed):
                 raise self.error(f"{values} must be among {allowed}")
 
-    def predicates(self) -> list[Column]:
+    def predicates(self, by_month: bool = False) -> list[Column]:
         out = [F.coalesce(F.col("is_recurring"), F.lit(False))]
         if not self.include_irregular:
             out.append(text.match_form(F.col("recurrence_cadence")) != "irregular")
         out += _isin("account_id", self.account_ids) + _folded("merchant", self.merchants) + _folded("category", self.categories)
         out += _folded("recurrence_cadence", self.cadences) + _folded("recurrence_confidence", self.confidences)
-        return out + _folded("direction", (self.direction,) if self.direction else ()) + self.in_range()
+        return out + _folded("direction", (self.direction,) if self.direction else ()) + self.in_range(by_month)

@@ -27,8 +27,8 @@ def plain(df: DataFrame) -> DataFrame:
 
 
 def _served(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """For tools that don't look at recurrence, whose labels would take a join and two more shuffles."""
-    return canonical.served(canonical.mapped(canonical.raw_transactions(spark, sf_dir)))
+    """The stored table of processed transactions, which the first query over a folder writes."""
+    return canonical.served(canonical.processed_store(spark, sf_dir))
 
 
 def _weekly(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -122,12 +122,12 @@ def recurrence_summary(spark, sf_dir):
 
 
 def quality_findings(spark, sf_dir):
-    found = quality.findings(canonical.processed(canonical.raw_transactions(spark, sf_dir)), NOW)
+    found = quality.findings(canonical.processed_store(spark, sf_dir), NOW)
     return found.select("check_name", "severity", "row_count", F.array_join("sample_ids", ",").alias("sample_ids"))
 
 
 def quality_report(spark, sf_dir):
-    found = quality.findings(canonical.processed(canonical.raw_transactions(spark, sf_dir)), NOW)
+    found = quality.findings(canonical.processed_store(spark, sf_dir), NOW)
     return quality.report(found).select("passed", "errors", "warnings")
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from brasstally.errors import IngestError
+from brasstally.sources.versions import read_version, write_version
 
 KINDS = "*.{md,markdown,csv,json,txt}"
 CASES = "question string, keywords array<string>, reference_answer string, category string"
@@ -20,14 +21,14 @@ def read_documents(spark: SparkSession, root: str) -> DataFrame:
 
 
 def write_store(chunks: DataFrame, path: str) -> None:
-    """Chunks with their vectors (column embedding), replacing the store; none at all is an error."""
+    """Chunks with their vectors (column embedding), as the store's new version; none at all is an error. A failed write leaves the version before it."""
     if chunks.isEmpty():
         raise IngestError("there are no chunks to store")
-    chunks.write.mode("overwrite").parquet(path)
+    write_version(chunks, path)
 
 
 def read_store(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(path)
+    return read_version(spark, path)
 
 
 def read_cases(spark: SparkSession, path: str) -> DataFrame:
