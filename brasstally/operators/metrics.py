@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -47,6 +49,15 @@ def retrieval_metrics(cases: DataFrame, retrieved: DataFrame, k: int = K) -> Dat
     )
 
 
+def sweep(cases: DataFrame, retrieved: DataFrame, parts: int = 10, k: int = K) -> Iterator[tuple[float, DataFrame]]:
+    """The metrics of all tests in ``parts`` steps, each with the share that is done after it; tests are dealt to steps by a hash of their ids.
+
+    A step runs when its table is read, so a caller can show progress and keep what it has when a later step fails."""
+    part = F.pmod(F.xxhash64("test_id"), F.lit(parts))
+    for i in range(parts):
+        yield (i + 1) / parts, retrieval_metrics(cases.where(part == i), retrieved.where(part == i), k)
+
+
 def band(value: Column, metric: str) -> Column:
     """green, orange or red; black for a metric without bands."""
     if metric not in fixed.BANDS:

@@ -152,10 +152,22 @@ placed AS (SELECT *, row_number() OVER (PARTITION BY check_name ORDER BY _ord, t
 found AS (SELECT check_name, severity, count(*) AS row_count, string_agg(transaction_id, ',' ORDER BY r) FILTER (WHERE r <= 5) AS sample_ids FROM placed GROUP BY 1, 2)"""
 
 
-_CASES = """WITH wanted AS (
+_DEALT = "SELECT doc_id % (SELECT count(*) FROM benchmark) AS test_id, lower(text) AS t, row_number() OVER (PARTITION BY doc_id % (SELECT count(*) FROM benchmark) ORDER BY doc_id) AS rank FROM documents"
+_UNIT = "list_transform(embedding, lambda x: x::DOUBLE)"
+
+
+def _nearest(asked: str, other: str = "true") -> str:
+    """The ten nearest vectors of those that ``asked`` gives; scores count to twelve decimals."""
+    return f"""SELECT query_id, vec_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM (
+      SELECT q.query_id, e.vec_id, round(list_inner_product(q.v, e.v) / (sqrt(list_inner_product(q.v, q.v)) * sqrt(list_inner_product(e.v, e.v))), 12) AS score
+      FROM ({asked}) q, (SELECT vec_id, {_UNIT} AS v FROM embeddings) e WHERE {other} AND list_inner_product(e.v, e.v) > 0) QUALIFY rank <= 10"""
+
+
+def _cases(docs: str = _DEALT) -> str:
+    return f"""WITH wanted AS (
   SELECT item_id AS test_id, list_distinct(string_split(text, ' ')) AS keywords FROM benchmark
 ), docs AS (
-  SELECT doc_id % (SELECT count(*) FROM benchmark) AS test_id, lower(text) AS t, row_number() OVER (PARTITION BY doc_id % (SELECT count(*) FROM benchmark) ORDER BY doc_id) AS rank FROM documents
+  {docs}
 ), seen AS (
   SELECT w.test_id, w.keyword, d.rank, coalesce(contains(d.t, lower(w.keyword)), FALSE) AS hit FROM (SELECT test_id, unnest(keywords) AS keyword FROM wanted) w LEFT JOIN docs d USING (test_id)
 ), by_word AS (
@@ -251,6 +263,12 @@ ORACLE_SQL = {
     "vector_topk": """WITH q AS (SELECT list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings WHERE vec_id = 0), e AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings)
       SELECT vec_id, round(s, 6) AS score FROM (SELECT vec_id, list_inner_product(e.v, q.v) / (sqrt(list_inner_product(e.v, e.v)) * sqrt(list_inner_product(q.v, q.v))) AS s FROM e, q
         WHERE list_inner_product(e.v, e.v) > 0 ORDER BY s DESC, vec_id LIMIT 10)""",
+    "vector_topk_of_many": f"SELECT query_id, rank::INT AS rank, vec_id, round(score, 6) AS score FROM ({_nearest(f'SELECT vec_id AS query_id, {_UNIT} AS v FROM embeddings WHERE vec_id % 20 = 0', 'q.query_id <> e.vec_id')})",
+    "retrieval_sweep": f"""{_cases(f"SELECT n.query_id AS test_id, lower(d.text) AS t, n.rank FROM ({_nearest(f'SELECT vec_id AS query_id, {_UNIT} AS v FROM embeddings JOIN benchmark ON item_id = vec_id')}) n JOIN documents d ON d.doc_id = n.vec_id")}
+      SELECT test_id, round(mrr, 9) AS mrr, round(ndcg, 9) AS ndcg, round(keyword_coverage, 9) AS keyword_coverage, keywords_found, total_keywords FROM metrics""",
+    "vector_mean": "WITH x AS (SELECT unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) - 1 AS i FROM embeddings) SELECT i::INT AS i, round(avg(x), 9) AS mean, count(*) AS n FROM x GROUP BY i",
+    "vector_covariance": """WITH x AS (SELECT vec_id, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) - 1 AS i FROM embeddings), c AS (SELECT vec_id, i, x - avg(x) OVER (PARTITION BY i) AS c FROM x)
+      SELECT a.i::INT AS i, b.i::INT AS j, round(sum(a.c * b.c) / count(*), 8) AS covariance FROM c a JOIN c b ON a.vec_id = b.vec_id AND a.i <= b.i GROUP BY ALL""",
     "chunk_fixed_stride": """SELECT doc_id, chunk_id::INT AS chunk_id, substring(text, (chunk_id * 800 + 1)::INT, 1000) AS chunk FROM (
       SELECT doc_id, text, unnest(range(0, greatest(ceil((length(text) - 1000) / 800.0), 0)::INT + 1)) AS chunk_id FROM documents WHERE length(text) > 0)""",
     "combined_question": """WITH u AS (SELECT conv_id, list(coalesce(text, '') ORDER BY turn, text) AS t FROM conversations WHERE role = 'user' GROUP BY 1)
@@ -273,7 +291,7 @@ ORACLE_SQL = {
       SELECT lang, tests, {", ".join(f"round({k}, 6) AS {k}, {_band(k, k)} AS {k}_band" for k in ("accuracy", "completeness", "relevance"))} FROM m""",
     "norm_bundle": f"""SELECT 'products' AS dataset, {_clean('p_name')} AS name FROM part UNION ALL SELECT 'metadata', lower({_clean('n_name')}) FROM nation UNION ALL SELECT 'regions', r_name FROM region""",
     "warnings_merged": "SELECT n_nationkey, CASE WHEN n_nationkey % 2 = 0 THEN n_name ELSE n_name || '|mixed' END AS warnings FROM nation",
-    "retrieval_metrics": f"{_CASES} SELECT test_id, round(mrr, 9) AS mrr, round(ndcg, 9) AS ndcg, round(keyword_coverage, 9) AS keyword_coverage, keywords_found, total_keywords FROM metrics",
-    "retrieval_bands": f"""{_CASES}, m AS (SELECT count(*) AS tests, avg(mrr) AS mrr, avg(ndcg) AS ndcg, avg(keyword_coverage) AS keyword_coverage FROM metrics)
+    "retrieval_metrics": f"{_cases()} SELECT test_id, round(mrr, 9) AS mrr, round(ndcg, 9) AS ndcg, round(keyword_coverage, 9) AS keyword_coverage, keywords_found, total_keywords FROM metrics",
+    "retrieval_bands": f"""{_cases()}, m AS (SELECT count(*) AS tests, avg(mrr) AS mrr, avg(ndcg) AS ndcg, avg(keyword_coverage) AS keyword_coverage FROM metrics)
       SELECT tests, round(mrr, 6) AS mrr, round(ndcg, 6) AS ndcg, round(keyword_coverage, 6) AS keyword_coverage, {_band('mrr', 'mrr')} AS mrr_band, {_band('ndcg', 'ndcg')} AS ndcg_band, {_band('keyword_coverage', 'coverage')} AS keyword_coverage_band FROM m""",
 }

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from brasstally import file_queries
-from brasstally.operators import categories, explain, metrics, normalize, quality, recurrence, retrieval, tools
+from brasstally.operators import categories, explain, metrics, normalize, quality, recurrence, retrieval, tools, vectors
 from brasstally.oracles import ORACLE_SQL
 from brasstally.plans import canonical
 from brasstally.plans.canonical import table
@@ -212,9 +212,42 @@ def recurring_flags(spark, sf_dir):
 
 
 def vector_topk(spark, sf_dir):
-    vectors = table(spark, sf_dir, "embeddings")
-    query = vectors.where("vec_id = 0").select("embedding").first()["embedding"]
-    return retrieval.top_k(vectors, query)
+    stored = table(spark, sf_dir, "embeddings")
+    return vectors.nearest_of(stored, stored.where("vec_id = 0").withColumnRenamed("vec_id", "query_id")).select("vec_id", F.round("score", 6).alias("score"))
+
+
+def vector_topk_of_many(spark, sf_dir):
+    """Every twentieth vector asks all others."""
+    stored = table(spark, sf_dir, "embeddings")
+    found = vectors.nearest_of(stored, stored.where("vec_id % 20 = 0").withColumnRenamed("vec_id", "query_id"), own=False)
+    return found.select("query_id", "rank", "vec_id", F.round("score", 6).alias("score"))
+
+
+def _retrieved(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Cases from the benchmark's items, each asked with the vector of its id, and the documents of the nearest vectors."""
+    stored, items = table(spark, sf_dir, "embeddings"), table(spark, sf_dir, "benchmark")
+    asked = items.join(stored, F.col("item_id") == F.col("vec_id")).select(F.col("item_id").alias("test_id"), "embedding")
+    found = vectors.nearest_of(stored, asked, query_key="test_id")
+    texts = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("vec_id"), "text")
+    return items.select(F.col("item_id").alias("test_id"), F.split("text", " ").alias("keywords")), found.join(texts, "vec_id").select("test_id", "rank", "text")
+
+
+def retrieval_sweep(spark, sf_dir):
+    return metrics.retrieval_metrics(*_retrieved(spark, sf_dir)).select("test_id", *(F.round(c, 9).alias(c) for c in ("mrr", "ndcg", "keyword_coverage")), "keywords_found", "total_keywords")
+
+
+def vector_mean(spark, sf_dir):
+    return vectors.mean(table(spark, sf_dir, "embeddings")).withColumn("mean", F.round("mean", 9))
+
+
+def vector_covariance(spark, sf_dir):
+    return vectors.covariance(table(spark, sf_dir, "embeddings")).withColumn("covariance", F.round("covariance", 8))
+
+
+def store_projection(spark, sf_dir):
+    """Two coordinates of each vector, for a plot; axes are compared with another library in tests."""
+    found = vectors.project(table(spark, sf_dir, "embeddings"), 2)
+    return found.select("vec_id", *(F.round(F.get("coordinates", F.lit(i)), 6).alias(c) for i, c in enumerate("xy")))
 
 
 def chunk_fixed_stride(spark, sf_dir):
@@ -319,7 +352,7 @@ QUERIES: dict[str, Query] = {
         norm_transactions, norm_accounts, norm_fees_and_limits, norm_products, norm_metadata, norm_drop_incomplete, ingest_transactions, dedupe_keep_first, tables_union_by_name,
         map_categories, map_normalized_categories, mapping_coverage, recurrence_labels, recurrence_labels_processed, recurrence_summary,
         quality_findings, quality_report, spend_total, spend_by_currency_map, recurring_streams, recurring_streams_latest, recurring_streams_of_accounts, recurring_stream_summary, recurring_stream_warnings,
-        explain_spend, explain_transactions, explain_recurring, transaction_flags, spend_flags, recurring_flags, vector_topk, chunk_fixed_stride, chunk_recursive,
+        explain_spend, explain_transactions, explain_recurring, transaction_flags, spend_flags, recurring_flags, vector_topk, vector_topk_of_many, retrieval_sweep, vector_mean, vector_covariance, store_projection, chunk_fixed_stride, chunk_recursive,
         lookup_records_json, lookup_warnings, spend_of_accounts_checked, answer_bands, norm_bundle, warnings_merged,
         combined_question, context_assembly, corpus_size, kind_histogram, store_profile, retrieval_metrics, retrieval_bands,
     )
