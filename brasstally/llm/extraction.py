@@ -6,7 +6,8 @@ Gaussian and compared with a threshold at which two clusters of the page's ratio
 above the threshold are selected on every page, and selected lines decide which elements hold content. Lines
 in elements that are never part of an article (menus, headers, footers, sidebars, notices, adverts, forms, scripts,
 styles, comments; a header inside the article is a header, too) are out. A class or id whose head is such a word says so (``cookie-notice``,
-``nav-list``), and one with a word that means nothing else (``comment-author``); where it only comes first (``notice-period``, ``legal-analysis``) the ratios decide: the element stays if most of its text is selected.
+``nav-list``), and so does one with a detail of it (``comment-author``); where it only comes first (``notice-period``, ``cookie-recipe``) the ratios decide: the element stays if most of its text is selected.
+Declarations of any form are skipped, malformed ones up to the next ``>``.
 
 Elements that say they are the article (``article``, ``main``, roles) only add to the selected lines: each one that is the innermost such element of
 a selected line gives all its lines that are not out, short ones too. On a page without them the innermost container of all selected lines does so,
@@ -33,10 +34,12 @@ OUT = frozenset("nav aside header footer form script style head noscript templat
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar status".split())
 #: Words of class and id attributes that mark what isn't article text.
 HINTS = frozenset("nav navbar navigation menu menubar breadcrumb breadcrumbs header masthead banner footer foot sidebar aside ad ads advert adverts advertisement advertising adbox adslot sponsor sponsored promo promotion cookie cookies consent gdpr notice notices notification alert popup modal overlay newsletter subscribe subscription signup login social share sharing related recommended recommendations comment comments disqus replies respond widget toolbar pagination pager skip copyright disclaimer legal".split())
-#: Those of HINTS that mean nothing else wherever they stand in a name.
+#: Those of HINTS after which a detail of them may be named.
 CERTAIN = frozenset("navbar menubar breadcrumb breadcrumbs masthead sidebar ads advert adverts advertisement advertising adbox adslot sponsor sponsored cookie cookies gdpr newsletter comment comments disqus pagination pager popup modal".split())
 #: Words after one of HINTS that only say which part or place of it is meant.
 PLACES = frozenset("area bar block body bottom box btn button buttons cell close col column container content footer fixed group holder icon icons inner item items label left level line link links list main menu module news outer page panel posts articles products region right row section slot stories text title toggle top unit widget wrap wrapper".split())
+#: Words after one of CERTAIN that name a detail of it.
+DETAILS = frozenset("author avatar by byline count date entry even form id meta message name number odd policy reply replies settings thread time user".split())
 ABOUT = frozenset("no not has have with without is".split())
 ARTICLE_ROLES = frozenset(("main", "article"))
 #: An element that starts closes an open one of these, with all that is open inside.
@@ -49,6 +52,8 @@ _WORD = re.compile(r"[a-z]+|[A-Z]+(?![a-z])|[A-Z][a-z]+")
 _CLOSERS: dict[str, list[str]] = {t: [name for name, by in CLOSES.items() if t in by] for t in BLOCKS | frozenset(CLOSES)}
 _GROUPS = CONTAINERS | frozenset("ul ol dl".split())
 _SPACE = re.compile(r"\s+")
+#: A document type with declarations in brackets; quoted strings in them may hold any sign.
+_SUBSET = re.compile(r"""<![^\[>]*+\[(?:"[^"]*+"|'[^']*+'|[^"'\]])*+\]\s*+>""")
 SMOOTHING = 1.0
 
 
@@ -61,7 +66,8 @@ def _hinted(attrs: list[tuple[str, str | None]]) -> int:
                 words = [w.lower() for w in _WORD.findall(token)]
                 for at, w in enumerate(words):
                     if w in HINTS and (at == 0 or words[at - 1] not in ABOUT):
-                        found = max(found, 2 if w in CERTAIN or all(x in PLACES or x in HINTS for x in words[at + 1 :]) else 1)
+                        after = PLACES | HINTS | (DETAILS if w in CERTAIN else frozenset())
+                        found = max(found, 2 if all(x in after for x in words[at + 1 :]) else 1)
         if name == "role" and value and value.strip().lower() in ROLES:
             return 2
         if name == "hidden" or name == "aria-hidden" and value == "true":
@@ -144,6 +150,19 @@ class _Lines(HTMLParser):
         self.names.subtract(x[0] for x in self.open[at:])
         del self.open[at:]
 
+    def parse_html_declaration(self, i):
+        """Past a declaration: a comment, a document type with what stands in its brackets, a CDATA section, or anything else up to ``>`` (to the page's end without one)."""
+        page = self.rawdata
+        if page.startswith("<!--", i):
+            return self.parse_comment(i)
+        if page.startswith("<![CDATA[", i):
+            end = page.find("]]>", i)
+            return end + 3 if end >= 0 else len(page)
+        end = page.find(">", i)
+        if end >= 0 and "[" in page[i:end] and page[i : i + 9].lower() == "<!doctype" and (inner := _SUBSET.match(page, i)):
+            return inner.end()
+        return end + 1 if end >= 0 else len(page)
+
     def handle_data(self, data):
         if self.cdata_elem is None:
             self.parts.append(data)

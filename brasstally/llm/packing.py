@@ -10,6 +10,7 @@ from counts by bucket, and take their slots by joining the plan on length and ra
 from __future__ import annotations
 
 import base64
+import re
 import zlib
 from array import array
 from bisect import bisect_left, insort
@@ -30,6 +31,9 @@ TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 #: The vocabulary of TOKENIZER as ranks, for a faster library that gives the same ids.
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 END = 0
+#: Characters of white space in a run from which a text goes to the tokenizer itself.
+LONG_SPACE = 65_536
+_LONG_SPACE = re.compile(rf"\s{{{LONG_SPACE}}}")
 #: Pieces of one length are ranked in buckets of about so many, and in BUCKETS at least where an order is given.
 BUCKET_ROWS, BUCKETS = 16_384, 64
 #: Documents in a given order are packed in so many consecutive parts at most, each of PART_SEQUENCES full sequences at least.
@@ -40,7 +44,7 @@ class Encoder:
     """Ids of texts by the byte-level BPE in ``tokenizer``, as little-endian bytes.
 
     ``ranks`` holds the same vocabulary for a library that is four times as fast and gives the same ids; a text
-    with the string of a special token goes to the tokenizer itself.
+    with the string of a special token goes to the tokenizer itself, and so does one with a very long run of white space, for which the faster library runs out of stack.
     """
 
     def __init__(self, tokenizer: str = TOKENIZER, ranks: str = RANKS):
@@ -51,7 +55,7 @@ class Encoder:
         self.special = [t.content for t in self.exact.get_added_tokens_decoder().values()]
 
     def __call__(self, text: str) -> bytes:
-        if any(s in text for s in self.special):
+        if any(s in text for s in self.special) or len(text) > LONG_SPACE and _LONG_SPACE.search(text):
             return array("I", self.exact.encode(text, add_special_tokens=False).ids).tobytes()
         return array("I", self.fast.encode_ordinary(text)).tobytes()
 
