@@ -5,11 +5,16 @@ All functions take the limited results of ``tools``; a result without rows gives
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from brasstally.errors import ExplainInputError
 from brasstally.functions import text
+from brasstally.operators import tools
+from brasstally.plans.shared import kept
 
 # Levels of detail with their numbers of groups and samples, tags and the columns that tell a source's kind. Titles of blocks below are fixed, too.
 LEVELS = {"low": 1, "medium": 2, "high": 3}
@@ -175,3 +180,73 @@ def recurring_flags(records: DataFrame) -> DataFrame:
         ((n > 0) & (F.count_if("is_irregular") == n)).alias("irregular_only"), F.max_by("merchant", rank).alias("primary_merchant"),
         F.max_by(F.col("average_amount").cast("string"), rank).alias("primary_average_amount"),
     )
+
+
+@dataclass(frozen=True)
+class ExplainRequest:
+    """What is explained and how. ``focus`` names the groups of a spend summary."""
+
+    kind: str
+    focus: str | None = None
+    include_warnings: bool = True
+    detail: str = "medium"
+
+    def __post_init__(self):
+        for name in ("kind", "detail"):
+            value = getattr(self, name)
+            if not isinstance(value, str):
+                raise ExplainInputError(f"{name} must be a string: {value!r}")
+            object.__setattr__(self, name, value.strip().lower())
+        if self.kind not in (*KINDS, "balance"):
+            raise ExplainInputError(f"kind must be one of {(*KINDS, 'balance')}: {self.kind!r}")
+        _level(self.detail)
+        if not isinstance(self.include_warnings, bool):
+            raise ExplainInputError(f"include_warnings must be a boolean: {self.include_warnings!r}")
+        if not isinstance(self.focus, str | None):
+            raise ExplainInputError(f"focus must be a string: {self.focus!r}")
+        object.__setattr__(self, "focus", (self.focus or "").strip() or None)
+
+
+def _of_kind(request: ExplainRequest, result: DataFrame, groups: DataFrame | None, sort_by: str, descending: bool) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Blocks, and one row each of flags and of warnings."""
+    if request.kind == "spend":
+        none = result.select(F.lit(None).cast("string").alias("key"), "total_amount", "transaction_count", F.lit(None).cast("string").alias("currency")).limit(0)
+        return spend(result, groups, request.detail, request.focus, descending), spend_flags(result, none if groups is None else groups, descending), result.select("warnings")
+    if request.kind == "transactions":
+        return transactions(result, request.detail, sort_by, descending), transaction_flags(result), tools.lookup_warnings(result)
+    counts = F.array_sort(F.collect_list(F.struct("cadence", "n")))
+    cadences = result.groupBy("cadence").agg(F.count("*").alias("n")).agg(F.map_from_entries(counts).alias("count_by_cadence"))
+    return recurring(result, request.detail), _one_row(recurring_flags(result), cadences), tools.recurring_warnings(result)
+
+
+def _one_row(*rows: DataFrame) -> DataFrame:
+    """Frames of one row each side by side."""
+    whole = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), rows)
+    return whole.agg(*(F.first(c, ignorenulls=True).alias(c) for c in whole.columns))
+
+
+def explanation(request: ExplainRequest, result: DataFrame, groups: DataFrame | None = None, sort_by: str = "timestamp", descending: bool = True) -> DataFrame:
+    """One row: source_type, confidence, warnings, blocks in order and summary_flags, from a result of ``tools`` and the request.
+
+    ``groups`` are those of a spend summary; ``sort_by`` and ``descending`` are the tool request's. The result is limited by its request; it is computed
+    once, when this is called, and all parts read what is kept.
+    """
+    check_source(result, request.kind)
+    result = kept(result)
+    groups = None if groups is None else kept(groups)
+    blocks, flags, warned = _of_kind(request, result, groups, sort_by, descending)
+    listed = F.array_sort(F.collect_list(F.struct("place", "title", "value", "context", "tags", "priority")))
+    parts = [blocks.agg(listed.alias("blocks")), flags.select(F.struct("*").alias("flags")), warned.select(F.col("warnings").alias("found"))]
+    if request.kind == "recurring":
+        level = F.coalesce(*(F.max(F.when(F.col("confidence") == c, c)) for c in ("high", "medium", "low")))
+        parts.append(result.agg(level.alias("level")))
+    whole = _one_row(*parts)
+    level = F.coalesce(*([F.col("level")] if request.kind == "recurring" else []), F.when(F.size("found") > 0, "medium").otherwise("high"))
+    named = whole.select("blocks", "flags", "found", level.alias("confidence"))
+    known = [c for c in flags.columns if c != "warning_count"]
+    extra = (F.size("found").alias("warning_count"), F.lit(request.kind).alias("source_type"), F.col("confidence").alias("explanation_confidence"))
+    return named.select(
+        F.lit(request.kind).alias("source_type"), "confidence", merged_warnings(F.col("found"), include=request.include_warnings).alias("warnings"),
+        F.transform("blocks", lambda b: F.struct(b["title"].alias("title"), b["value"].alias("value"), b["context"].alias("context"), b["tags"].alias("tags"), b["priority"].alias("priority"))).alias("blocks"),
+        F.struct(*(F.col("flags")[c].alias(c) for c in known), *extra).alias("summary_flags"),
+    )

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -11,6 +12,7 @@ from brasstally.errors import InputError
 from brasstally.functions import money, text
 from brasstally.functions.fixed import ALL_IRREGULAR, MIXED_LOOKUP, MIXED_RECURRING, MIXED_SPEND, NO_LOOKUP, NO_RECURRING
 from brasstally.plans.requests import LookupRequest, RecurringRequest, SpendRequest, _Request
+from brasstally.plans.within import within
 
 COLUMNS = ("transaction_id", "account_id", "timestamp", "amount", "currency", "direction", "merchant", "category", "subcategory")
 RECURRING_COLUMNS = (*COLUMNS, "is_recurring", "recurrence_cadence", "recurrence_confidence")
@@ -21,9 +23,15 @@ def _need(df: DataFrame, columns: tuple[str, ...], error: type[InputError]) -> N
         raise error(f"columns {missing} are missing; there are {sorted(df.columns)}")
 
 
-def filtered(df: DataFrame, request: _Request) -> DataFrame:
-    """All predicates at once, on raw columns where they are exact, so that they reach the scan; a column ``month`` (of a stored table) is bounded, too."""
-    return df.where(reduce(lambda a, b: a & b, request.predicates("month" in df.columns), F.lit(True)))
+#: Tables of ids for columns, besides a request's own names; see ``plans.within``.
+Tables = Mapping[str, DataFrame] | None
+
+
+def filtered(df: DataFrame, request: _Request, tables: Tables = None) -> DataFrame:
+    """All predicates at once, on raw columns where they are exact, so that they reach the scan; a column ``month`` (of a stored table) is bounded, too.
+
+    ``tables`` names columns whose values must be in a table."""
+    return within(df.where(reduce(lambda a, b: a & b, request.predicates("month" in df.columns), F.lit(True))), tables, request.error)
 
 
 def strict_check(df: DataFrame, error: type[InputError], blank: tuple[str, ...] = ("currency",)) -> None:
@@ -38,10 +46,10 @@ def _ordered(c: Column, descending: bool) -> Column:
     return c.desc() if descending else c.asc()
 
 
-def lookup(df: DataFrame, request: LookupRequest, strict: bool = False) -> DataFrame:
+def lookup(df: DataFrame, request: LookupRequest, strict: bool = False, tables: Tables = None) -> DataFrame:
     """Records of the rows that match, sorted, at most ``limit``; equal ones by ascending id."""
     _need(df, COLUMNS, request.error)
-    rows = filtered(df, request)
+    rows = filtered(df, request, tables)
     if strict:
         strict_check(rows, request.error)
     key = {"timestamp": F.col("timestamp"), "amount": money.amount(F.col("amount"))}.get(request.sort_by, text.match_form(F.col(request.sort_by)))
@@ -58,10 +66,10 @@ def _key(group_by: str) -> Column:
     return F.coalesce(raw, F.lit("unknown"))
 
 
-def spend_total(df: DataFrame, request: SpendRequest, strict: bool = False) -> DataFrame:
+def spend_total(df: DataFrame, request: SpendRequest, strict: bool = False, tables: Tables = None) -> DataFrame:
     """One row: total_amount, transaction_count, currencies and warnings."""
     _need(df, COLUMNS, request.error)
-    rows = filtered(df, request)
+    rows = filtered(df, request, tables)
     if strict:
         strict_check(rows, request.error)
     currencies = F.count_distinct(text.strip(F.col("currency")))
@@ -73,15 +81,15 @@ def _amount(request: SpendRequest) -> Column:
     return F.abs(amount) if request.absolute else amount
 
 
-def spend_by_currency(df: DataFrame, request: SpendRequest) -> DataFrame:
+def spend_by_currency(df: DataFrame, request: SpendRequest, tables: Tables = None) -> DataFrame:
     """Total and count of each currency; a blank currency is an error when the rows are read."""
     _need(df, COLUMNS, request.error)
     code = text.strip(F.col("currency"))
     code = F.when(code == "", F.raise_error(F.lit("rows have a blank currency"))).otherwise(code)
-    return filtered(df, request).groupBy(code.alias("currency")).agg(money.total(_amount(request)).alias("total_amount"), F.count("*").alias("transaction_count"))
+    return filtered(df, request, tables).groupBy(code.alias("currency")).agg(money.total(_amount(request)).alias("total_amount"), F.count("*").alias("transaction_count"))
 
 
-def spend_grouped(df: DataFrame, request: SpendRequest) -> DataFrame:
+def spend_grouped(df: DataFrame, request: SpendRequest, tables: Tables = None) -> DataFrame:
     """rank, key, total_amount, transaction_count and currency (null where several) of the leading groups.
 
     Sorted by total, count and lower-case key, all in the request's direction.
@@ -90,7 +98,7 @@ def spend_grouped(df: DataFrame, request: SpendRequest) -> DataFrame:
     if not request.group_by:
         raise request.error("group_by is missing")
     currency = text.strip(F.col("currency"))
-    groups = filtered(df, request).groupBy(_key(request.group_by).alias("key")).agg(
+    groups = filtered(df, request, tables).groupBy(_key(request.group_by).alias("key")).agg(
         money.total(_amount(request)).alias("total_amount"), F.count("*").alias("transaction_count"), F.when(F.min(currency) == F.max(currency), F.min(currency)).alias("currency"),
     )
     order = [_ordered(c, request.descending) for c in (F.col("total_amount"), F.col("transaction_count"), F.lower("key"))] + [F.asc("key")]
@@ -100,10 +108,10 @@ def spend_grouped(df: DataFrame, request: SpendRequest) -> DataFrame:
 STREAM = ("merchant", "category", "subcategory", "account_id", "direction", "recurrence_cadence", "recurrence_confidence")
 
 
-def recurring_streams(df: DataFrame, request: RecurringRequest, strict: bool = False) -> DataFrame:
+def recurring_streams(df: DataFrame, request: RecurringRequest, strict: bool = False, tables: Tables = None) -> DataFrame:
     """Recurring payments with counts, first and last time, average amount and currency, sorted, at most ``limit``."""
     _need(df, RECURRING_COLUMNS, request.error)
-    rows = filtered(df, request)
+    rows = filtered(df, request, tables)
     if strict:
         strict_check(rows, request.error)
     currency = text.clean(F.col("currency"))

@@ -101,9 +101,9 @@ _MAPPING = "transaction_id, merchant_mapped, category_mapped, subcategory_mapped
 _ONE_CURRENCY = "CASE WHEN min(currency) = max(currency) THEN min(currency) END"
 
 
-def _spend(group: str, order: str = "DESC") -> str:
+def _spend(group: str, order: str = "DESC", where: str = "TRUE") -> str:
     key = {"account": "account_id", "month": "strftime(timestamp, '%Y-%m')"}.get(group, group)
-    return f"""{SERVED}, g AS (SELECT coalesce(nullif(trim({key}), ''), 'unknown') AS key, sum(money)::DECIMAL(28,2) AS total, count(*) AS transaction_count, {_ONE_CURRENCY} AS currency FROM served WHERE direction = 'debit' GROUP BY 1)
+    return f"""{SERVED}, g AS (SELECT coalesce(nullif(trim({key}), ''), 'unknown') AS key, sum(money)::DECIMAL(28,2) AS total, count(*) AS transaction_count, {_ONE_CURRENCY} AS currency FROM served WHERE direction = 'debit' AND {where} GROUP BY 1)
 SELECT key, total::VARCHAR AS total_amount, transaction_count, currency FROM g ORDER BY total {order}, transaction_count {order}, lower(key) {order}, key LIMIT 10"""
 
 
@@ -232,6 +232,8 @@ ORACLE_SQL = {
     "lookup_by_amount": _lookup("direction = 'debit'", "money ASC"),
     "lookup_by_merchant": _lookup(f"merchant IN ('melcom', 'uber') AND timestamp BETWEEN '{START}' AND '{END}'", "merchant DESC", 50),
     "lookup_by_filters": _lookup(f"category IN ('groceries', 'transport', 'fees') AND account_id IN {_in(range(1, 60))} AND money BETWEEN 10.00 AND 250", "account_id DESC"),
+    "lookup_by_id_table": _lookup("transaction_id IN (SELECT o_orderkey::VARCHAR FROM orders WHERE o_orderstatus = 'F')", "money DESC", 200),
+    "spend_of_account_table": _spend("merchant", where="account_id IN (SELECT c_custkey::VARCHAR FROM customer WHERE c_mktsegment = 'BUILDING')"),
     "lookup_by_ids": _lookup(f"transaction_id IN {_in(range(0, 400, 7))}", "transaction_id ASC"),
     "recurring_streams": f"{_BY_MERCHANT} {_RECORD}",
     "recurring_streams_latest": f"{_LATEST} {_RECORD}",
@@ -295,3 +297,29 @@ ORACLE_SQL = {
     "retrieval_bands": f"""{_cases()}, m AS (SELECT count(*) AS tests, avg(mrr) AS mrr, avg(ndcg) AS ndcg, avg(keyword_coverage) AS keyword_coverage FROM metrics)
       SELECT tests, round(mrr, 6) AS mrr, round(ndcg, 6) AS ndcg, round(keyword_coverage, 6) AS keyword_coverage, {_band('mrr', 'mrr')} AS mrr_band, {_band('ndcg', 'ndcg')} AS ndcg_band, {_band('keyword_coverage', 'coverage')} AS keyword_coverage_band FROM m""",
 }
+
+
+def _explanation(kind: str, blocks: str, flags: str, warned: str, shown: str, confidence: str, show_warnings: bool = True) -> str:
+    """An explanation from the SQL of its blocks, flags and warnings."""
+    return f"""WITH b AS ({ORACLE_SQL[blocks]}), f AS ({ORACLE_SQL[flags]}), w AS ({warned}), o AS (
+  SELECT '{kind}' AS source_type, {confidence} AS confidence, w.warnings AS found, f.* FROM f, w
+) SELECT source_type, confidence, {"found" if show_warnings else "''"} AS warnings,
+  (SELECT string_agg(concat_ws(' / ', title, value, context, tags, priority), chr(10) ORDER BY place) FROM b) AS blocks,
+  concat_ws(';', {shown}, 'warning_count=' || CASE WHEN found = '' THEN 0 ELSE 1 END, 'source_type={kind}', 'explanation_confidence=' || confidence) AS flags FROM o"""
+
+
+def _shown(*names: str) -> str:
+    return ", ".join(f"'{n}=' || coalesce({n}::VARCHAR, 'null')" for n in names)
+
+
+_WARNED = "CASE WHEN w.warnings <> '' THEN 'medium' ELSE 'high' END"
+_CADENCES = f"(SELECT string_agg(cadence || ':' || n, ',' ORDER BY cadence) FROM ({_BY_MERCHANT} SELECT cadence, count(*) AS n FROM records GROUP BY 1))"
+_SURE = f"(SELECT CASE max(CASE confidence WHEN 'high' THEN 3 WHEN 'medium' THEN 2 ELSE 1 END) WHEN 3 THEN 'high' WHEN 2 THEN 'medium' ELSE 'low' END FROM ({_BY_MERCHANT} SELECT * FROM records))"
+ORACLE_SQL |= {
+    "explanation_of_spend": _explanation("spend", "explain_spend", "spend_flags", f"SELECT CASE WHEN currencies > 1 THEN '{fixed.MIXED_SPEND}' ELSE '' END AS warnings FROM (SELECT (SELECT multi_currency FROM ({ORACLE_SQL['spend_flags']}))::INT + 1 AS currencies)",
+        _shown("empty_result", "multi_currency", "transaction_count", "has_groups", "top_group_key", "top_group_amount"), _WARNED),
+    "explanation_of_transactions": _explanation("transactions", "explain_transactions", "transaction_flags", ORACLE_SQL["lookup_warnings"],
+        _shown("empty_result", "multi_currency", "match_count", "largest_transaction_id", "largest_transaction_amount", "most_recent_transaction_id", "currencies"), _WARNED),
+    "explanation_of_recurring": _explanation("recurring", "explain_recurring", "recurring_flags", ORACLE_SQL["recurring_stream_warnings"],
+        _shown("empty_result", "record_count", "high_confidence_count", "irregular_only", "primary_merchant", "primary_average_amount") + f", 'count_by_cadence=' || {_CADENCES}", _SURE, False),
+}

@@ -154,6 +154,18 @@ def _lookup(**request) -> Query:
     return run
 
 
+def lookup_by_id_table(spark, sf_dir):
+    """Transactions with the keys of all finished orders."""
+    ids = table(spark, sf_dir, "orders").where("o_orderstatus = 'F'").select("o_orderkey")
+    return plain(tools.lookup(_served(spark, sf_dir), LookupRequest(sort_by="amount", limit=200), tables={"transaction_id": ids}))
+
+
+def spend_of_account_table(spark, sf_dir):
+    """Spend by merchant of the accounts of one segment."""
+    ids = table(spark, sf_dir, "customer").where("c_mktsegment = 'BUILDING'").select("c_custkey")
+    return plain(tools.spend_grouped(_served(spark, sf_dir), SpendRequest(group_by="merchant"), tables={"account_id": ids}))
+
+
 _STREAMS = RecurringRequest(sort_by="merchant", descending=False, limit=100)
 
 
@@ -197,6 +209,27 @@ def explain_recurring(spark, sf_dir):
     return _blocks(explain.recurring(tools.recurring_streams(_weekly(spark, sf_dir), _STREAMS), "high"))
 
 
+def _explained(df: DataFrame) -> DataFrame:
+    """Blocks as lines, flags as names and values, in order."""
+    block = F.transform("blocks", lambda b: F.concat_ws(" / ", b["title"], b["value"], b["context"], F.array_join(b["tags"], ","), b["priority"]))
+    shown = {"array<string>": lambda c: F.array_join(c, ","), "map<string,bigint>": lambda c: F.array_join(F.transform(F.map_entries(c), lambda e: F.concat_ws(":", e["key"], e["value"])), ",")}
+    flags = [F.concat(F.lit(f"{f.name}="), F.coalesce(shown.get(f.dataType.simpleString(), lambda c: c.cast("string"))(F.col("summary_flags")[f.name]), F.lit("null"))) for f in df.schema["summary_flags"].dataType.fields]
+    return df.select("source_type", "confidence", F.array_join("warnings", "|").alias("warnings"), F.array_join(block, "\n").alias("blocks"), F.concat_ws(";", *flags).alias("flags"))
+
+
+def explanation_of_spend(spark, sf_dir):
+    df, request = _served(spark, sf_dir), SpendRequest(group_by="category")
+    return _explained(explain.explanation(explain.ExplainRequest("Spend", "top_categories"), tools.spend_total(df, request), tools.spend_grouped(df, request)))
+
+
+def explanation_of_transactions(spark, sf_dir):
+    return _explained(explain.explanation(explain.ExplainRequest("transactions"), tools.lookup(_served(spark, sf_dir), LookupRequest(direction="credit"))))
+
+
+def explanation_of_recurring(spark, sf_dir):
+    return _explained(explain.explanation(explain.ExplainRequest("recurring", include_warnings=False, detail="high"), tools.recurring_streams(_weekly(spark, sf_dir), _STREAMS)))
+
+
 def transaction_flags(spark, sf_dir):
     out = explain.transaction_flags(tools.lookup(_served(spark, sf_dir), LookupRequest(direction="credit")))
     return out.withColumn("currencies", F.array_join("currencies", ","))
@@ -354,6 +387,7 @@ QUERIES: dict[str, Query] = {
         quality_findings, quality_report, spend_total, spend_by_currency_map, recurring_streams, recurring_streams_latest, recurring_streams_of_accounts, recurring_stream_summary, recurring_stream_warnings,
         explain_spend, explain_transactions, explain_recurring, transaction_flags, spend_flags, recurring_flags, vector_topk, vector_topk_of_many, retrieval_sweep, vector_mean, vector_covariance, store_projection, chunk_fixed_stride, chunk_recursive,
         lookup_records_json, lookup_warnings, spend_of_accounts_checked, answer_bands, norm_bundle, warnings_merged,
+        lookup_by_id_table, spend_of_account_table, explanation_of_spend, explanation_of_transactions, explanation_of_recurring,
         combined_question, context_assembly, corpus_size, kind_histogram, store_profile, retrieval_metrics, retrieval_bands,
     )
 }
