@@ -232,6 +232,11 @@ ORACLE_SQL = {
     "lookup_by_amount": _lookup("direction = 'debit'", "money ASC"),
     "lookup_by_merchant": _lookup(f"merchant IN ('melcom', 'uber') AND timestamp BETWEEN '{START}' AND '{END}'", "merchant DESC", 50),
     "lookup_by_filters": _lookup(f"category IN ('groceries', 'transport', 'fees') AND account_id IN {_in(range(1, 60))} AND money BETWEEN 10.00 AND 250", "account_id DESC"),
+    "map_by_rule_table": f"""WITH r AS (SELECT (p_partkey * 7919 % 1000003)::INT AS priority, p_partkey AS k, {_list(fixed.CATEGORIES)}[p_partkey % {len(fixed.CATEGORIES)} + 1] AS category FROM part),
+      f AS (SELECT l_partkey AS k, 'shop ' || l_partkey AS m, CASE WHEN l_returnflag = 'R' THEN 'credit' ELSE 'debit' END AS direction, count(*) AS n FROM lineitem GROUP BY ALL),
+      v AS (SELECT f.k, f.direction, any_value(f.n) AS n, min(r.priority) AS priority, arg_min(r.category, r.priority) AS category FROM f LEFT JOIN r ON
+        CASE WHEN r.k % 500 = 3 THEN regexp_matches(f.m, '^shop [0-9]*' || r.k % 97 || '$') WHEN r.k % 4 = 1 THEN contains(f.m, 'p ' || r.k) ELSE f.k = r.k AND (r.k % 4 <> 2 OR f.direction = 'credit') END GROUP BY ALL)
+      SELECT coalesce(category, 'other') AS category_mapped, CASE WHEN category IS NULL THEN 'uncategorized' ELSE 'general' END AS subcategory_mapped, coalesce('rule:' || priority, 'default_fallback') AS category_mapping_source, direction, sum(n)::BIGINT AS n FROM v GROUP BY ALL""",
     "lookup_by_id_table": _lookup("transaction_id IN (SELECT o_orderkey::VARCHAR FROM orders WHERE o_orderstatus = 'F')", "money DESC", 200),
     "spend_of_account_table": _spend("merchant", where="account_id IN (SELECT c_custkey::VARCHAR FROM customer WHERE c_mktsegment = 'BUILDING')"),
     "lookup_by_ids": _lookup(f"transaction_id IN {_in(range(0, 400, 7))}", "transaction_id ASC"),

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from brasstally import file_queries
+from brasstally.functions import fixed
 from brasstally.operators import categories, explain, metrics, normalize, quality, recurrence, retrieval, tools, vectors
 from brasstally.oracles import ORACLE_SQL
 from brasstally.plans import canonical
@@ -102,6 +103,24 @@ def map_normalized_categories(spark, sf_dir):
     return categories.map_categories(df).select("transaction_id", "merchant_mapped", "category_mapped", "subcategory_mapped", "category_mapping_source")
 
 
+def map_by_rule_table(spark, sf_dir):
+    """Lines as payments to a shop for each part, mapped by a rule for each part: exact ones, some for one direction, patterns within names and a few regular expressions."""
+    key, lines = F.col("p_partkey"), table(spark, sf_dir, "lineitem")
+    shop = lambda c: F.concat(F.lit("shop "), c.cast("string"))
+    kind, taxonomy = key % 4, F.array(*(F.lit(c) for c in fixed.CATEGORIES))
+    rules = table(spark, sf_dir, "part").select(
+        (key * 7919 % 1_000_003).cast("int").alias("priority"), F.lit("merchant_normalized").alias("field"), F.when(key % 500 == 3, "regex").when(kind == 1, "contains").otherwise("exact").alias("how"),
+        F.when(key % 500 == 3, F.concat(F.lit("^shop [0-9]*"), (key % 97).cast("string"), F.lit("$"))).when(kind == 1, F.concat(F.lit("P "), key.cast("string"))).otherwise(shop(key)).alias("value"),
+        F.get(taxonomy, (key % len(fixed.CATEGORIES)).cast("int")).alias("category"), F.lit("general").alias("subcategory"), F.lit(None).cast("string").alias("merchant"), F.when(kind == 2, "credit").alias("direction"),
+    )
+    payments = lines.select(
+        F.concat_ws("-", "l_orderkey", "l_linenumber").alias("transaction_id"), F.col("l_shipdate").alias("timestamp"), F.col("l_extendedprice").alias("amount"),
+        F.when(F.col("l_returnflag") == "R", "credit").otherwise("debit").alias("direction"), shop(F.col("l_partkey")).alias("merchant_normalized"), F.lower("l_linestatus").alias("category_normalized"),
+    )
+    mapped = categories.map_by_rules(payments, rules)
+    return mapped.groupBy("category_mapped", "subcategory_mapped", "category_mapping_source", "direction").agg(F.count("*").alias("n"))
+
+
 def mapping_coverage(spark, sf_dir):
     return categories.mapping_coverage(map_categories(spark, sf_dir))
 
@@ -383,7 +402,7 @@ QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
         norm_transactions, norm_accounts, norm_fees_and_limits, norm_products, norm_metadata, norm_drop_incomplete, ingest_transactions, dedupe_keep_first, tables_union_by_name,
-        map_categories, map_normalized_categories, mapping_coverage, recurrence_labels, recurrence_labels_processed, recurrence_summary,
+        map_categories, map_normalized_categories, map_by_rule_table, mapping_coverage, recurrence_labels, recurrence_labels_processed, recurrence_summary,
         quality_findings, quality_report, spend_total, spend_by_currency_map, recurring_streams, recurring_streams_latest, recurring_streams_of_accounts, recurring_stream_summary, recurring_stream_warnings,
         explain_spend, explain_transactions, explain_recurring, transaction_flags, spend_flags, recurring_flags, vector_topk, vector_topk_of_many, retrieval_sweep, vector_mean, vector_covariance, store_projection, chunk_fixed_stride, chunk_recursive,
         lookup_records_json, lookup_warnings, spend_of_accounts_checked, answer_bands, norm_bundle, warnings_merged,
