@@ -49,6 +49,24 @@ def dataset_of_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _as_text(load(spark, "transactions", Source(root=root))).select(*COLUMNS_READ)
 
 
+def json_of_three_shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nations in JSON files of three shapes: a list of them, an object with rows under a key, and an object of its own each; regions decide which."""
+    root, n = _folder(spark), table(spark, sf_dir, "nation")
+    row = F.to_json(F.struct(F.col("n_nationkey").alias("id"), F.col("n_name").alias("name"), F.when(F.col("n_regionkey") == 1, F.col("n_nationkey") / 2).alias("half")))
+    listed = n.where("n_regionkey in (0, 1)").groupBy("n_regionkey").agg(F.concat_ws(",", F.collect_list(row)).alias("rows"))
+    shapes = {
+        "list": listed.where("n_regionkey = 0").select(F.concat(F.lit("[\n"), "rows", F.lit("\n]")).alias("value")),
+        "keyed": listed.where("n_regionkey = 1").select(F.concat(F.lit('{"total": 1, "items": ['), "rows", F.lit("]}")).alias("value")),
+        "single": n.where("n_regionkey > 1").repartition("n_nationkey").select(row.alias("value"), "n_nationkey"),
+    }
+    for name, df in shapes.items():
+        df.write.partitionBy(*df.columns[1:]).text(f"{root}/{name}")
+    paths = [f for name in shapes for f in spark.read.text(f"{root}/{name}").inputFiles()]
+    read = read_files(spark, paths, "json", options={"pathGlobFilter": "*.txt"})
+    shape = F.regexp_extract("_source_name", "/(list|keyed|single)/", 1)
+    return read.where("id is not null").select(shape.alias("shape"), F.col("id").cast("long").alias("id"), "name", F.col("half").cast("double").alias("half"))
+
+
 def documents_by_folder(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A text file for each nation below a folder for its region; every fifth is a placeholder."""
     root = _folder(spark)
@@ -72,4 +90,4 @@ def vector_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_store(spark, path).select("vec_id", F.size("embedding").alias("dimension"))
 
 
-QUERIES = {f.__name__: f for f in (files_of_three_formats, dataset_of_files, documents_by_folder, evaluation_cases, vector_store)}
+QUERIES = {f.__name__: f for f in (files_of_three_formats, dataset_of_files, json_of_three_shapes, documents_by_folder, evaluation_cases, vector_store)}

@@ -180,6 +180,35 @@ def _cases(docs: str = _DEALT) -> str:
 )"""
 
 
+def _recursive_chunks(size: int = 1000, overlap: int = 200) -> str:
+    """Texts are cut at paragraphs, lines and words, one level of tables for each; neighbouring short parts form a group, whose chunks follow from sums of lengths, one a step of the recursion."""
+    separators = ("chr(10) || chr(10)", "chr(10)", "' '")
+    at = "CASE " + " ".join(f"WHEN used <= {k} AND contains(t, {s}) THEN {k}" for k, s in enumerate(separators)) + f" ELSE {len(separators)} END"
+    sep = f"[{', '.join(separators)}][lvl + 1]"
+    levels, groups, stretches = ["n0 AS (SELECT doc_id, []::INT[] AS path, text AS t, 0 AS used FROM documents WHERE text <> '')"], [], []
+    for d in range(len(separators) + 1):
+        levels.append(f"x{d} AS (SELECT *, {at} AS lvl FROM n{d})")
+        levels.append(f"""p{d} AS (SELECT doc_id, path, lvl, unnest(list_filter(list_transform(string_split(t, {sep}), lambda x, i: CASE WHEN i = 1 THEN x ELSE {sep} || x END), lambda x: x <> '')) AS part,
+          generate_subscripts(list_filter(list_transform(string_split(t, {sep}), lambda x, i: CASE WHEN i = 1 THEN x ELSE {sep} || x END), lambda x: x <> ''), 1)::INT AS i FROM x{d} WHERE lvl < {len(separators)})""")
+        levels.append(f"q{d} AS (SELECT *, length(part) >= {size} AS long, count(*) FILTER (WHERE length(part) >= {size}) OVER (PARTITION BY doc_id, path ORDER BY i) AS g FROM p{d})")
+        levels.append(f"n{d + 1} AS (SELECT doc_id, list_append(path, i) AS path, part AS t, lvl + 1 AS used FROM q{d} WHERE long)")
+        groups.append(f"SELECT doc_id, list_append(path, min(i)) AS path, list(part ORDER BY i) AS parts FROM q{d} WHERE NOT long GROUP BY doc_id, path, g, path")
+        stretches.append(f"SELECT doc_id, list_append(path, k::INT) AS path, 0 AS n, substring(t, (k * {size - overlap} + 1)::INT, {size}) AS chunk FROM (SELECT doc_id, path, t, unnest(range(0, greatest(ceil((length(t) - {size}) / {size - overlap}.0), 0)::INT + 1)) AS k FROM x{d} WHERE lvl = {len(separators)})")
+    return f"""WITH RECURSIVE {", ".join(levels)},
+    g AS (SELECT *, row_number() OVER () AS gid, list_transform(parts, lambda x: length(x)) AS lens FROM ({" UNION ALL ".join(groups)})),
+    c AS (SELECT gid, list(total ORDER BY i) AS sums FROM (SELECT gid, i, sum(len) OVER (PARTITION BY gid ORDER BY i) AS total FROM (SELECT gid, unnest(lens) AS len, generate_subscripts(lens, 1) AS i FROM g)) GROUP BY gid),
+    r AS (
+      SELECT gid, 0 AS n, 1 AS s, len(list_filter(sums, lambda x: x <= {size})) AS e FROM c
+      UNION ALL
+      SELECT gid, n, s, len(list_filter(sums, lambda x: x <= CASE WHEN s = 1 THEN 0 ELSE sums[s - 1] END + {size})) FROM (
+        SELECT r.gid, r.n + 1 AS n, sums, greatest(r.s, CASE WHEN greatest(sums[r.e] - {overlap}, sums[r.e + 1] - {size}) <= 0 THEN 1 ELSE len(list_filter(sums, lambda x: x < greatest(sums[r.e] - {overlap}, sums[r.e + 1] - {size}))) + 2 END) AS s
+        FROM r JOIN c USING (gid) WHERE r.e < len(sums))
+    ),
+    k AS (SELECT doc_id, path, n, array_to_string(parts[s:e], '') AS chunk FROM r JOIN g USING (gid) UNION ALL {" UNION ALL ".join(stretches)}),
+    z AS (SELECT doc_id, path, n, regexp_replace(chunk, '^\\s+|\\s+$', '', 'g') AS chunk FROM k)
+    SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY path, n) - 1)::INT AS chunk_id, chunk FROM z WHERE chunk <> ''"""
+
+
 def _band(x: str, metric: str) -> str:
     green, orange = fixed.BANDS[metric]
     return f"CASE WHEN {x} >= {green} THEN 'green' WHEN {x} >= {orange} THEN 'orange' ELSE 'red' END"
@@ -278,6 +307,7 @@ ORACLE_SQL = {
       SELECT a.i::INT AS i, b.i::INT AS j, round(sum(a.c * b.c) / count(*), 8) AS covariance FROM c a JOIN c b ON a.vec_id = b.vec_id AND a.i <= b.i GROUP BY ALL""",
     "chunk_fixed_stride": """SELECT doc_id, chunk_id::INT AS chunk_id, substring(text, (chunk_id * 800 + 1)::INT, 1000) AS chunk FROM (
       SELECT doc_id, text, unnest(range(0, greatest(ceil((length(text) - 1000) / 800.0), 0)::INT + 1)) AS chunk_id FROM documents WHERE length(text) > 0)""",
+    "chunk_recursive": _recursive_chunks(),
     "combined_question": """WITH u AS (SELECT conv_id, list(coalesce(text, '') ORDER BY turn, text) AS t FROM conversations WHERE role = 'user' GROUP BY 1)
       SELECT conv_id, array_to_string(t[1:len(t) - 1], chr(10)) || chr(10) || t[len(t)] AS question FROM u""",
     "context_assembly": f"SELECT conv_id, coalesce(string_agg(text, chr(10) || chr(10) ORDER BY turn, text) FILTER (WHERE {_STRIPPED}), 'No relevant context found.') AS context FROM conversations GROUP BY 1",
@@ -286,6 +316,7 @@ ORACLE_SQL = {
     "store_profile": "SELECT count(*) AS n, max(len(embedding))::INT AS dimension FROM embeddings",
     "files_of_three_formats": _FILES,
     "dataset_of_files": _FILES,
+    "json_of_three_shapes": "SELECT CASE n_regionkey WHEN 0 THEN 'list' WHEN 1 THEN 'keyed' ELSE 'single' END AS shape, n_nationkey::BIGINT AS id, n_name AS name, CASE WHEN n_regionkey = 1 THEN n_nationkey / 2 END AS half FROM nation",
     "documents_by_folder": "SELECT lower(n_name) || chr(10) AS text, 'region=' || n_regionkey AS doc_type FROM nation WHERE n_nationkey % 5 <> 0",
     "evaluation_cases": "SELECT text AS question, array_to_string(string_split(text, ' '), ',') AS keywords, item_id::VARCHAR AS reference_answer, 'item' AS category FROM benchmark",
     "vector_store": "SELECT vec_id, len(embedding)::INT AS dimension FROM embeddings",

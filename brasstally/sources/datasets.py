@@ -15,6 +15,8 @@ from brasstally.errors import ConfigError, IngestError
 from brasstally.functions import fixed, money
 
 FORMATS = ("csv", "json", "jsonl", "xlsx", "xls", "parquet")
+#: Bad lines that an error names.
+SHOWN = 5
 # Keys of a JSON object that may hold its rows, first match first.
 ROW_KEYS = ("data", "items", "records", "rows", "transactions", "accounts")
 # Readings of dates besides the engine's own, first match first.
@@ -128,7 +130,8 @@ def _place(start: Column) -> Column:
 def _json(spark: SparkSession, paths: list[str], options: dict[str, str]) -> DataFrame:
     """Files with a list of objects, an object with rows under one of ROW_KEYS, or one object.
 
-    A file that goes on after its first value (JSON Lines under a wrong name) is an error, as the reader would leave out the rest in silence.
+    A file that goes on after its first value (JSON Lines under a wrong name) is an error, as the reader would leave out the rest in silence. All shapes are
+    brought into one list of rows by an expression, so the rows are read in a single pass.
     """
     whole = spark.read.options(**options).text(paths, wholetext=True).select("value", F.col("_metadata.file_path").alias("path"))
     first, rest = F.regexp_extract("value", r"\A\s*+(\S[^\r\n]*+)", 1), F.regexp_extract("value", r"\A\s*+\S[^\r\n]*+\s*+(\S)", 1)
@@ -136,19 +139,48 @@ def _json(spark: SparkSession, paths: list[str], options: dict[str, str]) -> Dat
         raise IngestError(f"not one JSON value but lines of them: {[r['path'] for r in several]}")
     df = spark.read.options(**options).json(paths, multiLine=True, mode="FAILFAST")
     types = {f.name: f.dataType for f in df.schema.fields}
-    nested = [k for k in ROW_KEYS if isinstance(types.get(k), T.ArrayType) and isinstance(types[k].elementType, T.StructType)]
-    if not nested:
+    listed = [k for k in ROW_KEYS if isinstance(types.get(k), T.ArrayType)]
+    if not listed:
         return _named(df)
-    named = df.select("*", F.col("_metadata.file_path").alias("_source_name"))
-    parts, before = [], F.lit(True)
-    for k in nested:
-        rows = named.where(before & F.col(k).isNotNull()).select("_source_name", F.explode(k).alias("r")).select("r.*", "_source_name")
-        parts.append(rows)
-        before = before & F.col(k).isNull()
-    flat = [c for c in df.columns if c not in nested]
-    if flat:
-        parts.append(named.where(before).select(*flat, "_source_name"))
-    return union_by_name(parts).select("*", _place(F.lit(0)))
+    nested = [k for k in listed if isinstance(types[k].elementType, T.StructType)]
+    # rows under a key and rows of their own become structs of all columns, those that are missing null; a column of two types is text
+    own = {c: types[c] for c in df.columns if c not in nested}
+    shapes = [{f.name: f.dataType for f in types[k].elementType.fields} for k in nested] + [own] * bool(own)
+    names = list(dict.fromkeys(c for shape in shapes for c in shape))
+    kinds = {c: found.pop() if len(found := {shape[c] for shape in shapes if c in shape}) == 1 else T.StringType() for c in names}
+    row = lambda shape, get: F.struct(*((get(c) if c in shape else F.lit(None)).cast(kinds[c]).alias(c) for c in names))
+    made = lambda k, shape: F.transform(k, lambda r: row(shape, lambda c: r[c]))
+    none = F.slice(F.array(row({}, None)), 1, 0)
+    rows = F.when(F.lit(False), none)
+    for k in listed:
+        # an empty list has no rows, whatever its type; a list of plain values is a column
+        rows = rows.when(F.col(k).isNotNull(), made(k, shapes[nested.index(k)])) if k in nested else rows.when(F.size(k) == 0, none)
+    if own:
+        rows = rows.otherwise(F.array(row(own, F.col)))
+    return df.select(F.explode(rows).alias("r"), F.col("_metadata.file_path").alias("_source_name")).select("r.*", "_source_name").select("*", _place(F.lit(0)))
+
+
+def bad_lines(spark: SparkSession, paths: list[str], options: dict[str, str]) -> DataFrame:
+    """path, line (from 1) and content of the lines that aren't JSON objects; blank ones don't count.
+
+    A file may be split among tasks. Within a split rows are numbered as they are read, and splits before it add their lines, so a line's number needs no file in one place."""
+    lines = spark.read.options(**options).text(paths).select("value", F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("id"))
+    before = Window.partitionBy("path").orderBy("start").rowsBetween(Window.unboundedPreceding, -1)
+    splits = lines.groupBy("path", "start").agg(F.min("id").alias("first"), F.count("*").alias("n")).withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0)))
+    whole = F.coalesce(F.schema_of_variant(F.try_parse_json("value")).startswith("OBJECT"), F.lit(False))
+    bad = lines.where((F.trim("value") != "") & ~whole)
+    return bad.join(splits, ["path", "start"]).select("path", (F.col("before") + F.col("id") - F.col("first") + 1).alias("line"), F.col("value").alias("content"))
+
+
+def _json_lines(spark: SparkSession, paths: list[str], options: dict[str, str]) -> DataFrame:
+    """One object a line. A bad line is an error that names file and line; only then are lines looked at one by one."""
+    try:
+        return _named(spark.read.options(**options).json(paths, mode="FAILFAST"))
+    except Exception as e:  # the reader has errors of several kinds
+        found = bad_lines(spark, paths, options).orderBy("path", "line").limit(SHOWN).collect()
+        if not found:
+            raise
+        raise IngestError("lines that aren't JSON objects: " + "; ".join(f"{r['path']}, line {r['line']}: {r['content'][:80]}" for r in found)) from e
 
 
 def _excel(spark: SparkSession, paths: list[str]) -> DataFrame:
@@ -191,7 +223,7 @@ def read_files(spark: SparkSession, paths: str | list[str], fmt: str, recursive:
     if fmt == "csv":
         return _named(spark.read.options(**opts).csv(paths, header=True, inferSchema=False, encoding="UTF-8", escape='"', multiLine=str(opts.get("multiLine", "true")).lower() == "true"))
     if fmt == "jsonl":
-        return _named(spark.read.options(**opts).json(paths, mode="FAILFAST"))
+        return _json_lines(spark, paths, opts)
     if fmt == "json":
         return _json(spark, paths, opts)
     if fmt == "parquet":

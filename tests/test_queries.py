@@ -51,8 +51,8 @@ def test_same_as_sql(spark, duck, name):
 def test_registry(spark):
     assert set(entry.oracle_sql()) <= set(entry.queries())
     assert entry.entry(spark).count() > 0
-    assert set(analytics.QUERIES) - set(analytics.ORACLE_SQL) == {"chunk_recursive", "store_projection"}
-    assert analytics.QUERIES["chunk_recursive"](spark, DATA).count() > 0
+    assert set(analytics.QUERIES) - set(analytics.ORACLE_SQL) == {"store_projection"}
+    assert analytics.QUERIES["store_projection"](spark, DATA).count() > 0
 
 
 def test_streams(spark, tmp_path):
