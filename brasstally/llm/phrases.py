@@ -24,7 +24,7 @@ from brasstally.llm.common import cut
 
 LONGEST, MIN_COUNT, SUBSUMED, RANKS = 3, 10, 50, 2_000
 #: Entries of a task's tries, of a container before it bursts, words of a task's dictionaries, tokens of a slice, entries of a run's row.
-HELD, BURST, WORDS, SLICE, RUN_ROWS = 800_000, 4_096, 400_000, 131_072, 65_536
+HELD, BURST, WORDS, SLICE, RUN_ROWS = 800_000, 16_384, 400_000, 131_072, 65_536
 #: Bytes of text for each prefix partition, the least number of them, and bits of first words that share a container.
 PART_BYTES, LEAST_PARTS, SHARED_BITS = 8_000_000, 32, 6
 SPREAD = 64
@@ -111,9 +111,10 @@ class PhraseTrie:
             else:
                 if held is None:
                     held = node[at] = {}
-                before, get = len(held), held.get
-                for key, n in zip(keys[start:end].tolist(), counts[start:end].tolist(), strict=True):
-                    held[key] = get(key, 0) + n
+                before, more = len(held), dict(zip(keys[start:end].tolist(), counts[start:end].tolist(), strict=True))
+                for key in held.keys() & more.keys():
+                    more[key] += held[key]
+                held.update(more)
                 self.size += len(held) - before
                 if len(held) > BURST and depth + 1 < len(self.shifts):
                     node[at] = burst(held, self.shifts[depth + 1])
@@ -139,14 +140,18 @@ class PhraseTrie:
         used = np.unique(np.concatenate(ids))
         words = pa.array([self.ids.words[x] if x else None for x in used.tolist()], pa.string())
         hashes = np.array([self.ids.hashes[x] for x in used.tolist()], np.uint64)
-        ids = [np.searchsorted(used, x) for x in ids]
+        place = np.zeros(len(self.ids.words), np.int64)
+        place[used] = np.arange(len(used))
+        ids = [place[x] for x in ids]
         rank = np.empty(len(used), np.int64)
         rank[pc.sort_indices(words, null_placement="at_start").to_numpy()] = np.arange(len(used))
         part = hashes[ids[0]] * np.uint64(0x9E3779B97F4A7C15)
         for k, word in enumerate(ids[1:]):
             part = part + (hashes[word] * np.uint64(0xC2B2AE3D27D4EB4F) if not k else hashes[word] % np.uint64(SPREAD) << np.uint64(32))
         part = ((part >> np.uint64(32)) % np.uint64(parts)).astype(np.int64)
-        order = np.lexsort((*(rank[x] for x in reversed(ids)), part))
+        sort_key = sum(rank[x] << self.bits * (self.longest - 1 - k) for k, x in enumerate(ids))
+        order = np.argsort(sort_key)
+        order = order[np.argsort(part[order].astype(np.uint16 if parts < 1 << 16 else np.int64), kind="stable")]
         phrase = pc.binary_join_element_wise(*(words.take(pa.array(x[order])) for x in ids), " ", null_handling="skip")
         run, part = pa.RecordBatch.from_arrays([phrase, pa.array(counts[order])], schema=_RUN), part[order]
         start = 0
