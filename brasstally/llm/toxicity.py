@@ -5,7 +5,7 @@ letters of other scripts become Latin ones and, inside words, digits and symbols
 The lexicon's terms are words and beginnings of words (insults are inflected); their weights are smoothed log odds of a term's
 document frequency in toxic and other labelled documents. An occurrence inside an exception phrase does not count; besides a few given
 ones, these are pairs of words with a term that labelled documents which aren't toxic hold much oftener than toxic ones. The summed
-weights, normalised by the text's length (texts of fewer than SHORT words count as so long), go through a logistic curve fitted on the same rows.
+weights and the number of distinct ones, both normalised by the text's length (texts of fewer than SHORT words count as so long), go through a logistic curve fitted on the same rows.
 """
 
 from __future__ import annotations
@@ -86,11 +86,11 @@ def fold(text: str) -> str:
 
 @dataclass(frozen=True)
 class Lexicon:
-    """Weights of folded terms (``word``, or ``stem*`` for all words with that beginning), exception phrases, learned ones (folded) and the logistic curve (intercept and three slopes)."""
+    """Weights of folded terms (``word``, or ``stem*`` for all words with that beginning), exception phrases, learned ones (folded) and the logistic curve (intercept and two slopes)."""
 
     weights: dict[str, float]
     exceptions: tuple[str, ...] = EXCEPTIONS
-    curve: tuple[float, float, float, float] = (-4.0, 1.0, 1.0, 0.0)
+    curve: tuple[float, float, float] = (-4.0, 1.0, 0.0)
     learned: tuple[str, ...] = ()
     _built: list = field(default_factory=list, init=False, compare=False, repr=False)
 
@@ -122,14 +122,14 @@ class Lexicon:
             best[start] = max(weight, best.get(start, weight))
         return list(best.values())
 
-    def features(self, text: str) -> tuple[float, float, float]:
-        """Summed weights, summed weights for each hundred words, both dampened, and distinct weights."""
+    def features(self, text: str) -> tuple[float, float]:
+        """Summed weights and distinct weights for each hundred words, dampened."""
         folded = fold(text)
         found = self.hits(folded)
         if not found:
-            return 0.0, 0.0, 0.0
-        total, words = sum(found), folded.count(" ") - 1
-        return math.log1p(total), math.log1p(100 * total / max(words, SHORT)), math.log1p(len(set(found)))
+            return 0.0, 0.0
+        words = max(folded.count(" ") - 1, SHORT)
+        return math.log1p(100 * sum(found) / words), math.log1p(100 * len(set(found)) / words)
 
     def score(self, text: str) -> float:
         z = self.curve[0] + sum(a * b for a, b in zip(self.curve[1:], self.features(text), strict=True))
@@ -234,10 +234,10 @@ def fit(sample: DataFrame, min_docs: int = 4, min_log_odds: float = 1.0, errors:
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = [lexicon.features(t) for t in batch["text"].to_pylist()]
-            yield pa.RecordBatch.from_arrays([*(pa.array([r[i] for r in rows], pa.float64()) for i in range(3)), batch["label"]], names=["a", "b", "c", "label"])
+            yield pa.RecordBatch.from_arrays([*(pa.array([r[i] for r in rows], pa.float64()) for i in range(2)), batch["label"]], names=["a", "b", "label"])
 
-    m = sample.mapInArrow(measure, "a double, b double, c double, label int").toPandas()
-    return replace(lexicon, curve=fit_curve(m[["a", "b", "c"]].to_numpy(), m["label"].to_numpy(float)))
+    m = sample.mapInArrow(measure, "a double, b double, label int").toPandas()
+    return replace(lexicon, curve=fit_curve(m[["a", "b"]].to_numpy(), m["label"].to_numpy(float)))
 
 
 def score(docs: DataFrame, lexicon: Lexicon, threshold: float = 0.3) -> DataFrame:

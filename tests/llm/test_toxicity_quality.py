@@ -18,7 +18,7 @@ def test_fold():
 
 
 def test_exceptions_and_length():
-    lexicon = Lexicon({fold(w).strip(): 3.0 for w in ("clown", "trash")}, curve=(-4.0, 1.0, 1.0, 1.0))
+    lexicon = Lexicon({fold(w).strip(): 3.0 for w in ("clown", "trash")}, curve=(-4.0, 1.0, 1.0))
     assert lexicon.hits(fold("a clown fish in the trash can")) == []
     assert lexicon.hits(fold("a clown, trash clown")) == [3.0, 3.0, 3.0]
     assert lexicon.hits(fold("clowns trashy")) == []
