@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from brasstally.llm.common import key_crc32, labelled_sample, widened
+from brasstally.operators.vectors import best
 
 #: Labelled rows that the space is fitted on and whose vectors are broadcast, at most.
 MAX_TRAINING_ROWS = 5_000
@@ -37,6 +38,8 @@ RUNS = 8
 #: Documents compared at once with all labelled vectors.
 BLOCK = 256
 _CACHE = 200_000
+#: Bits below one of rows, of the projection and of vectors: a sum of products of two of them needs twice as many and a few for its size, of the 53 that a double has.
+ROW_BITS, VECTOR_BITS = 22, 24
 
 
 def shape(word: str) -> str:
@@ -97,12 +100,20 @@ class _Ids(dict):
 
 
 def _unit(m: np.ndarray) -> np.ndarray:
-    return m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-12)
+    return m / np.maximum(np.sqrt((m * m).sum(axis=1, keepdims=True)), 1e-12)
+
+
+def _grid(m: np.ndarray, bits: int) -> np.ndarray:
+    """Rounded to multiples of 2^-bits. Sums of products of such numbers are whole multiples that fit into a double, so they are exact in any order, batch or block."""
+    return np.round(np.ldexp(m, bits)) * 2.0**-bits
 
 
 @dataclass(frozen=True)
 class Space:
-    """Vocabulary with idf, projection, and the labelled vectors (unit length) with their labels."""
+    """Vocabulary with idf, projection, and the labelled vectors (unit length) with their labels.
+
+    Rows and projection lie on a grid of 2^-ROW_BITS and vectors on one of 2^-VECTOR_BITS, so products are exact: equal texts have equal scores, whatever they are computed with.
+    """
 
     vocabulary: dict[str, int]
     idf: np.ndarray
@@ -116,7 +127,7 @@ class Space:
     def counts(self, texts: list[str], ids: _Ids) -> np.ndarray:
         """How often the terms of each column occur."""
         n = len(self.vocabulary) + SHARED
-        counts = np.zeros((len(texts), n), np.float32)
+        counts = np.zeros((len(texts), n))
         for i, text in enumerate(texts):
             words = split(text)
             if not words:
@@ -131,22 +142,21 @@ class Space:
 
     def weighted(self, texts: list[str], ids: _Ids) -> np.ndarray:
         """tf-idf rows of unit length, or zero for an empty text."""
-        return _unit(np.log1p(self.counts(texts, ids)) * self.idf)
+        return _grid(_unit(np.log1p(self.counts(texts, ids)) * self.idf), ROW_BITS)
 
     def vectorise(self, texts: list[str], ids: _Ids | None = None) -> np.ndarray:
-        return _unit(self.weighted(texts, _Ids(self.vocabulary) if ids is None else ids) @ self.projection)
+        return _grid(_unit(self.weighted(texts, _Ids(self.vocabulary) if ids is None else ids) @ self.projection), VECTOR_BITS)
 
     def vote(self, vectors: np.ndarray) -> np.ndarray:
-        """Labels of the nearest vectors, weighted by similarity; the sample's mean label where none is similar.
+        """Labels of the nearest vectors by exact cosines, weighted by similarity; the sample's mean label where none is similar. Of equal cosines the earlier labelled row counts.
 
         Where ``balanced``, a vote counts in inverse proportion to its label's share of the sample, so that a rare label isn't outvoted for its rarity.
         """
         k = min(self.neighbours, len(self.labels))
         if not k:
             return np.full(len(vectors), self.prior)
-        cos = vectors @ self.vectors.T
-        near = np.argpartition(-cos, k - 1, axis=1)[:, :k]
-        weight = np.maximum(np.take_along_axis(cos, near, axis=1).astype(np.float64), 0) ** 4
+        cos, near = best(vectors @ self.vectors.T, np.arange(len(self.labels)), k)
+        weight = np.maximum(cos, 0) ** 4
         if self.balanced and 0 < self.prior < 1:
             weight *= np.where(self.labels[near] > 0.5, 0.5 / self.prior, 0.5 / (1 - self.prior))
         small = 1e-3
@@ -191,29 +201,29 @@ def fit(sample: DataFrame, max_terms: int = MAX_TERMS, dimensions: int = DIMENSI
     known = np.zeros(v)
     for r in sample.select("text").mapInArrow(columns, "column long, n long").groupBy("column").agg(F.sum("n").alias("n")).collect():
         known[r["column"]] = r["n"]
-    raw = replace(raw, idf=(np.log((1 + n) / (1 + known)) + 0.1).astype(np.float32))
+    raw = replace(raw, idf=np.log((1 + n) / (1 + known)) + 0.1)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids = _Ids(vocabulary)
         for batch in batches:
             for at in range(0, batch.num_rows, BLOCK):
                 part = batch.slice(at, BLOCK)
-                m = raw.weighted(part["text"].to_pylist(), ids).astype(np.float16)
+                m = raw.weighted(part["text"].to_pylist(), ids).astype(np.float32)  # the grid's numbers fit
                 yield pa.RecordBatch.from_arrays([pa.array([r.tobytes() for r in m], pa.binary()), part["label"]], names=["row", "label"])
 
-    # MAX_TRAINING_ROWS x (MAX_TERMS + SHARED) numbers of two bytes; sorted, so that tasks' order doesn't matter
+    # MAX_TRAINING_ROWS x (MAX_TERMS + SHARED) numbers of four bytes; sorted, so that tasks' order doesn't matter
     got = sorted((bytes(r["row"]), r["label"]) for r in sample.mapInArrow(rows, "row binary, label int").toLocalIterator())
-    x = np.frombuffer(b"".join(r for r, _ in got), np.float16).reshape(len(got), v)
+    x = np.frombuffer(b"".join(r for r, _ in got), np.float32).reshape(len(got), v)
     labels = np.array([label for _, label in got], float)
     del got
     gram = np.zeros((v, v), np.float32)
     for at in range(0, len(x), BLOCK):
-        part = x[at : at + BLOCK].astype(np.float32)
+        part = x[at : at + BLOCK]
         gram += part.T @ part
     vectors = np.linalg.eigh(gram)[1]
-    lead = np.ascontiguousarray(vectors[:, ::-1][:, : min(dimensions, v)])
-    own = np.concatenate([x[at : at + BLOCK].astype(np.float32) @ lead for at in range(0, len(x), BLOCK)])
-    return Space(vocabulary, raw.idf, lead, _unit(own), labels, float(labels.mean()), balanced=True)
+    lead = _grid(np.ascontiguousarray(vectors[:, ::-1][:, : min(dimensions, v)]).astype(np.float64), ROW_BITS)
+    own = np.concatenate([x[at : at + BLOCK].astype(np.float64) @ lead for at in range(0, len(x), BLOCK)])
+    return Space(vocabulary, raw.idf, lead, _grid(_unit(own), VECTOR_BITS), labels, float(labels.mean()), balanced=True)
 
 
 def score(docs: DataFrame, space: Space, threshold: float = 0.3) -> DataFrame:
