@@ -1,6 +1,6 @@
 """Order MinHash fingerprints (after Marcais et al., 2019), as DataFrame expressions only.
 
-A text's k-mers are its runs of ``K`` words, each numbered by its earlier occurrences. A hash of
+A text's k-mers are its runs of ``K`` words (a word of more than LONG characters is cut into pieces, so that texts without white space have k-mers, too), each numbered by its earlier occurrences. A hash of
 k-mer and number deals them into ``SKETCHES`` bins (first occurrences: of the k-mer alone); in each bin the ``TUPLE`` smallest are selected, put back into
 text order and hashed together. A bin that has too few goes on with the next ones. So a sketch changes when
 its k-mers change and also when they change places, and the share of equal sketches
@@ -18,7 +18,10 @@ TUPLE = 2
 _BIN_BITS = 6
 _HEX = 6
 _LOW = (1 << 31) - 1
-_WHITE = " \t\n\x0b\x0c\r"
+#: A word of more characters (of a script without white space, or an encoding) counts as pieces of so many.
+LONG, PIECE = 32, 16
+_SIGN = r"[^\x20\x09-\x0D]"
+_WORDS = rf"(?<!{_SIGN}){_SIGN}{{1,{LONG}}}(?!{_SIGN})|{_SIGN}{{1,{PIECE}}}"
 
 
 def _hash(x: Column) -> Column:
@@ -26,8 +29,9 @@ def _hash(x: Column) -> Column:
 
 
 def _words(text: Column) -> Column:
-    """Words between white space; an empty text has one empty word."""
-    return F.split(F.btrim(F.coalesce(text, F.lit("")), F.lit(_WHITE)), r"[\x20\x09-\x0D]+")
+    """Words between white space, longer ones than LONG in pieces of PIECE characters; an empty text has one empty word."""
+    found = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(_WORDS), F.lit(0))
+    return F.when(F.size(found) == 0, F.array(F.lit(""))).otherwise(found)
 
 
 def with_sketches(df: DataFrame, text: str, out: str, k: int = K) -> DataFrame:
