@@ -167,13 +167,20 @@ def pack(docs: DataFrame, capacity: int = CAPACITY) -> DataFrame:
 
 
 def _along(found: DataFrame) -> DataFrame:
-    """``found`` with _at, the tokens before a piece in the order of (_file, _row, piece); no window holds more than a file."""
-    sums = found.groupBy("_file").agg(F.sum("length").alias("_sum"))
-    # a row for each file; a longer name has the larger number
-    files = Window.orderBy(F.length("_file"), "_file").rowsBetween(Window.unboundedPreceding, -1)
-    base = sums.select("_file", F.coalesce(F.sum("_sum").over(files), F.lit(0)).alias("_base"))
-    running = Window.partitionBy("_file").orderBy("_row", "piece").rowsBetween(Window.unboundedPreceding, -1)
-    return found.withColumn("_at", F.coalesce(F.sum("length").over(running), F.lit(0))).join(F.broadcast(base), "_file").withColumn("_at", F.col("_at") + F.col("_base")).drop("_file", "_row", "_base")
+    """``found`` with _at, the tokens before a piece in the order of (_file, _row, piece).
+
+    Sums are taken within blocks of BUCKET_ROWS rows, over the blocks of a file and over files, so no window holds a file; only the last one sees a row for each file.
+    """
+    found = found.withColumn("_block", F.floor(F.col("_row") / BUCKET_ROWS))
+    before = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
+    sums = found.groupBy("_file", "_block").agg(F.sum("length").alias("_sum"))
+    # a longer name has the larger number
+    files = before(Window.orderBy(F.length("_file"), "_file"))
+    whole = sums.groupBy("_file").agg(F.sum("_sum").alias("_all")).select("_file", F.coalesce(F.sum("_all").over(files), F.lit(0)).alias("_base"))
+    blocks = sums.withColumn("_before", F.coalesce(F.sum("_sum").over(before(Window.partitionBy("_file").orderBy("_block"))), F.lit(0))).join(whole, "_file")
+    running = before(Window.partitionBy("_file", "_block").orderBy("_row", "piece"))
+    placed = found.withColumn("_at", F.coalesce(F.sum("length").over(running), F.lit(0))).join(blocks.select("_file", "_block", "_before", "_base"), ["_file", "_block"])
+    return placed.withColumn("_at", F.col("_at") + F.col("_before") + F.col("_base")).drop("_file", "_row", "_block", "_before", "_base")
 
 
 def pack_in_order(docs: DataFrame, capacity: int = CAPACITY, parts: int = PARTS, part_sequences: int = PART_SEQUENCES) -> DataFrame:

@@ -56,3 +56,31 @@ def test_names_that_only_begin_like_others_stay(name):
 def test_details_of_others_go(name):
     text = extraction.main_text(f"<article><p>{LONG}</p><div class='{name}'><p>{LONG}</p></div><p>{LONG}</p></article>")
     assert text.count("A long paragraph") == 6
+
+
+def test_texts_without_white_space_have_k_mers(spark):
+    from brasstally.llm import fingerprints
+
+    r = random.Random(3)
+    signs = [chr(0x4E00 + i) for i in range(3000)]
+    plain = lambda n: "".join(r.choices(signs, k=n))
+    spaced = lambda n: " ".join("".join(r.choices("abcdefgh", k=5)) for _ in range(n))
+    for make, size in ((plain, 4000), (spaced, 300)):
+        rows = [(i, make(size)) for i in range(12)]
+        got = fingerprints.edited(spark.createDataFrame(rows, "doc_id long, text string"), 4).collect()
+        near = sorted(x["near_edited"] for x in got)
+        assert 0.05 < near[len(near) // 2] < 0.4 and max(x["near_next"] for x in got) < 0.05
+    words = spark.createDataFrame([("a  bb\t" + "c" * 32 + " " + "d" * 33 + "\n\U0001f600",), ("",), (" \n",), (None,)], "text string").select(fingerprints._words(fingerprints.F.col("text"))).collect()
+    assert [x[0] for x in words] == [["a", "bb", "c" * 32, "d" * 16, "d" * 16, "d", "\U0001f600"], [""], [""], [""]]
+
+
+def test_positions_over_files_and_blocks(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(packing, "BUCKET_ROWS", 4)
+    r = random.Random(8)
+    rows = [(f"part-{f:0{1 + f % 2}}", row, piece, r.randint(1, 9)) for f in range(7) for row in range(r.randint(1, 30)) for piece in range(r.randint(1, 3))]
+    df = spark.createDataFrame(rows, "_file string, _row long, piece int, length long").withColumn("own", packing.F.struct("_file", "_row", "piece")).repartition(4)
+    got = {tuple(x["own"]): x["_at"] for x in packing._along(df).collect()}
+    at = 0
+    for file, row, piece, length in sorted(rows, key=lambda x: (len(x[0]), x[0], x[1], x[2])):
+        assert got[file, row, piece] == at
+        at += length
