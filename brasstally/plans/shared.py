@@ -15,7 +15,7 @@ def folder(spark: SparkSession) -> str:
     sc = spark.sparkContext
     found = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if found is None:
-        if not (sc.master or "").startswith("local["):
+        if (sc.master or "").partition("[")[0] != "local":
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         found = tempfile.mkdtemp(prefix="brasstally-checkpoint-")
     if sc.getCheckpointDir() is None:

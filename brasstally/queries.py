@@ -322,6 +322,13 @@ def corpus_size(spark, sf_dir):
     return retrieval.corpus_size(table(spark, sf_dir, "documents"))
 
 
+def corpus_tokens(spark, sf_dir):
+    """Documents and tokens by a public tokenizer's file."""
+    import public_tokenizers
+
+    return retrieval.token_count(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 def kind_histogram(spark, sf_dir):
     return retrieval.kind_histogram(table(spark, sf_dir, "documents"), "lang")
 
@@ -407,7 +414,7 @@ QUERIES: dict[str, Query] = {
         explain_spend, explain_transactions, explain_recurring, transaction_flags, spend_flags, recurring_flags, vector_topk, vector_topk_of_many, retrieval_sweep, vector_mean, vector_covariance, store_projection, chunk_fixed_stride, chunk_recursive,
         lookup_records_json, lookup_warnings, spend_of_accounts_checked, answer_bands, norm_bundle, warnings_merged,
         lookup_by_id_table, spend_of_account_table, explanation_of_spend, explanation_of_transactions, explanation_of_recurring,
-        combined_question, context_assembly, corpus_size, kind_histogram, store_profile, retrieval_metrics, retrieval_bands,
+        combined_question, context_assembly, corpus_size, corpus_tokens, kind_histogram, store_profile, retrieval_metrics, retrieval_bands,
     )
 }
 QUERIES |= file_queries.QUERIES

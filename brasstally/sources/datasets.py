@@ -245,23 +245,48 @@ def _glob(*formats: str) -> str:
     return "*.{" + ",".join(any_case) + "}"
 
 
+def file_table(spark: SparkSession, path: str, recursive: bool = True, formats: tuple[str, ...] = FORMATS) -> DataFrame:
+    """path, format, bytes and changed of the supported files below a folder, as a table; no content is read.
+
+    A file's format is its extension in lower case; files in a folder that is named as a JSON Lines file are of that format (column ``by_folder``)."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower()).option("pathGlobFilter", _glob(*formats)).load(path)
+    low = F.split(F.lower("path"), "/")
+    by_folder = F.element_at(low, -2).endswith(".jsonl")
+    kind = F.when(by_folder, "jsonl").otherwise(F.element_at(F.split(F.element_at(low, -1), r"\."), -1))
+    return files.select("path", kind.alias("format"), F.col("length").alias("bytes"), F.col("modificationTime").alias("changed"), by_folder.alias("by_folder"))
+
+
+#: The order of files: whose row of a repeated key stays, and which is the first.
+FILE_ORDER = (F.lower, F.col)
+
+
 def list_files(spark: SparkSession, path: str, recursive: bool = True, formats: tuple[str, ...] = FORMATS) -> list[str]:
     """Paths of the supported files below a folder, by lower-case path, through the file system that the path names."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower()).option("pathGlobFilter", _glob(*formats)).load(path)
-    return sorted(files.inputFiles(), key=str.lower)
+    return [r["path"] for r in file_table(spark, path, recursive, formats).select("path").orderBy(*(f("path") for f in FILE_ORDER)).collect()]
 
 
 def load(spark: SparkSession, dataset: Dataset | str, source: Source) -> DataFrame:
-    """One dataset, canonical: renamed, coerced, checked and without repeated keys (the first in the order of files stays)."""
+    """One dataset, canonical: renamed, coerced, checked and without repeated keys (the first in the order of files stays).
+
+    Files are counted by format, and each format is read from the folder by its extension, so no list of paths comes here; only where JSON Lines
+    stand in folders named so, which no extension tells from JSON, the paths of these two formats do.
+    """
     spec = DATASETS[dataset] if isinstance(dataset, str) else dataset
-    files = list_files(spark, source.path(spec.name), spec.recursive)
-    if not files:
-        raise IngestError(f"{source.path(spec.name)} holds no file of a known format")
-    files = files if spec.multi_file else files[:1]
-    by_format = {f: [p for p in files if _format(p) == f] for f in FORMATS}
-    frames = [coerce(with_headers(read_files(spark, paths, f, spec.recursive, source.options)), spec) for f, paths in by_format.items() if paths]
+    folder = source.path(spec.name)
+    files = file_table(spark, folder, spec.recursive)
+    if not spec.multi_file:
+        files = files.orderBy(*(f("path") for f in FILE_ORDER)).limit(1)
+    found = {r["format"]: r["by_folder"] for r in files.groupBy("format").agg(F.max("by_folder").alias("by_folder")).collect()}
+    if not found:
+        raise IngestError(f"{folder} holds no file of a known format")
+
+    def paths(fmt: str) -> str | list[str]:
+        listed = not spec.multi_file or any(found.values()) and fmt in ("json", "jsonl")
+        return [r["path"] for r in files.where(F.col("format") == fmt).select("path").collect()] if listed else folder
+
+    frames = [coerce(with_headers(read_files(spark, paths(f), f, spec.recursive, source.options)), spec) for f in FORMATS if f in found]
     df = check_required(union_by_name(frames), spec)
-    return keep_first(df, spec.key, [F.lower("_source_name"), "_source_name", "_ord"])
+    return keep_first(df, spec.key, [*(f("_source_name") for f in FILE_ORDER), "_ord"])
 
 
 def load_bundle(spark: SparkSession, source: Source, strict: bool = True) -> tuple[dict[str, DataFrame], dict[str, str]]:

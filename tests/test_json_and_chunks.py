@@ -67,3 +67,26 @@ def test_recursive_chunks_and_their_sql(spark):
         assert ours == theirs
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     assert sorted(tuple(x) for x in retrieval.chunk_recursively(df, 20, 5).collect()) == sorted((i, k, c) for i, t in enumerate(texts) for k, c in enumerate(retrieval.split_recursively(t, 20, 5)))
+
+
+def test_files_as_a_table(spark, tmp_path):
+    root = tmp_path / "transactions"
+    (root / "sub" / "b.jsonl").mkdir(parents=True)
+    head = "transaction_id,account_id,amount,currency,timestamp\n"
+    (root / "Z.CSV").write_text(head + "1,a,1.0,GHS,2026-01-01\n")
+    (root / "a.csv").write_text(head + "1,first,2.0,GHS,2026-01-01\n2,b,1,GHS,2026-01-02\n")
+    line = json.dumps({"transaction_id": "3", "account_id": "c", "amount": 1, "currency": "GHS", "timestamp": "2026-01-03"})
+    (root / "sub" / "b.jsonl" / "part-0.json").write_text(line + "\n" + line.replace('"3"', '"1"') + "\n")
+    (root / "sub" / "c.json").write_text(f"[{line.replace('3', '4', 1)}]")
+    (root / "notes.txt").write_text("no data")
+    files = {r["path"].rsplit("/", 1)[1]: (r["format"], r["bytes"] > 0, r["by_folder"]) for r in datasets.file_table(spark, str(root)).collect()}
+    assert files == {"Z.CSV": ("csv", True, False), "a.csv": ("csv", True, False), "part-0.json": ("jsonl", True, True), "c.json": ("json", True, False)}
+    assert [p.rsplit("/", 1)[1] for p in datasets.list_files(spark, str(root))] == ["a.csv", "part-0.json", "c.json", "Z.CSV"]
+    got = {r["transaction_id"]: r["account_id"] for r in datasets.load(spark, "transactions", datasets.Source(root=str(tmp_path))).collect()}
+    assert got == {"1": "first", "2": "b", "3": "c", "4": "c"}
+    from dataclasses import replace
+
+    one = datasets.load(spark, replace(datasets.DATASETS["transactions"], multi_file=False), datasets.Source(root=str(tmp_path)))
+    assert {r["transaction_id"] for r in one.collect()} == {"1", "2"}
+    flat = datasets.load(spark, replace(datasets.DATASETS["transactions"], recursive=False), datasets.Source(root=str(tmp_path)))
+    assert {r["transaction_id"] for r in flat.collect()} == {"1", "2"}

@@ -51,7 +51,7 @@ def test_same_as_sql(spark, duck, name):
 def test_registry(spark):
     assert set(entry.oracle_sql()) <= set(entry.queries())
     assert entry.entry(spark).count() > 0
-    assert set(analytics.QUERIES) - set(analytics.ORACLE_SQL) == {"store_projection"}
+    assert set(analytics.QUERIES) - set(analytics.ORACLE_SQL) == {"store_projection", "corpus_tokens"}
     assert analytics.QUERIES["store_projection"](spark, DATA).count() > 0
 
 
