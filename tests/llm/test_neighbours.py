@@ -82,3 +82,22 @@ def test_rows_are_sent_once_for_all_queries(spark):
         sent.append(neighbours._routed(asked, cells).count() / (n / 50))
     # four times the rows and cells: a query still goes to few cells
     assert sent[1] < 2.5 * max(sent[0], 1)
+
+
+def test_the_test_stops_and_misses_little():
+    r = np.random.default_rng(6)
+    m = r.normal(size=(6000, 16)) * np.linspace(3, 0.5, 16)
+    index = neighbours.Index(m, [[i] for i in range(6000)])
+    unit = m / np.linalg.norm(m, axis=1, keepdims=True)
+    hit = 0
+    for q in range(0, 6000, 100):
+        got = {i for _, i in index.search(neighbours.scaled(m[[q]])[0], neighbours.projected(m[[q]])[0], 6)}
+        hit += len(got & set(np.argsort(-(unit @ unit[q]), kind="stable")[:6].tolist()))
+    assert hit >= 0.95 * 360 and index.verified < 0.5 * 60 * 6000
+
+
+def test_equal_directions_rank_by_id(spark):
+    base = [1.0, 2.0, -1.0, 0.5]
+    rows = [(i, [x * (1 + i % 7) for x in base]) for i in range(1500)] + [(5000 + i, [1.0, float(i), 0.0, 2.0]) for i in range(300)]
+    got = neighbours.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), every=700).where("query_id = 700").orderBy("rank").collect()
+    assert [round(x.score, 12) for x in got] == [1.0] * 5 and len({x.vec_id for x in got} - {700}) == 5
