@@ -18,6 +18,7 @@ TUPLE = 2
 _BIN_BITS = 6
 _HEX = 6
 _LOW = (1 << 31) - 1
+_WHITE = " \t\n\x0b\x0c\r"
 #: A word of more characters (of a script without white space, or an encoding) counts as pieces of so many.
 LONG, PIECE = 32, 16
 _SIGN = r"[^\x20\x09-\x0D]"
@@ -30,8 +31,9 @@ def _hash(x: Column) -> Column:
 
 def _words(text: Column) -> Column:
     """Words between white space, longer ones than LONG in pieces of PIECE characters; an empty text has one empty word."""
-    found = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(_WORDS), F.lit(0))
-    return F.when(F.size(found) == 0, F.array(F.lit(""))).otherwise(found)
+    text = F.coalesce(text, F.lit(""))
+    plain = F.split(F.btrim(text, F.lit(_WHITE)), r"[\x20\x09-\x0D]+")
+    return F.when(text.rlike(rf"{_SIGN}{{{LONG + 1}}}"), F.regexp_extract_all(text, F.lit(_WORDS), F.lit(0))).otherwise(plain)
 
 
 def with_sketches(df: DataFrame, text: str, out: str, k: int = K) -> DataFrame:
